@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["personal_queries", "lookalike_queries", "leak_queries"]
+MODULES = ["quantile_queries", "personal_queries", "lookalike_queries", "leak_queries", "mixing_queries", "quality_queries"]
 
 
 def _merged(attribute: str) -> dict:
