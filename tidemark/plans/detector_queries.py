@@ -1,0 +1,117 @@
+"""Queries of the detectors over the detector and scrubber cases."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import detectors as op
+from tidemark.sources.tables import table
+
+#: The categories whose SQL form needs neither look-around nor the list of countries.
+CHECKED = ["email", "api_key", "aws_key", "google_api_key", "jwt", "bearer_token", "github_token", "slack_token", "private_key", "password", "credit_card", "us_routing", "us_ssn", "ipv4", "ipv6", "mac_address", "special_category"]
+
+
+
+def _cases(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "detect").select("case_id", "arrived_at", F.col("input").alias("text"))
+
+
+def detect_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Matches per category in every delivered input."""
+    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+    return _cases(spark, directory).select("case_id", "arrived_at", *op.counts(F.col("text"), chosen))
+
+
+def detect_findings(spark: SparkSession, directory: str) -> DataFrame:
+    """Findings under the GDPR preset with all detectors, locale packs and the entropy detector."""
+    registry = op.with_entropy(op.with_locales(op.builtin(spark), "uk", "in"))
+    rows = _cases(spark, directory).withColumn("found", op.findings(F.col("text"), registry, op.policy("gdpr")))
+    return rows.select("case_id", "arrived_at", F.explode("found").alias("f")).select("case_id", "arrived_at", "f.*")
+
+
+def detect_actions(spark: SparkSession, directory: str) -> DataFrame:
+    """How many findings and matches each action gets under the default policy."""
+    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+    rows = _cases(spark, directory).select(F.explode(op.findings(F.col("text"), chosen, op.policy())).alias("f")).select("f.*")
+    return rows.groupBy("action", "category").agg(F.count(F.lit(1)).alias("findings"), F.sum("cnt").alias("matches"))
+
+
+def detect_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    """Inputs redacted under the default policy (secrets and e-mail addresses)."""
+    rows = op.redact(_cases(spark, directory), "text", op.builtin(spark), op.policy())
+    return rows.select("case_id", "arrived_at", "redacted")
+
+
+def detect_redacted_pci(spark: SparkSession, directory: str) -> DataFrame:
+    """Inputs redacted under the PCI preset: gated detectors replace only valid matches."""
+    rows = op.redact(_cases(spark, directory), "text", op.builtin(spark), op.policy("pci"))
+    return rows.select("case_id", "arrived_at", "redacted")
+
+
+def detect_guard(spark: SparkSession, directory: str) -> DataFrame:
+    """What a gate with the strict preset does with each input."""
+    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+    rows = _cases(spark, directory).withColumn("verdict", op.verdict(op.findings(F.col("text"), chosen, op.policy("strict"))))
+    return rows.select("case_id", "arrived_at", "verdict")
+
+
+def redaction_scrubbed(spark: SparkSession, directory: str) -> DataFrame:
+    """The recordings' scrubber over the scrubber cases."""
+    return table(spark, directory, "redaction").select("case_id", "arrived_at", op.scrub_recording(F.col("input")).alias("output"))
+
+
+QUERIES = {
+    "detect_counts": detect_counts,
+    "detect_findings": detect_findings,
+    "detect_actions": detect_actions,
+    "detect_redacted": detect_redacted,
+    "detect_redacted_pci": detect_redacted_pci,
+    "detect_guard": detect_guard,
+    "redaction_scrubbed": redaction_scrubbed,
+}
+
+
+def _sql_pattern(source: str) -> str:
+    wide = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+    return source.replace(r"\S", "[^" + wide[1:]).replace(r"\s", wide).replace("'", "''")
+
+
+_D = "regexp_replace(m, '[^0-9]', '', 'g')"
+_AT = lambda i: f"CAST(substr({_D}, {i}, 1) AS INT)"
+_GATES = {
+    "credit_card": f"""len({_D}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len({_D}) + 1), lambda i:
+        CASE WHEN i % 2 = 0 THEN CAST(substr(reverse({_D}), i, 1) AS INT) * 2 - CASE WHEN CAST(substr(reverse({_D}), i, 1) AS INT) > 4 THEN 9 ELSE 0 END
+        ELSE CAST(substr(reverse({_D}), i, 1) AS INT) END)) % 10 = 0""",
+    "us_routing": f"(3 * ({_AT(1)} + {_AT(4)} + {_AT(7)}) + 7 * ({_AT(2)} + {_AT(5)} + {_AT(8)}) + {_AT(3)} + {_AT(6)} + {_AT(9)}) % 10 = 0",
+    "us_ssn": f"CAST(substr({_D}, 1, 3) AS INT) NOT IN (0, 666) AND CAST(substr({_D}, 1, 3) AS INT) < 900 AND substr({_D}, 4, 2) <> '00' AND substr({_D}, 6, 4) <> '0000'",
+}
+_ALL = {d.category: d for d in [*op._FIRST, *op._LAST]}
+
+
+def _sql_count(category: str) -> str:
+    found = f"regexp_extract_all(coalesce(input, ''), '{_sql_pattern(_ALL[category].source)}')"
+    if category in _GATES:
+        found = f"list_filter({found}, lambda m: {_GATES[category]})"
+    return f"CAST(len({found}) AS INT) AS {category}"
+
+
+def _sql_scrub(column: str, sources: list[str]) -> str:
+    for source in sources:
+        column = f"regexp_replace({column}, '{_sql_pattern(source)}', '{op.REDACTED}', 'g')"
+    return column
+
+
+_COUNTS = f"SELECT case_id, arrived_at, {', '.join(_sql_count(c) for c in CHECKED)} FROM detect"
+_LONG = f"SELECT case_id, arrived_at, category, cnt FROM (UNPIVOT ({_COUNTS}) ON {', '.join(CHECKED)} INTO NAME category VALUE cnt) WHERE cnt > 0"
+_CASE = lambda rules: "CASE category " + " ".join(f"WHEN '{c}' THEN '{rules.action(c, _ALL[c].group)}'" for c in CHECKED) + " END"
+_SECRETS = [d.source for d in op._FIRST if d.category == "email" or d.group == "secret"]
+SQL = {
+    "detect_counts": _COUNTS,
+    "detect_actions": f"""SELECT {_CASE(op.policy())} AS action, category, count(*) AS findings, CAST(sum(cnt) AS BIGINT) AS matches FROM ({_LONG}) GROUP BY ALL""",
+    "detect_redacted": f"SELECT case_id, arrived_at, {_sql_scrub('input', _SECRETS)} AS redacted FROM detect",
+    "detect_guard": f"""SELECT d.case_id, d.arrived_at, coalesce(f.verdict, 'allow') AS verdict FROM detect d LEFT JOIN (
+      SELECT case_id, arrived_at, CASE WHEN bool_or(action = 'block') THEN 'block' WHEN bool_or(action = 'flag') THEN 'flag' ELSE 'redact' END AS verdict
+      FROM (SELECT *, {_CASE(op.policy('strict'))} AS action FROM ({_LONG})) GROUP BY ALL) f USING (case_id, arrived_at)""",
+    "redaction_scrubbed": f"SELECT case_id, arrived_at, {_sql_scrub('input', op.RECORDING_PATTERNS)} AS output FROM redaction",
+}
