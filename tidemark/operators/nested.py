@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.json import strict_json
+
 #: More distinct paths than this mean that data stands in member names; the schema isn't collected then.
 MAX_PATHS = 100_000
 
@@ -125,12 +127,12 @@ def nodes(records: DataFrame, texts: dict[str, str], levels: int) -> DataFrame:
     df = records
     if list(texts) == ["$"]:
         root = F.expr(f"array({_node(repr('$'), repr('$'), repr('$'), 'CAST(NULL AS INT)', 'v')})")
-        df = df.withColumn("v", F.try_parse_json(texts["$"])).withColumn("l0", root)
+        df = df.withColumn("v", strict_json(texts["$"])).withColumn("l0", root)
         first = 1
     else:
         parts = []
         for i, (path, column) in enumerate(texts.items()):
-            df = df.withColumn(f"v{i}", F.try_parse_json(column))
+            df = df.withColumn(f"v{i}", strict_json(column))
             parts.append(_node(repr(path), repr(path), repr("$"), "CAST(NULL AS INT)", f"v{i}"))
         df = df.withColumn("l0", F.expr(f"filter(array({', '.join(parts)}), c -> c.kind != 'scalar')"))
         first, levels = 0, max(0, levels - 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.json import strict_json
+
 
 def chain_records(chain: DataFrame) -> DataFrame:
     """(tbl, record_id, doc): the readable lines of ``chain_signed``.
@@ -13,7 +15,7 @@ def chain_records(chain: DataFrame) -> DataFrame:
     its line number (``<chain_id>/line<n>``). Blank, null and cut lines are left out; of a record that
     was delivered twice the first line counts.
     """
-    doc = F.try_parse_json("line")
+    doc = strict_json("line")
     lines = chain.select("chain_id", "line_no", F.col("line").alias("doc"), doc.alias("v")).filter(F.col("v").isNotNull())
     seq = F.try_variant_get("v", "$.seq", "string")
     name = F.when(F.try_variant_get("v", "$._meta", "variant").isNotNull(), F.lit("meta")).otherwise(
