@@ -1,0 +1,91 @@
+"""Usage, texts and identities from the response shapes of providers, and roots of run trees.
+
+Defined results: an absent or unreadable response has no usage and no text; a value that is no number counts as absent.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidemark.storage import dropped, written
+
+# Where the providers' responses keep their token counts, most specific first.
+INPUT_PATHS = ["$.usage.prompt_tokens", "$.usage.input_tokens", "$.usageMetadata.promptTokenCount", "$.usage_metadata.prompt_token_count", "$.usage.inputTokens", "$.prompt_eval_count"]
+OUTPUT_PATHS = ["$.usage.completion_tokens", "$.usage.output_tokens", "$.usageMetadata.candidatesTokenCount", "$.usage_metadata.candidates_token_count", "$.usage.outputTokens", "$.eval_count"]
+CACHED_PATHS = ["$.usage.prompt_tokens_details.cached_tokens", "$.usage.input_tokens_details.cached_tokens", "$.usage.cache_read_input_tokens", "$.usageMetadata.cachedContentTokenCount"]
+TEXT_PATHS = ["$.choices[0].message.content", "$.output_text", "$.content[0].text", "$.candidates[0].content.parts[0].text", "$.message.content", "$.response"]
+DELTA_PATHS = ["$.choices[0].delta.content", "$.delta.text", "$.candidates[0].content.parts[0].text", "$.message.content"]
+
+
+def _first(text: Column, paths: list[str], kind: str) -> Column:
+    return F.coalesce(*(F.get_json_object(text, p).try_cast(kind) for p in paths))
+
+
+def chunks(response: Column) -> Column:
+    """The chunks of a streamed response as JSON texts, null for one that isn't a list."""
+    return F.when(response.rlike(r"^\s*\["), F.transform(F.try_variant_get(F.try_parse_json(response), "$", "array<variant>"), lambda v: F.to_json(v)))
+
+
+def usage(response: Column) -> Column:
+    """STRUCT<input, output, cached, total> of a response, or of the first chunk that carries a usage."""
+    parts = chunks(response)
+    source = F.when(parts.isNotNull(), F.get(F.filter(parts, lambda c: _first(c, INPUT_PATHS, "bigint").isNotNull()), 0)).otherwise(response)
+    found = F.struct(
+        _first(source, INPUT_PATHS, "bigint").alias("input"), _first(source, OUTPUT_PATHS, "bigint").alias("output"), F.coalesce(_first(source, CACHED_PATHS, "bigint"), F.lit(0)).alias("cached")
+    )
+    total = F.coalesce(found["input"], F.lit(0)) + F.coalesce(found["output"], F.lit(0))
+    return F.when(found["input"].isNotNull(), F.struct(found["input"].alias("input"), F.coalesce(found["output"], F.lit(0)).alias("output"), found["cached"].alias("cached"), total.alias("total")))
+
+
+def text(response: Column) -> Column:
+    """The assistant's text; a streamed one is joined in the order of its chunks."""
+    parts = chunks(response)
+    joined = F.array_join(F.transform(parts, lambda c: F.coalesce(_first(c, DELTA_PATHS, "string"), F.lit(""))), "")
+    return F.when(parts.isNotNull(), joined).otherwise(_first(response, TEXT_PATHS, "string"))
+
+
+def attributes(attrs: Column) -> Column:
+    """STRUCT<model, provider, input, output> from a map of telemetry attributes, by the first alias that is set."""
+    pick = lambda *names: F.coalesce(*(F.try_element_at(attrs, F.lit(n)) for n in names))
+    return F.struct(
+        pick("gen_ai.request.model", "gen_ai.response.model", "llm.model_name").alias("model"),
+        pick("gen_ai.system", "gen_ai.provider.name").alias("provider"),
+        pick("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens").try_cast("bigint").alias("input"),
+        pick("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens").try_cast("bigint").alias("output"),
+    )
+
+
+def spans(calls: DataFrame) -> DataFrame:
+    """Calls (model, ts, latency_ms, tokens ...) as spans: start, end and a map of the attributes that are set."""
+    end = F.col("ts")
+    start = end - F.make_dt_interval(secs=(F.coalesce("latency_ms", F.lit(0.0)) / 1000).cast("decimal(18,6)"))
+    names = ["model", "input_tokens", "output_tokens", "reasoning_tokens"]
+    filled = F.map_from_arrays(F.array(*(F.lit(f"gen_ai.{n}") for n in names)), F.array(*(F.col(n).cast("string") for n in names)))
+    kept = F.map_filter(filled, lambda k, v: v.isNotNull() & ~((k == "gen_ai.reasoning_tokens") & (v == "0")))
+    return calls.withColumn("start", start).withColumn("end", end).withColumn("attributes", kept)
+
+
+def roots(runs: DataFrame, run: str, parent: str, rounds: int = 40) -> DataFrame:
+    """(run, root, depth): the topmost known ancestor of each run.
+
+    Pointers are doubled: every round replaces a run's pointer by its pointer's pointer, so a depth of n takes log2(n) rounds.
+    Runs that have reached their root leave the join. A run in a cycle, or with an unknown parent, is its own root above that point.
+    """
+    rows = runs.filter(F.col(run).isNotNull()).groupBy(run).agg(F.min(parent).alias(parent))
+    known = rows.select(F.col(run).alias("k"))
+    start = rows.join(known, F.col(parent) == F.col("k"), "left")
+    start = start.select(F.col(run).alias("run"), F.when(F.col("k") != F.col(run), F.col("k")).alias("up"), F.lit(0).alias("depth"))
+    state = written(start.select("run", F.coalesce("up", "run").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("up").isNull().alias("done")), "roots")
+    for _ in range(rounds):
+        todo = state.filter("NOT done")
+        if todo.isEmpty():
+            break
+        above = state.select(F.col("run").alias("a"), F.col("up").alias("a_up"), F.col("depth").alias("a_depth"), F.col("done").alias("a_done"))
+        moved = todo.join(above, F.col("up") == F.col("a")).select(
+            "run", F.col("a_up").alias("up"), (F.col("depth") + F.col("a_depth")).alias("depth"), F.col("a_done").alias("done")
+        )
+        new = written(state.filter("done").unionByName(moved), "roots")
+        dropped(state)
+        state = new
+    return state.select(F.col("run").alias(run), F.when(F.col("done"), F.col("up")).otherwise(F.col("run")).alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(0).alias("depth"))

@@ -1,0 +1,174 @@
+"""Queries of ledgers, recordings and response shapes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import ingest, ledger, replay
+from tidemark.sources.tables import table
+
+
+def _chain(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "chain_signed").select("chain_id", "line_no", "line")
+
+
+def _entries(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "llm").select("cassette_id", "format_version", "recorded_at", "arrived_at", F.explode("entries").alias("e"))
+    return rows.select("cassette_id", "format_version", "recorded_at", "arrived_at", "e.*")
+
+
+def ledger_canonical(spark: SparkSession, directory: str) -> DataFrame:
+    """The canonical body of the rows for which it is known."""
+    rows = table(spark, directory, "hashes").filter("canonical_body IS NOT NULL")
+    return rows.select("case_id", "arrived_at", ledger.canonical("canonical_body").alias("body"))
+
+
+def ledger_hashes(spark: SparkSession, directory: str) -> DataFrame:
+    """The hash of every entry, computed from its fields."""
+    h = ledger.chain_hash(F.col("prev_hash"), F.col("seq"), F.col("ts"), F.col("entry_type"), F.col("payload"))
+    return table(spark, directory, "hashes").select("case_id", "arrived_at", h.alias("hash"))
+
+
+def ledger_links(spark: SparkSession, directory: str) -> DataFrame:
+    """Does each entry's prev_hash name the entry before it? Over the lines as first written."""
+    rows = ledger.once(_chain(spark, directory)).filter(F.get_json_object("line", "$.hash").isNotNull())
+    rows = rows.select("chain_id", "line_no", F.get_json_object("line", "$.prev_hash").alias("prev_hash"), F.get_json_object("line", "$.hash").alias("hash"))
+    return ledger.linked(rows).select("chain_id", "line_no", "position", "link")
+
+
+def ledger_verify(spark: SparkSession, directory: str) -> DataFrame:
+    """Verification of every ledger as it was delivered."""
+    return ledger.verify(_chain(spark, directory))
+
+
+def ledger_verify_once(spark: SparkSession, directory: str) -> DataFrame:
+    """Verification of every ledger after blank, cut and repeated lines are left out."""
+    return ledger.verify(ledger.once(_chain(spark, directory)))
+
+
+def ledger_steps(spark: SparkSession, directory: str) -> DataFrame:
+    """The step of every readable entry within its decision."""
+    rows = _chain(spark, directory).filter(F.try_parse_json("line").isNotNull())
+    rows = rows.select("chain_id", "line_no", F.get_json_object("line", "$.payload.decision_id").alias("decision_id")).filter("decision_id IS NOT NULL")
+    return ledger.step_index(rows, "decision_id", ["chain_id", "line_no"])
+
+
+def replay_hashes(spark: SparkSession, directory: str) -> DataFrame:
+    """The hash of every recorded request, computed from the request."""
+    return _entries(spark, directory).select("cassette_id", "arrived_at", "seq", replay.request_hash("request", "format_version").alias("request_hash"))
+
+
+def _split(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Recorded entries (of March's first half of cassettes by parity) and live ones."""
+    rows = _entries(spark, directory).filter("request_hash IS NOT NULL").select("cassette_id", "arrived_at", "seq", "request_hash", "response", F.col("recorded_at").alias("at"))
+    even = F.substring("cassette_id", -1, 1).cast("int") % 2 == 0
+    return rows.filter(even), rows.filter(~even)
+
+
+def replay_matched(spark: SparkSession, directory: str) -> DataFrame:
+    """The n-th live occurrence of a request with the n-th recorded one."""
+    recorded, live = _split(spark, directory)
+    order = ["cassette_id", "arrived_at", "seq"]
+    return replay.match(recorded.select("request_hash", *order), live.select("request_hash", *order), order)
+
+
+def replay_drift(spark: SparkSession, directory: str) -> DataFrame:
+    """Requests that were both recorded and live, and whether the response changed."""
+    return replay.drift(*_split(spark, directory))
+
+
+def ingest_usage(spark: SparkSession, directory: str) -> DataFrame:
+    """Token usage of every recorded response, streamed or not."""
+    rows = _entries(spark, directory).withColumn("u", ingest.usage(F.col("response")))
+    return rows.select("cassette_id", "arrived_at", "seq", "u.*")
+
+
+def ingest_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """The assistant's text of every recorded response."""
+    return _entries(spark, directory).select("cassette_id", "arrived_at", "seq", ingest.text(F.col("response")).alias("text"))
+
+
+def ingest_attributes(spark: SparkSession, directory: str) -> DataFrame:
+    """Model and tokens from telemetry attributes, made from the payloads with one of two alias sets."""
+    get = lambda p: F.get_json_object("payload", p)
+    odd = F.col("case_id") % 2 == 1
+    key = lambda a, b: F.when(odd, a).otherwise(b)
+    attrs = F.create_map(
+        key("gen_ai.request.model", "gen_ai.response.model"), get("$.model"),
+        key("gen_ai.system", "gen_ai.provider.name"), get("$.provider"),
+        key("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens"), get("$.usage.input_tokens"),
+        key("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens"), get("$.usage.output_tokens"),
+    )
+    rows = table(spark, directory, "hashes").filter("entry_type = 'llm_call'")
+    return rows.select("case_id", "arrived_at", ingest.attributes(attrs).alias("a")).select("case_id", "arrived_at", "a.*")
+
+
+def ingest_spans(spark: SparkSession, directory: str) -> DataFrame:
+    """The spend facts as spans: their start and how many attributes are set."""
+    rows = ingest.spans(table(spark, directory, "spend").withColumn("latency_ms", (F.col("spend_id") % 1000).cast("double")))
+    return rows.select("spend_id", "logged_at", "start", "end", F.size("attributes").alias("attributes"))
+
+
+def ingest_roots(spark: SparkSession, directory: str) -> DataFrame:
+    """Root and depth of runs in a tree over the spend ids (the parent of n is n // 3; multiples of 1000 begin a tree)."""
+    runs = table(spark, directory, "spend").select("spend_id").distinct()
+    parent = F.when(F.col("spend_id") % 1000 != 0, F.floor(F.col("spend_id") / 3))
+    return ingest.roots(runs.withColumn("parent", parent), "spend_id", "parent")
+
+
+QUERIES = {
+    "ledger_canonical": ledger_canonical,
+    "ledger_hashes": ledger_hashes,
+    "ledger_links": ledger_links,
+    "ledger_verify": ledger_verify,
+    "ledger_verify_once": ledger_verify_once,
+    "ledger_summary": lambda s, d: ledger.summary(_chain(s, d).filter(F.try_parse_json("line").isNotNull())),
+    "ledger_controls": lambda s, d: ledger.controls(_chain(s, d).filter(F.try_parse_json("line").isNotNull())).select("chain_id", F.array_join("controls", ";").alias("controls")),
+    "ledger_steps": ledger_steps,
+    "replay_hashes": replay_hashes,
+    "replay_matched": replay_matched,
+    "replay_drift": replay_drift,
+    "ingest_usage": ingest_usage,
+    "ingest_texts": ingest_texts,
+    "ingest_attributes": ingest_attributes,
+    "ingest_spans": ingest_spans,
+    "ingest_roots": ingest_roots,
+}
+
+_READ = "(SELECT * FROM chain_signed WHERE json_valid(line))"
+_E = "(SELECT cassette_id, format_version, recorded_at, arrived_at, e.seq AS seq, e.request_hash AS request_hash, e.request AS request, e.response AS response FROM (SELECT *, unnest(entries) AS e FROM llm))"
+_STREAM = """from_json(response, '["JSON"]')"""
+_J = "json_extract_string"
+_CHUNK = f"list_filter({_STREAM}, lambda c: {_J}(c, '$.usage.prompt_tokens') IS NOT NULL)[1]"
+_SRC = f"CASE WHEN json_type(response) = 'ARRAY' THEN {_CHUNK} ELSE response::JSON END"
+SQL = {
+    "ledger_canonical": "SELECT case_id, arrived_at, canonical_body AS body FROM hashes WHERE canonical_body IS NOT NULL",
+    "ledger_hashes": "SELECT case_id, arrived_at, hash FROM hashes",
+    "ledger_links": f"""WITH line AS (SELECT chain_id, line_no, {_J}(line, '$.prev_hash') AS prev_hash, {_J}(line, '$.hash') AS hash FROM {_READ} WHERE {_J}(line, '$.hash') IS NOT NULL),
+      once AS (SELECT chain_id, min(line_no) AS line_no, prev_hash, hash FROM line GROUP BY chain_id, prev_hash, hash)
+      SELECT chain_id, line_no, row_number() OVER w - 1 AS position, prev_hash IS NOT DISTINCT FROM lag(hash, 1, repeat('0', 64)) OVER w AS link FROM once WINDOW w AS (PARTITION BY chain_id ORDER BY line_no)""",
+    "ledger_summary": f"""SELECT chain_id, count(*) AS entries, {", ".join(f"count(*) FILTER (t = '{t}') AS {t}s" for t in ("decision", "llm_call", "tool_call", "human_oversight"))},
+      {", ".join(f"count(*) FILTER (t = 'guardrail_decision' AND a = '{a}') AS {a}_actions" for a in ("flag", "block", "redact"))}
+      FROM (SELECT chain_id, {_J}(line, '$.type') AS t, {_J}(line, '$.payload.action') AS a FROM {_READ}) WHERE t IS NOT NULL GROUP BY chain_id""",
+    "ledger_controls": f"""SELECT chain_id, array_to_string(list_sort(list(DISTINCT c)), ';') AS controls FROM (SELECT chain_id, unnest(from_json(json_extract(line, '$.controls'), '["VARCHAR"]')) AS c FROM {_READ}) WHERE c IS NOT NULL GROUP BY chain_id""",
+    "ledger_steps": f"""SELECT *, CAST(row_number() OVER (PARTITION BY decision_id ORDER BY chain_id, line_no) AS INT) AS step FROM (SELECT chain_id, line_no, {_J}(line, '$.payload.decision_id') AS decision_id FROM {_READ}) WHERE decision_id IS NOT NULL""",
+    "replay_hashes": f"SELECT cassette_id, arrived_at, seq, request_hash FROM {_E}",
+    "replay_matched": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY request_hash, CAST(cassette_id[-1:] AS INT) % 2 ORDER BY cassette_id, arrived_at, seq) - 1 AS position,
+        CAST(cassette_id[-1:] AS INT) % 2 AS odd FROM {_E} WHERE request_hash IS NOT NULL)
+      SELECT l.request_hash, l.cassette_id, l.arrived_at, l.seq, l.position, r.cassette_id AS rec_cassette_id, r.arrived_at AS rec_arrived_at, r.seq AS rec_seq, r.request_hash IS NOT NULL AS found
+      FROM r l LEFT JOIN r ON r.odd = 0 AND r.request_hash = l.request_hash AND r.position = l.position WHERE l.odd = 1""",
+    "ingest_usage": f"""SELECT cassette_id, arrived_at, seq, input, CASE WHEN input IS NOT NULL THEN coalesce(output, 0) END AS output,
+      CASE WHEN input IS NOT NULL THEN coalesce(cached, 0) END AS cached, input + coalesce(output, 0) AS total FROM (SELECT cassette_id, arrived_at, seq, TRY_CAST({_J}(s, '$.usage.prompt_tokens') AS BIGINT) AS input,
+      TRY_CAST({_J}(s, '$.usage.completion_tokens') AS BIGINT) AS output, TRY_CAST({_J}(s, '$.usage.prompt_tokens_details.cached_tokens') AS BIGINT) AS cached FROM (SELECT *, {_SRC} AS s FROM {_E}))""",
+    "ingest_texts": f"""SELECT cassette_id, arrived_at, seq, CASE WHEN json_type(response) = 'ARRAY' THEN
+      array_to_string(list_transform({_STREAM}, lambda c: coalesce({_J}(c, '$.choices[0].delta.content'), '')), '') ELSE {_J}(response, '$.choices[0].message.content') END AS text FROM {_E}""",
+    "ingest_attributes": f"""SELECT case_id, arrived_at, {_J}(payload, '$.model') AS model, {_J}(payload, '$.provider') AS provider, TRY_CAST({_J}(payload, '$.usage.input_tokens') AS BIGINT) AS input,
+      TRY_CAST({_J}(payload, '$.usage.output_tokens') AS BIGINT) AS output FROM hashes WHERE entry_type = 'llm_call'""",
+    "ingest_spans": """SELECT spend_id, logged_at, ts - to_milliseconds(spend_id % 1000) AS start, ts AS "end",
+      CAST((model IS NOT NULL)::INT + (input_tokens IS NOT NULL)::INT + (output_tokens IS NOT NULL)::INT + (reasoning_tokens IS NOT NULL AND reasoning_tokens <> 0)::INT AS INT) AS attributes FROM spend""",
+    "ingest_roots": """WITH RECURSIVE run AS (SELECT DISTINCT spend_id AS id, CASE WHEN spend_id % 1000 <> 0 THEN spend_id // 3 END AS parent FROM spend WHERE spend_id IS NOT NULL),
+      fixed AS (SELECT r.id, CASE WHEN p.id <> r.id THEN p.id END AS parent FROM run r LEFT JOIN run p ON r.parent = p.id),
+      up AS (SELECT id, id AS top, parent, 0 AS depth FROM fixed UNION ALL SELECT up.id, f.id, f.parent, depth + 1 FROM up JOIN fixed f ON up.parent = f.id)
+      SELECT id AS spend_id, top AS root, depth FROM up WHERE parent IS NULL""",
+}
