@@ -1,0 +1,130 @@
+"""Ledgers and recordings, with known vectors and tampering."""
+
+import json
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tidemark.operators import ingest, ledger, replay
+
+
+def chain(payloads, key=None, meta=True):
+    """Lines of an intact ledger."""
+    lines, prev = [], ledger.GENESIS
+    for i, p in enumerate(payloads):
+        own = ledger.entry_hash(prev, i, f"t{i}", "note", p)
+        row = {"seq": i, "ts": f"t{i}", "type": "note", "payload": p, "prev_hash": prev, "hash": own}
+        if key:
+            row["sig"] = ledger.signature(key, own)
+        lines.append(json.dumps(row))
+        prev = own
+    if meta:
+        head = {"system": "s", "risk_tier": None, "head_hash": prev, "entries": len(payloads)}
+        if key:
+            head["sig"] = ledger.header_signature(key, head)
+        lines.insert(0, json.dumps({"_meta": head}))
+    return lines
+
+
+def verified(spark, chains, key=None):
+    rows = [(c, i, line) for c, lines in chains.items() for i, line in enumerate(lines)]
+    df = spark.createDataFrame(rows, "chain_id string, line_no int, line string")
+    return {r.chain_id: (r.ok, r.detail) for r in ledger.verify(df, key).collect()}
+
+
+PAYLOADS = [{"a": 1, "b": 2.0, "é": ["ü", None]}, {"text": 'quote " and \n'}, {}, {"z": {"y": [1e-7, -0.0]}}]
+
+
+def test_intact_tampered_broken_cut_and_incomplete(spark):
+    good = chain(PAYLOADS)
+    tampered = [x.replace('"a": 1', '"a": 2') for x in good]
+    removed = good[:2] + good[3:]
+    cut = [*good[:3], good[3][:30], *good[4:]]
+    short = good[:-1]
+    missing = [*good[:2], json.dumps({"seq": 9})]
+    got = verified(spark, {"good": good, "bare": chain(PAYLOADS, meta=False), "tampered": tampered, "removed": removed, "cut": cut, "short": short, "missing": missing, "blank": [*good, "", "  "], None: good})
+    assert got["good"] == got["bare"] == got["blank"] == got[None] == (True, "ok")
+    assert got["tampered"] == (False, "hash mismatch at seq 0")
+    assert got["removed"] == (False, "broken link at seq 2: prev_hash mismatch")
+    assert got["cut"] == (False, "corrupt log: unreadable line")
+    assert got["short"] == (False, "incomplete log: head differs")
+    assert got["missing"][1] == "corrupt log: missing 'ts'"
+
+
+def test_signatures(spark):
+    good = chain(PAYLOADS, "k")
+    unsigned = chain(PAYLOADS)
+    got = verified(spark, {"good": good, "unsigned": unsigned}, "k")
+    assert got["good"] == (True, "ok")
+    assert got["unsigned"] == (False, "bad signature at seq 0")
+    assert verified(spark, {"good": good}, "other")["good"][0] is False
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.dictionaries(st.text(max_size=4), st.text(max_size=6) | st.integers() | st.none(), max_size=4), st.dictionaries(st.text(max_size=4), st.integers(), max_size=3))
+def test_another_payload_has_another_hash(a, b):
+    same = ledger.canonical_text(a) == ledger.canonical_text(b)
+    assert (ledger.entry_hash("p", 0, "t", "x", a) == ledger.entry_hash("p", 0, "t", "x", b)) is same
+
+
+def test_integers_and_floats_stay_apart():
+    assert ledger.canonical_text({"b": 2.0, "a": 2, "é": "ü"}) == '{"a":2,"b":2.0,"é":"ü"}'
+
+
+def test_chain_hash_of_columns_is_that_of_values(spark):
+    rows = [(ledger.GENESIS, i, f"t\"{i}é", "note", json.dumps(p)) for i, p in enumerate(PAYLOADS)]
+    df = spark.createDataFrame(rows, "prev string, seq long, ts string, type string, payload string")
+    got = df.select("seq", ledger.chain_hash(*map(F.col, df.columns)).alias("h")).collect()
+    for r in got:
+        assert r.h == ledger.entry_hash(ledger.GENESIS, r.seq, f"t\"{r.seq}é", "note", PAYLOADS[r.seq])
+
+
+def test_request_hash_versions_and_tools(spark):
+    request = {"kind": "llm", "provider": "p", "model": "m", "messages": [], "stream": True}
+    rows = [(json.dumps(request), 1), (json.dumps(request | {"stream": False}), 1), (json.dumps(request), 2), (None, 2), ("{", 2)]
+    df = spark.createDataFrame(rows, "r string, v int")
+    got = [r[0] for r in df.coalesce(1).select(replay.request_hash("r", "v")).collect()]
+    assert got[0] == got[1] != got[2] and got[3] is None and got[4] is None
+    assert replay.tool_arguments({"x": 1}) == {"args": [], "kwargs": {"x": 1}}
+    assert replay.tool_arguments([1]) == {"args": [1], "kwargs": {}}
+    assert replay.tool_arguments({"args": [1]}) == {"args": [1], "kwargs": {}}
+    assert replay.tool_arguments(3) == {"args": [3], "kwargs": {}}
+
+
+def test_match_is_first_in_first_out(spark):
+    recorded = spark.createDataFrame([("h", 1), ("h", 2)], "request_hash string, at int")
+    live = spark.createDataFrame([("h", 5), ("h", 6), ("h", 7), ("x", 8)], "request_hash string, at int")
+    got = {r.at: (r.rec_at, r.found) for r in replay.match(recorded, live, ["at"]).collect()}
+    assert got == {5: (1, True), 6: (2, True), 7: (None, False), 8: (None, False)}
+
+
+def test_promote_skips_what_is_no_call(spark):
+    lines = ["", None, "{bad", '{"_meta": 1}', '{"kind": "other"}', '{"kind": "llm", "request": {"a": 1}, "response": "x"}', '{"kind": "tool", "request": 2, "result": 3}']
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    assert sorted(map(tuple, replay.promote(df).collect())) == [("llm", '{"a":1}', "x"), ("tool", "2", "3")]
+
+
+@pytest.mark.parametrize(
+    ("response", "usage", "text"),
+    [
+        ('{"usage": {"prompt_tokens": 3, "completion_tokens": 4}, "choices": [{"message": {"content": "hi"}}]}', (3, 4, 0, 7), "hi"),
+        ('{"usage": {"input_tokens": 3, "output_tokens": null, "cache_read_input_tokens": 2}, "content": [{"text": "yo"}]}', (3, 0, 2, 3), "yo"),
+        ('[{"choices": [{"delta": {"content": "a"}}]}, {"choices": [{"delta": {"content": "b"}}], "usage": {"prompt_tokens": 1}}]', (1, 0, 0, 1), "ab"),
+        ('{"usage": {"prompt_tokens": "x"}}', None, None),
+        (None, None, None),
+        ("{", None, None),
+    ],
+)
+def test_responses(spark, response, usage, text):
+    row = spark.createDataFrame([(response,)], "r string").select(ingest.usage(F.col("r")).alias("u"), ingest.text(F.col("r")).alias("t")).first()
+    assert (tuple(row.u) if row.u else None) == usage
+    assert row.t == text
+
+
+def test_roots_of_trees_cycles_and_unknown_parents(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "gone"), ("f", "e"), ("s", "s"), ("x", "y"), ("y", "x"), ("b", "a"), (None, "a")]
+    got = {r.run: (r.root, r.depth) for r in ingest.roots(spark.createDataFrame(rows, "run string, parent string"), "run", "parent", rounds=8).collect()}
+    assert {k: got[k] for k in "abcdefs"} == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("a", 3), "e": ("e", 0), "f": ("e", 1), "s": ("s", 0)}
+    assert got["x"][0] == "x" and got["y"][0] == "y"

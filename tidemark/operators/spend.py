@@ -6,10 +6,13 @@ null key; unpriced rows add 0 and are counted; an empty table gives an empty rep
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import ordered
+from tidemark.storage import written
 
 MONEY = "decimal(38,9)"
 
@@ -98,3 +101,36 @@ def newest(spend: DataFrame, key: Column, keep: int, name: str = "key") -> DataF
     """The last ``keep`` rows of each key by (ts, spend_id), as (spend_id, key)."""
     rows = ordered.positions(spend.select("spend_id", key.alias(name), "ts"), name, [F.col("ts").desc(), F.col("spend_id").desc()], "newest")
     return rows.filter(F.col("position") < keep).select("spend_id", name)
+
+
+def enforced(spend: DataFrame, key: Column, cap_usd: str, name: str = "key") -> DataFrame:
+    """(spend_id, key, allowed): calls in order (ts, spend_id), each blocked if it would bring the key over its cap.
+
+    A blocked call costs nothing, so a verdict depends on all earlier ones. Rather than one task per key, rounds over
+    running sums decide many calls at once: what comes before a key's first overflow is allowed, the overflowing call is
+    blocked, and so is every later call that costs more than what is left, as the rest only shrinks. The keys still open go on.
+    """
+    cap = int(Decimal(cap_usd).scaleb(9))
+    nano = (F.coalesce("usd", F.lit(0).cast("decimal(18,9)")) * 1_000_000_000).cast("long")
+    open_rows = spend.select("spend_id", key.alias(name), "ts", nano.alias("nano"), F.lit(cap).cast("long").alias("room"))
+    parts: list[DataFrame] = [open_rows.filter("nano > room").select("spend_id", name, F.lit(False).alias("allowed"))]
+    open_rows = open_rows.filter("nano <= room")
+    while not open_rows.isEmpty():
+        rows = written(ordered.running(open_rows, name, [F.col("ts"), F.col("spend_id")], ["nano"], "cap"), "cap")
+        over = rows.filter("before_nano + nano > room")
+        first = over.groupBy(F.col(name).alias("__k")).agg(
+            F.min_by(F.struct(F.col("ts").alias("ts0"), F.col("spend_id").alias("id0"), (F.col("room") - F.col("before_nano")).alias("left")), F.struct("ts", "spend_id")).alias("f")
+        )
+        rows = written(rows.join(first, F.col(name).eqNullSafe(F.col("__k")), "left").drop("__k"), "cap")
+        at = F.struct(F.col("ts"), F.col("spend_id"))
+        stop = F.struct(F.col("f.ts0").alias("ts"), F.col("f.id0").alias("spend_id"))
+        free = F.col("f").isNull() | (at < stop)
+        parts.append(rows.filter(free).select("spend_id", name, F.lit(True).alias("allowed")))
+        late = rows.filter(~free)
+        blocked = (at == stop) | (F.col("nano") > F.col("f.left"))
+        parts.append(late.filter(blocked).select("spend_id", name, F.lit(False).alias("allowed")))
+        open_rows = late.filter(~blocked).select("spend_id", name, "ts", "nano", F.col("f.left").alias("room"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

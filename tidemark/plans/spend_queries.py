@@ -41,6 +41,7 @@ QUERIES = {
     "spend_models": spend_models,
     "spend_running": lambda s, d: op.running_spend(_once(s, d), op.tag("user_id"), "user_id"),
     "spend_first_breach": lambda s, d: op.first_breach(op.running_spend(_once(s, d), op.tag("user_id"), "user_id"), "user_id", CAP),
+    "spend_enforced": lambda s, d: op.enforced(_once(s, d), op.tag("user_id"), CAP, "user_id"),
     "spend_retention": lambda s, d: op.newest(_once(s, d), op.tag("feature"), KEEP, "feature"),
 }
 
@@ -69,6 +70,10 @@ SQL = {
     "spend_running": f"WITH {_RUNNING} SELECT * FROM run",
     "spend_first_breach": f"""WITH {_RUNNING} SELECT user_id, arg_min(spend_id, (ts, spend_id)) AS spend_id, min(spent_usd) AS spent_usd
       FROM run WHERE spent_usd > {CAP} GROUP BY user_id""",
+    "spend_enforced": f"""WITH {_ONCE}, per AS (SELECT tags['user_id'] AS user_id, list({{'id': spend_id, 'usd': CAST(coalesce(usd, 0) AS DECIMAL(38,9))}} ORDER BY ts, spend_id) AS calls FROM once GROUP BY 1),
+      fold AS (SELECT user_id, list_reduce(list_transform(calls, lambda c: {{'spent': c.usd, 'ids': [c.id]}}), lambda a, c: CASE WHEN a.spent + c.spent <= {CAP}
+        THEN {{'spent': CAST(a.spent + c.spent AS DECIMAL(38,9)), 'ids': list_concat(a.ids, c.ids)}} ELSE a END, {{'spent': CAST(0 AS DECIMAL(38,9)), 'ids': CAST([] AS BIGINT[])}}).ids AS ids FROM per)
+      SELECT o.spend_id, f.user_id, list_contains(f.ids, o.spend_id) AS allowed FROM once o JOIN fold f ON o.tags['user_id'] IS NOT DISTINCT FROM f.user_id""",
     "spend_retention": f"""WITH {_ONCE} SELECT spend_id, tags['feature'] AS feature FROM once
       QUALIFY row_number() OVER (PARTITION BY tags['feature'] ORDER BY ts DESC, spend_id DESC) <= {KEEP}""",
 }
