@@ -5,9 +5,8 @@ to the source's ``max_repeats``. Its virtual finish time is the number of tokens
 document is done, divided by the source's target share. Serving all sources in the order of these times keeps each source's
 share at its target at every moment; a global range sort by time and a cut at the total budget make the selection.
 
-Running sums over a source and over the whole queue are distributed: rows are range-sorted and written once,
-each partition is summed, and the prefix sums of the partitions (one row each) give every partition its start. No task
-holds a source, and no driver holds documents.
+Running sums over a source and over the whole queue are distributed (``operators.ordered``): no task holds a source, and the
+driver holds no documents.
 
 Defined results: documents without text, with a source that has no target, or with a null source are no candidates;
 an empty text has no tokens and costs nothing; a share of zero or null takes nothing; repeated rows are separate records.
@@ -16,14 +15,13 @@ an empty text has no tokens and costs nothing; a share of zero or null takes not
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.operators.ordered import running
 from tidemark.storage import written
 
 #: Folder of the public tokenizers' files and the vocabulary that sizes are counted in.
@@ -72,33 +70,6 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_")
 
 
-def running_sums(df: DataFrame, order: list[Column], value: str, group: str | None = None, name: str = "sums") -> DataFrame:
-    """``df`` with ``before``: the sum of ``value`` over all earlier rows (of its ``group``, if given) in this order.
-
-    ``order`` must begin with the group. The rows are range-sorted and written, so that both passes see the same partitions.
-    """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    schema = T.StructType([*ordered.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("inside", T.LongType())])
-
-    def inside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict = {}
-        for batch in batches:
-            keys = batch[group] if group else pd.Series("", index=batch.index)
-            own = batch[value].fillna(0).astype("int64")
-            sums = own.groupby(keys, sort=False).cumsum() - own
-            batch["inside"] = sums + keys.map(lambda k: totals.get(k, 0)).astype("int64")
-            for k, v in own.groupby(keys, sort=False).sum().items():
-                totals[k] = totals.get(k, 0) + int(v)
-            yield batch
-
-    rows = written(ordered.withColumn("part", F.spark_partition_id()).mapInPandas(inside, schema), name)
-    keys = ["part", *([group] if group else [])]
-    parts = rows.groupBy(*keys).agg(F.sum(value).alias("of_part"))
-    window = Window.partitionBy(*([group] if group else [F.lit(0)])).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select(*keys, F.coalesce(F.sum("of_part").over(window), F.lit(0)).alias("start"))
-    return rows.join(F.broadcast(starts), keys).withColumn("before", F.col("start") + F.col("inside")).drop("part", "inside", "start")
-
-
 def queue(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> tuple[DataFrame, DataFrame]:
     """(queue, sources): every admissible use of a document with its virtual finish time, and what each source has.
 
@@ -111,7 +82,7 @@ def queue(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer:
     docs = docs.join(F.broadcast(wanted.select("source")), "source", "left_semi")
     # written first: a range sort samples its input, and would encode every text a second time
     docs = written(docs.withColumn("place", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
-    summed = running_sums(docs, [F.col("source"), F.col("place"), F.col("doc_id")], "tokens", "source", "queue")
+    summed = running(docs, "source", [F.col("place"), F.col("doc_id")], ["tokens"], "queue").withColumnRenamed("before_tokens", "before")
     sources = summed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("total"))
     sources = wanted.join(sources, "source", "left").na.fill(0, ["documents", "total"])
     uses = summed.join(F.broadcast(sources.select("source", "target_share", "max_repeats", "total")), "source")
@@ -135,7 +106,7 @@ def select_mix(documents: DataFrame, targets: DataFrame, budget: int | None = No
     sources = written(sources, "sources")
     total = reachable(sources) if budget is None else budget
     order = [F.col("finish"), F.col("source"), F.col("round"), F.col("doc_id")]
-    served = running_sums(uses, order, "tokens", None, "served").filter(F.col("before") + F.col("tokens") <= F.lit(total)).drop("before")
+    served = running(uses, None, order, ["tokens"], "served").filter(F.col("before_tokens") + F.col("tokens") <= F.lit(total)).drop("before_tokens")
     got = served.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("used_documents"), F.max("round").alias("most_uses"))
     report = sources.join(got, "source", "left").na.fill(0, ["tokens", "used_documents", "most_uses"])
     everything = report.agg(F.sum("tokens").alias("everything"))
