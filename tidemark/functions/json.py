@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import let
+
 
 def strict_json(text: Column | str) -> Column:
     """The VARIANT of a text that is one JSON value and nothing else; null for all other texts.
@@ -14,4 +16,4 @@ def strict_json(text: Column | str) -> Column:
     """
     text = F.col(text) if isinstance(text, str) else text
     alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(F.try_variant_get(alone, "$[1]", "variant").isNull(), F.try_variant_get(alone, "$[0]", "variant"))
+    return let(alone, lambda v: F.when(F.try_variant_get(v, "$[1]", "variant").isNull(), F.try_variant_get(v, "$[0]", "variant")))

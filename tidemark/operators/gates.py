@@ -7,10 +7,12 @@ rules of another stage are left out before the plan is built.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +78,6 @@ def normalized(text: Column, steps: Iterable[str] = ()) -> Column:
 
 def unicode_form(text: Column, form: str) -> Column:
     """Unicode normalization; Spark has no expression for it, so Arrow batches go to Python."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -209,3 +210,101 @@ def tally(df: DataFrame, attack: Column, tripped: Column, category: Column) -> D
     return totals.select(
         "*", benign.alias("benign"), rate(F.col("caught"), F.col("attacks")).alias("trip_rate"), rate(F.col("false_positives"), benign).alias("false_positive_rate")
     )
+
+
+def _type_ok(value: object, kind: str) -> bool:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    return {
+        "object": isinstance(value, dict),
+        "array": isinstance(value, list),
+        "string": isinstance(value, str),
+        "number": number,
+        "integer": number and float(value).is_integer(),
+        "boolean": isinstance(value, bool),
+        "null": value is None,
+    }.get(kind, True)
+
+
+def schema_fault(value: object, schema: dict, path: str = "$") -> str | None:
+    """The first place where a value breaks a schema of type, required, properties and items."""
+    kind = schema.get("type")
+    if isinstance(kind, str) and not _type_ok(value, kind):
+        return f"{path}: expected {kind}"
+    if isinstance(value, dict):
+        for name in schema.get("required", ()):
+            if name not in value:
+                return f"{path}: missing required key {json.dumps(name)}"
+        for name, part in schema.get("properties", {}).items():
+            if name in value and (fault := schema_fault(value[name], part, f"{path}.{name}")):
+                return fault
+    if isinstance(value, list) and isinstance(schema.get("items"), dict):
+        for i, element in enumerate(value):
+            if fault := schema_fault(element, schema["items"], f"{path}[{i}]"):
+                return fault
+    return None
+
+
+def json_schema(schema: dict, action: str = "block", name: str = "json_schema", stages: tuple[str, ...] = ("output",)) -> Rule:
+    """Trips on a payload that is no JSON or breaks the schema, with the first fault as the reason."""
+
+    def check(payload: Column) -> Column:
+        @F.pandas_udf("string")
+        def fault(texts: pd.Series) -> pd.Series:
+            def one(t: object) -> str | None:
+                if not isinstance(t, str):
+                    return None
+                try:
+                    return schema_fault(json.loads(t), schema)
+                except (ValueError, RecursionError):
+                    return "$: not JSON"
+
+            return pd.Series([one(t) for t in texts], dtype=object)
+
+        found = fault(payload)
+        return verdict(found.isNotNull(), action, found)
+
+    return Rule(name, check, stages)
+
+
+def custom(check: Callable[[Column], Column], action: str = "block", name: str = "custom", stages: tuple[str, ...] = ("input",)) -> Rule:
+    """A rule from any expression: a BOOLEAN trips where it is true, a STRING where it is set (and is the reason)."""
+
+    def as_verdict(payload: Column) -> Column:
+        reason = check(payload).cast("string")
+        text = F.when(reason == "true", f"{name} tripped").otherwise(reason)
+        return verdict(reason.isNotNull() & (reason != "false"), action, text)
+
+    return Rule(name, as_verdict, stages)
+
+
+def judge_verdict(reply: Column, action: str = "block", fail_closed: bool = True) -> Column:
+    """The verdict in a judge's JSON reply {trip, reason}, in a code fence or not; an unreadable one blocks or flags by the error policy."""
+    inside = F.regexp_extract(reply, r"(?is)^\s*```(?:json)?(.*?)```", 1)
+    body = F.when(reply.rlike(r"^\s*```"), inside).otherwise(reply)
+    trip = F.get_json_object(body, "$.trip")
+    readable = F.coalesce(trip.isin("true", "false"), F.lit(False))
+    reason = F.coalesce(F.nullif(F.get_json_object(body, "$.reason"), F.lit("")), F.lit("llm_judge tripped"))
+    bad = verdict(F.lit(True), "block" if fail_closed else "flag", "judge reply can't be read")
+    return F.when(~readable, bad).when(trip == "true", verdict(F.lit(True), action, reason))
+
+
+def moderation_verdict(response: Column, categories: Iterable[str] = (), action: str = "block") -> Column:
+    """The verdict of a stored moderation response: its flagged categories, or those of a list that are flagged."""
+    flags = F.from_json(F.get_json_object(response, "$.results[0].categories"), "map<string,boolean>")
+    hit = F.array_sort(F.map_keys(F.map_filter(flags, lambda k, v: v)))
+    wanted = [c.lower() for c in categories]
+    if wanted:
+        hit = F.filter(hit, lambda c: F.lower(c).isin(wanted))
+        return verdict(F.size(hit) > 0, action, F.concat(F.lit("moderation flagged: "), F.array_join(hit, ", ")))
+    flagged = F.get_json_object(response, "$.results[0].flagged") == "true"
+    return verdict(flagged, action, F.concat(F.lit("moderation flagged: "), F.coalesce(F.nullif(F.array_join(hit, ", "), F.lit("")), F.lit("policy"))))
+
+
+def intent_verdict(label: Column, score: Column, mode: str = "deny", threshold: float = 0.8, action: str = "flag") -> Column:
+    """Deny trips on a match of at least the threshold, allow on none."""
+    if mode not in ("deny", "allow"):
+        raise ValueError(f"unknown mode {mode!r}")
+    match = F.coalesce(score >= threshold, F.lit(False))
+    if mode == "deny":
+        return verdict(match, action, F.concat(F.lit("intent "), label))
+    return verdict(~match, action, "no allowed intent")

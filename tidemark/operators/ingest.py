@@ -5,9 +5,11 @@ Defined results: an absent or unreadable response has no usage and no text; a va
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
+from tidemark.operators import ordered
 from tidemark.storage import dropped, written
 
 # Where the providers' responses keep their token counts, most specific first.
@@ -89,3 +91,63 @@ def roots(runs: DataFrame, run: str, parent: str, rounds: int = 40) -> DataFrame
         dropped(state)
         state = new
     return state.select(F.col("run").alias(run), F.when(F.col("done"), F.col("up")).otherwise(F.col("run")).alias("root"), F.when(F.col("done"), F.col("depth")).otherwise(0).alias("depth"))
+
+
+def stream_usage(response: Column, provider: Column) -> Column:
+    """STRUCT<input, output, cached> of a streamed response by the provider's rule.
+
+    anthropic: start and last delta together, cached input added; google: the last chunk, as each holds the totals so far;
+    bedrock: the metadata event; openai_responses: the nested response; all others: the first chunk with a usage.
+    """
+    number = lambda c, p: F.get_json_object(c, p).try_cast("bigint")
+    parts = F.coalesce(chunks(response), F.array().cast("array<string>"))
+    having = lambda test: F.filter(parts, test)
+    row = lambda i, o, c: F.struct(i.alias("input"), F.coalesce(o, F.lit(0)).alias("output"), F.coalesce(c, F.lit(0)).alias("cached"))
+    start = F.get(having(lambda c: F.get_json_object(c, "$.type") == "message_start"), 0)
+    deltas = having(lambda c: (F.get_json_object(c, "$.type") == "message_delta") & number(c, "$.usage.output_tokens").isNotNull())
+    cached = F.coalesce(number(start, "$.message.usage.cache_read_input_tokens"), F.lit(0))
+    anthropic = row(number(start, "$.message.usage.input_tokens") + cached, number(F.try_element_at(deltas, F.lit(-1)), "$.usage.output_tokens"), cached)
+    meta = F.get(having(lambda c: F.get_json_object(c, "$.metadata.usage").isNotNull()), 0)
+    bedrock = row(number(meta, "$.metadata.usage.inputTokens"), number(meta, "$.metadata.usage.outputTokens"), F.lit(0).cast("bigint"))
+    nested = F.get_json_object(F.get(having(lambda c: F.get_json_object(c, "$.response.usage").isNotNull()), 0), "$.response")
+    with_usage = having(lambda c: _first(c, INPUT_PATHS, "bigint").isNotNull())
+    of = lambda c: row(_first(c, INPUT_PATHS, "bigint"), _first(c, OUTPUT_PATHS, "bigint"), _first(c, CACHED_PATHS, "bigint"))
+    found = (
+        F.when(provider == "anthropic", anthropic)
+        .when(provider == "bedrock", bedrock)
+        .when(provider == "openai_responses", of(nested))
+        .when(provider == "google", of(F.try_element_at(with_usage, F.lit(-1))))
+        .otherwise(of(F.get(with_usage, 0)))
+    )
+    return F.when(found["input"].isNotNull(), found)
+
+
+def estimated_usage(request_text: Column, response_text: Column) -> Column:
+    """STRUCT<input, output, estimated> by the token heuristic, for streams that carry no usage."""
+    count = lambda t: F.coalesce(tx.token_estimate(t), F.lit(0))
+    return F.struct(count(request_text).alias("input"), count(response_text).alias("output"), F.lit(True).alias("estimated"))
+
+
+def carried(events: DataFrame, session: str, order: list[str], name: Column, clears: Column) -> DataFrame:
+    """``events`` with ``agent``: the name set last in the session, null after an event that clears it.
+
+    An event that sets or clears begins a segment; the running number of segments is distributed, and the segment's name is
+    joined by (session, segment). A long session is spread over many tasks.
+    """
+    rows = events.withColumn("__name", name).withColumn("__sets", (F.col("__name").isNotNull() | F.coalesce(clears, F.lit(False))).cast("long"))
+    rows = ordered.running(rows, session, [F.col(c) for c in order], ["__sets"], "agents")
+    rows = rows.withColumn("__segment", F.col("before___sets") + F.col("__sets"))
+    names = rows.filter("__sets = 1").select(F.col(session).alias("__s"), F.col("__segment").alias("__n"), F.col("__name").alias("agent"))
+    out = rows.join(names, rows[session].eqNullSafe(names["__s"]) & (rows["__segment"] == names["__n"]), "left")
+    return out.select(*events.columns, "agent")
+
+
+def corpus(spark: SparkSession, path: str) -> DataFrame:
+    """A red-team corpus (text, label, category, id) from JSON lines, a JSON array or CSV; the label defaults to attack."""
+    if path.endswith(".csv"):
+        rows = spark.read.csv(path, header=True)
+    else:
+        rows = spark.read.option("multiLine", path.endswith(".json")).json(path)
+    have = {c: F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in ("text", "label", "category", "id")}
+    rows = rows.select(*(v.cast("string").alias(k) for k, v in have.items())).filter("text IS NOT NULL")
+    return rows.withColumn("label", F.coalesce("label", F.lit("attack")))

@@ -118,21 +118,22 @@ def node_key(tbl: str, record_id: str, path: str) -> Column:
 
 
 def nodes(records: DataFrame, texts: dict[str, str], levels: int) -> DataFrame:
-    """One row per object, list and list element below each record of (tbl, record_id, JSON columns).
+    """One row per object, list and list element below each record of (tbl, record_id, JSON columns as text or VARIANT).
 
     Columns: tbl, record_id, node_key, parent_key, path, template, owner (path of the nearest
     enclosing object), ordinal (position in a list, else null), kind and value. ``$`` stands for
     the record itself and is no row when it is a JSON text of its own. A narrow plan: no shuffle.
     """
     df = records
+    parsed = lambda c: F.col(c) if dict(records.dtypes)[c] == "variant" else strict_json(c)
     if list(texts) == ["$"]:
         root = F.expr(f"array({_node(repr('$'), repr('$'), repr('$'), 'CAST(NULL AS INT)', 'v')})")
-        df = df.withColumn("v", strict_json(texts["$"])).withColumn("l0", root)
+        df = df.withColumn("v", parsed(texts["$"])).withColumn("l0", root)
         first = 1
     else:
         parts = []
         for i, (path, column) in enumerate(texts.items()):
-            df = df.withColumn(f"v{i}", strict_json(column))
+            df = df.withColumn(f"v{i}", parsed(column))
             parts.append(_node(repr(path), repr(path), repr("$"), "CAST(NULL AS INT)", f"v{i}"))
         df = df.withColumn("l0", F.expr(f"filter(array({', '.join(parts)}), c -> c.kind != 'scalar')"))
         first, levels = 0, max(0, levels - 1)

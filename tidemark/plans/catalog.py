@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["nested_records", "skewed_spend", "spend_queries", "detector_queries", "gate_queries", "text_queries", "record_queries", "stream_queries"]
+MODULES = ["nested_records", "skewed_spend", "spend_queries", "detector_queries", "gate_queries", "text_queries", "record_queries", "stream_queries", "seam_queries"]
 
 
 def _merged(attribute: str, package: str, modules: list[str]) -> dict:

@@ -17,7 +17,7 @@ def chain_nodes(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFra
     """(merged schema, nodes) of the chain lines."""
     lines = table(spark, directory, "chain_signed")
     schema = nested.merged_schema(lines.select(F.lit("chain_signed").alias("tbl"), F.col("line").alias("doc")), CHAIN_TEXTS)
-    return schema, nested.nodes(chain_records(lines), CHAIN_TEXTS, nested.depth(schema))
+    return schema, nested.nodes(chain_records(lines, parsed=True), CHAIN_TEXTS, nested.depth(schema))
 
 
 def llm_nodes(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.json import strict_json
 
 
-def chain_records(chain: DataFrame) -> DataFrame:
-    """(tbl, record_id, doc): the readable lines of ``chain_signed``.
+def chain_records(chain: DataFrame, parsed: bool = False) -> DataFrame:
+    """(tbl, record_id, doc): the readable lines of ``chain_signed``, as text or (``parsed``) as VARIANT.
 
     A header is ``<chain_id>/meta``, an entry ``<chain_id>/<seq>``; a line without ``seq`` is known by
     its line number (``<chain_id>/line<n>``). Blank, null and cut lines are left out; of a record that
@@ -21,8 +21,9 @@ def chain_records(chain: DataFrame) -> DataFrame:
     name = F.when(F.try_variant_get("v", "$._meta", "variant").isNotNull(), F.lit("meta")).otherwise(
         F.coalesce(seq, F.concat(F.lit("line"), F.col("line_no")))
     )
-    lines = lines.select(F.concat(F.coalesce("chain_id", F.lit("")), F.lit("/"), name).alias("record_id"), "line_no", "doc")
-    first = lines.groupBy("record_id").agg(F.min_by("doc", F.struct(F.coalesce("line_no", F.lit(2**31 - 1)), "doc")).alias("doc"))
+    lines = lines.select(F.concat(F.coalesce("chain_id", F.lit("")), F.lit("/"), name).alias("record_id"), "line_no", "v" if parsed else "doc")
+    order = F.coalesce("line_no", F.lit(2**31 - 1))
+    first = lines.groupBy("record_id").agg(F.min_by("v", order).alias("doc") if parsed else F.min_by("doc", F.struct(order, "doc")).alias("doc"))
     return first.select(F.lit("chain_signed").alias("tbl"), "record_id", "doc")
 
 
