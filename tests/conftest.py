@@ -14,3 +14,9 @@ from tidemark.shipping import ensure_shipped  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return ensure_shipped(local_session(4, "4g"))
+
+
+@pytest.fixture(scope="session")
+def spark_global(spark):
+    """The session under a name that property tests may use across their examples."""
+    return spark

@@ -40,7 +40,7 @@ def recently_used(uses: DataFrame, keep: int) -> DataFrame:
 def captured(text: Column, max_bytes: int = 8192) -> Column:
     """The text if its UTF-8 form has at most ``max_bytes`` bytes, else that many bytes of it and a marker."""
     raw = F.encode(text, "UTF-8")
-    cut = F.regexp_replace(F.decode(F.substring(raw, 1, max_bytes), "UTF-8"), "�+$", "")
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(raw, 1, max_bytes).cast("string")), "�+$", "")
     return F.when(F.length(raw) > max_bytes, F.concat(cut, F.lit(MARKER))).otherwise(text)
 
 
