@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,18 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local_dirs[app]}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete_all() -> None:
+    """At the end of the application its tables go, as far as the session still answers."""
+    for spark, path in _tables:
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001
+            return
+
+
+atexit.register(_delete_all)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and return the table's rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    _tables.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def dropped(table: DataFrame) -> None:
     """Remove a table made by ``written`` once nothing will read it again."""
-    spark = table.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in table.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(table.sparkSession, file.rpartition("/")[0])

@@ -7,6 +7,7 @@ Every function takes a streaming DataFrame (a batch one where it says so) and le
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -141,9 +142,26 @@ def read_table(spark: SparkSession, directory: str, name: str, files_a_batch: in
     return stream.parquet(f"{folder}/{file}")
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str) -> None:
-    """Process everything that is there with a checkpoint in the shared folder, then stop."""
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], name: str, timeouts: bool = False) -> None:
+    """Process everything that is there with a checkpoint in the shared folder, then stop.
+
+    State with ``timeouts`` always asks for one more batch, so such a stream is stopped when its input is used up.
+    """
     import uuid
 
     at = f"{shared_dir(stream.sparkSession)}/tidemark/stream-{name}-{uuid.uuid4().hex}"
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", at).trigger(availableNow=True).start().awaitTermination()
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", at)
+    if not timeouts:
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return
+    query = writer.start()
+    try:
+        while query.isActive:
+            last = query.lastProgress
+            if last is not None and last["numInputRows"] == 0:
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    if query.exception() is not None:
+        raise query.exception()
