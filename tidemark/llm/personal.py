@@ -51,6 +51,7 @@ STREET_AFTER_NUMBER = frozenset("rue avenue av boulevard bd place chemin impasse
 STREET_ENDINGS = ("straße", "strasse", "str.", "str", "weg", "allee", "platz", "gasse", "ring", "damm", "ufer", "chaussee", "steig")
 # Words that can't be part of a street's own name, in the languages of the texts.
 NOT_IN_STREET = frozenset("for the of to in and or on at a an is was were are as with by from results into that this after before per results test tool view returned el y und der die das et ou que pour dans".split())
+_SHORT_WORD = re.compile(r"[A-Za-z]\.|(?:st|mt|dr)\.", re.I)
 UNIT = re.compile(r",?\s+(?:apt|apartment|suite|ste|unit|flat|floor|room)\.?\s+#?\w{1,5}\b", re.I)
 FLOOR = re.compile(r",?\s+\d{1,2}\s?[ºª°oa](?:\s+[a-z]\b)?", re.I)
 TOWN = re.compile(r",\s+(?:\d{4,5}\s+)?[A-ZÄÖÜÉÀ][^\W\d_]+(?:-[A-ZÄÖÜÉÀ][^\W\d_]+)?(?: [A-ZÄÖÜÉÀ][^\W\d_]+(?=,? +\d{4,5}\b|[,.;\n]|$))?(?:,?\s+[A-Z]{2}(?=\s+\d{5}))?(?:\s+\d{4,5}(?:-\d{4})?\b)?")
@@ -77,7 +78,7 @@ PARTICLES = frozenset("de la las los del van von der den di da du le el al bin t
 ORDINARY = frozenset("april may june august rose faith grace will mark grant hope joy art bill dawn summer autumn amber ruby pearl ivy iris lily daisy heather olive sage robin jack pat rob sue frank ernest earl max chase drew dean guy glen clay cliff miles reed wade ward page piet mira alba dario jan noor see amina".split()) - frozenset("piet mira alba dario jan noor amina".split())
 FIRMS = frozenset("holdings ltd limited gmbh inc corp llc ag plc group partners company co kg sarl s.a sa bv logistics industries systems bank labs".split())
 
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_TOKEN = re.compile(r"(?<![\w])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\d_])")
 _NEXT = re.compile(r"[ \t]{1,2}|,[ \t]|[ \t]*\n")
 
 
@@ -102,7 +103,7 @@ class Names:
                 starts[name[:cut]] = starts.get(name[:cut], 0) + 1
                 ends[name[cut:]] = ends.get(name[cut:], 0) + 1
         self.starts = {x for x, n in starts.items() if n >= 3 and len(x) <= 6}
-        self.ends = {x for x, n in ends.items() if n >= 2 and len(x) >= 2}
+        self.ends = {x for x, n in ends.items() if n >= 2 and len(x) >= 3}
 
     def is_family(self, word: str) -> bool:
         """A known family name, or one made of a beginning and an ending that several known ones share."""
@@ -111,7 +112,7 @@ class Names:
             return True
         if "-" in w:
             return all(self.is_family(x) or len(x) > 2 and x in self.ends for x in w.split("-")) and self.is_family(w.split("-")[0])
-        return len(w) >= 5 and any(w[:cut] in self.starts and w[cut:] in self.ends for cut in range(3, len(w) - 1))
+        return len(w) >= 6 and w not in _COMMON and any(w[:cut] in self.starts and w[cut:] in self.ends for cut in range(3, len(w) - 1))
 
     def is_given(self, word: str) -> bool:
         w = word.lower()
@@ -235,7 +236,7 @@ class Finder:
             for _ in range(6):  # fillers and marks between cue and number
                 m = re.compile(r"[\s:#'’=(\"-]*").match(low, at)
                 at = m.end()
-                w = re.compile(r"[^\W\d]+[º°.]?|nº|n°").match(low, at)
+                w = re.compile(r"[^\W\d]+[º°.]?(?![\w-])|nº|n°").match(low, at)
                 if w and w.group().strip("º°.") in ID_FILLERS or w and w.group() in ("nº", "n°"):
                     at = w.end()
                 else:
@@ -257,7 +258,7 @@ class Finder:
             n = sum(c.isdigit() for c in m.group())
             if n == 0:
                 upper = m.group().isupper() or m.group().islower() and len(m.group()) == 1
-                if digits and not (upper and len(m.group()) == 1 and digits >= 6) or not digits and letters_only or len(m.group()) > 3:
+                if digits and not (upper and len(m.group()) == 1 and most <= 8 and digits >= 6) or not digits and letters_only or len(m.group()) > 3:
                     break
                 if digits:
                     stop = m.end()
@@ -280,7 +281,7 @@ class Finder:
     def _streets(self, text: str, low: str, by_kind: dict) -> list[tuple[int, int, str]]:
         out = []
         for start, end, _ in by_kind.get("street_after", []):
-            if end < len(low) and low[end].isalpha():
+            if end < len(low) and low[end].isalnum():
                 continue
             begin = self._named_left(text, low, start + 1)
             if begin is not None:
@@ -291,7 +292,7 @@ class Finder:
             house = self._HOUSE_LEFT.search(text, max(0, start - 16), start + 1)
             if not house:
                 continue
-            words = re.compile(r"(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[^\W\d_][\w'’-]*(?:[ -][A-ZÉÈÀ][\w'’-]*){0,3}", re.I if low[start:].startswith(text[start : start + 40]) else 0).match(
+            words = re.compile(r"(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[^\W\d_][\w'’-]*(?:-[A-ZÉÈÀ][\w'’]*){0,3}(?: [A-ZÉÈÀ][\w'’-]*(?=[,.;\n]|$))?", re.I if low[start:].startswith(text[start : start + 40]) else 0).match(
                 text, start + len(word)
             )
             if words:
@@ -333,7 +334,7 @@ class Finder:
         pieces = words.group().split(" ")[:-1]
         for n in range(1, min(4, len(pieces)) + 1):
             part = pieces[-n:]
-            if part[0].lower() in NOT_IN_STREET or part[0].endswith((".", ",")) and len(part[0]) > 3:
+            if part[0].lower() in NOT_IN_STREET or part[0].endswith(".") and not _SHORT_WORD.fullmatch(part[0]):
                 return None
             begin = street - sum(len(p) + 1 for p in part)
             house = self._HOUSE_LEFT.search(text, max(0, begin - 24), begin)
@@ -564,7 +565,7 @@ class Finder:
         while right < len(tokens):
             word = tokens[right][2]
             known = self.names.is_given(word) or self.names.is_family(word)
-            if not (self._initial(text, tokens[right]) or known or word[:1].isupper() and not (self._common(word) and words == 0) or words and word.lower() in PARTICLES):
+            if not (self._initial(text, tokens[right]) or known or word[:1].isupper() and not self._common(word) or words and word.lower() in PARTICLES):
                 break
             words += 1
             if words >= 2 and self.names.is_family(word):
@@ -573,7 +574,7 @@ class Finder:
             gap = self._gap(text, tokens, right)
             if gap == " " and words < 5:
                 right += 1
-            elif gap == "," and words == 1 and self.names.is_family(word) and right + 1 < len(tokens):
+            elif gap == "," and words == 1 and (self.names.is_family(word) or self.names.is_given(tokens[right + 1][2])):
                 right += 1
             else:
                 right += 1
