@@ -111,7 +111,7 @@ def statistics(documents: DataFrame, common: list[str], text: str = "text", keep
         zero("cells").alias("f_cells"),
         F.sqrt(zero("sentences")).alias("f_sentences"),
         zero("distinct_lines").alias("f_distinct_lines"),
-        zero("distinct_words").alias("f_distinct_words"),
+        F.log(F.greatest(F.lit(0.05), zero("distinct_words"))).alias("f_distinct_words"),
         F.sqrt(zero("odd_words")).alias("f_odd_words"),
         F.sqrt(zero("broken")).alias("f_broken"),
         zero("long_lines").alias("f_long_lines"),

@@ -122,5 +122,6 @@ def examples(seed: int = 7) -> list[tuple[str, str, str]]:
         add("repeated lines", "junk", "\n".join([phrase] * (15 + 5 * i)))
         sentence = rng.choice(_SENTENCES[("en", "de", "fr", "es")[i % 4]])
         add("repeated sentence lines", "junk", "\n".join([sentence if i % 3 else "Press to go on."] * (10 + 5 * i)))
-        add("repeated run", "junk", " ".join([rng.choice(_PHRASES["en"] + [rng.choice(_SENTENCES["en"])])] * (15 + 5 * i)))
+        add("repeated run", "junk", " ".join([phrase] * (15 + 5 * i)))
+        add("repeated sentence run", "junk", " ".join([sentence if i % 3 else "Press to go on."] * (10 + 5 * i)))
     return out
