@@ -260,3 +260,14 @@ def test_captures_and_spans_of_models(spark):
     assert one(spark, "abc", sinks.captured(F.col("t"), 3).alias("c")).c == "abc"
     df = spark.createDataFrame([("Anna of Oslo", [(0, 4), (2, 6), (8, 12), (5, 5)]), ("x", []), (None, [(0, 1)]), ("y", None)], "t string, s array<struct<begin int, end int>>").coalesce(1)
     assert [r[0] for r in df.select(sinks.without_spans("t", "s")).collect()] == ["<redacted>f <redacted>", "x", None, "y"]
+
+
+def test_policy_documents(spark):
+    document = {"version": 1, "guardrails": [{"rule": "keyword_deny", "args": {"words": ["x"]}, "action": "flag", "name": "n", "stage": "output"}, {"rule": "length_bounds", "args": {"max_chars": 3}}]}
+    rules, stamp = gates.load_policy(json.dumps(document))
+    assert [(r.name, r.stages) for r in rules] == [("n", ("output",)), ("length_bounds", ("input",))]
+    assert stamp == gates.load_policy(document)[1] and stamp.startswith("sha256:")
+    assert one(spark, "x", rules[0].check(F.col("t")).alias("v")).v.action == "flag"
+    for bad, fault in (({}, "version"), ({"version": 1, "guardrails": [{}]}, "rule"), ({"version": 1, "guardrails": [{"rule": "zap"}]}, "zap")):
+        with pytest.raises(ValueError, match=fault):
+            gates.load_policy(bad)

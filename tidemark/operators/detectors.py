@@ -267,3 +267,24 @@ def scrub_recording(text: Column) -> Column:
     for source in RECORDING_PATTERNS:
         text = tx.replace(text, source, REDACTED)
     return text
+
+
+# Ranks of severities.
+SEVERITY_RANK = {"info": 0, "warning": 1, "critical": 2}
+
+
+def auto_flags(found: Column) -> Column:
+    """ARRAY<STRUCT<action, categories, severity>>: what a ledger notes of a row's findings, for block, redact and flag in this order.
+
+    A redaction is noted as info, the others with the highest severity among their findings; actions without findings are left out.
+    """
+    rank = lambda f: F.when(f.severity == "critical", 2).when(f.severity == "warning", 1).otherwise(0)
+    of = lambda action: F.filter(found, lambda f: f.action == action)
+    rows = []
+    for action in ("block", "redact", "flag"):
+        own = of(action)
+        top = F.array_max(F.transform(own, rank))
+        names = F.array_sort(F.array_distinct(F.transform(own, lambda f: f.category)))
+        severity = F.lit("info") if action == "redact" else F.when(top == 2, "critical").when(top == 1, "warning").otherwise("info")
+        rows.append(F.struct(F.lit(action).alias("action"), names.alias("categories"), severity.alias("severity")))
+    return F.filter(F.array(*rows), lambda r: F.size(r.categories) > 0)

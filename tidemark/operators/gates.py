@@ -7,6 +7,7 @@ rules of another stage are left out before the plan is built.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterable
@@ -308,3 +309,41 @@ def intent_verdict(label: Column, score: Column, mode: str = "deny", threshold:
     if mode == "deny":
         return verdict(match, action, F.concat(F.lit("intent "), label))
     return verdict(~match, action, "no allowed intent")
+
+
+#: Rule builders that a policy document may name.
+BUILDERS: dict[str, Callable[..., Rule]] = {
+    "keyword_deny": lambda words, **k: keyword_deny(words, **k),
+    "regex_rule": lambda pattern, **k: regex_rule(pattern, **k),
+    "url_allowlist": lambda domains, **k: url_rule(domains, allow=True, **k),
+    "url_deny": lambda domains, **k: url_rule(domains, allow=False, **k),
+    "length_bounds": lambda **k: length_bounds(**k),
+    "json_schema": lambda schema, **k: json_schema(schema, **k),
+}
+
+
+def load_policy(document: dict | str) -> tuple[list[Rule], str]:
+    """(rules, stamp) of a policy document {version, guardrails: [{rule, args, stage, action, name}]}.
+
+    The stamp is the SHA-256 of the canonical document. A document of another form is refused with the place of its first fault.
+    """
+    value = json.loads(document) if isinstance(document, str) else document
+    form = {
+        "type": "object",
+        "required": ["version", "guardrails"],
+        "properties": {"guardrails": {"type": "array", "items": {"type": "object", "required": ["rule"], "properties": {"rule": {"type": "string"}, "args": {"type": "object"}}}}},
+    }
+    if fault := schema_fault(value, form):
+        raise ValueError(fault)
+    rules = []
+    for i, entry in enumerate(value["guardrails"]):
+        build = BUILDERS.get(entry["rule"])
+        if build is None:
+            raise ValueError(f"$.guardrails[{i}]: unknown rule {entry['rule']!r}; there are {sorted(BUILDERS)}")
+        options = dict(entry.get("args", {}))
+        options |= {k: entry[k] for k in ("action", "name") if k in entry}
+        if "stage" in entry:
+            options["stages"] = (entry["stage"],)
+        rules.append(build(**options))
+    text = json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return rules, "sha256:" + hashlib.sha256(text.encode()).hexdigest()

@@ -56,6 +56,13 @@ def detect_guard(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("case_id", "arrived_at", "verdict")
 
 
+def detect_flags(spark: SparkSession, directory: str) -> DataFrame:
+    """What a ledger notes of each input under the GDPR preset."""
+    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+    rows = _cases(spark, directory).select("case_id", "arrived_at", F.explode(op.auto_flags(op.findings(F.col("text"), chosen, op.policy("gdpr")))).alias("f"))
+    return rows.select("case_id", "arrived_at", "f.action", F.array_join("f.categories", ",").alias("categories"), "f.severity")
+
+
 def redaction_scrubbed(spark: SparkSession, directory: str) -> DataFrame:
     """The recordings' scrubber over the scrubber cases."""
     return table(spark, directory, "redaction").select("case_id", "arrived_at", op.scrub_recording(F.col("input")).alias("output"))
@@ -68,6 +75,7 @@ QUERIES = {
     "detect_redacted": detect_redacted,
     "detect_redacted_pci": detect_redacted_pci,
     "detect_guard": detect_guard,
+    "detect_flags": detect_flags,
     "redaction_scrubbed": redaction_scrubbed,
 }
 
@@ -113,5 +121,8 @@ SQL = {
     "detect_guard": f"""SELECT d.case_id, d.arrived_at, coalesce(f.verdict, 'allow') AS verdict FROM detect d LEFT JOIN (
       SELECT case_id, arrived_at, CASE WHEN bool_or(action = 'block') THEN 'block' WHEN bool_or(action = 'flag') THEN 'flag' ELSE 'redact' END AS verdict
       FROM (SELECT *, {_CASE(op.policy('strict'))} AS action FROM ({_LONG})) GROUP BY ALL) f USING (case_id, arrived_at)""",
+    "detect_flags": f"""SELECT case_id, arrived_at, action, string_agg(category, ',' ORDER BY category) AS categories,
+      CASE WHEN any_value(action) = 'redact' THEN 'info' WHEN bool_or(severity = 'critical') THEN 'critical' ELSE 'warning' END AS severity
+      FROM (SELECT *, {_CASE(op.policy('gdpr'))} AS action, CASE category {" ".join(f"WHEN '{c}' THEN '{_ALL[c].severity}'" for c in CHECKED)} END AS severity FROM ({_LONG})) WHERE action <> 'allow' GROUP BY case_id, arrived_at, action""",
     "redaction_scrubbed": f"SELECT case_id, arrived_at, {_sql_scrub('input', op.RECORDING_PATTERNS)} AS output FROM redaction",
 }
