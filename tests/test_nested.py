@@ -108,3 +108,52 @@ def test_schema_merges_kinds(spark, n):
     rows = spark.createDataFrame([("t", str(i), d) for i, d in enumerate(docs)], "tbl string, record_id string, doc string")
     got = {(r.path, r.kind): r.n for r in nested.merged_schema(rows, {"$": "doc"}).collect()}
     assert got == {("$", "object"): 3 * n, ("$.a", "integer"): n, ("$.a", "string"): n, ("$.a", "array"): n, ("$.a[]", "integer"): 2 * n}
+
+
+def scalars(value, path="$", template="$", ordinal=None, member=None):
+    """(path, template, ordinal, kind, member, value) of every node and scalar."""
+    if isinstance(value, dict):
+        plain = [(path, template, ordinal, "object", k, v) for k, v in value.items() if not isinstance(v, dict | list)]
+        yield from plain or [(path, template, ordinal, "object", None, None)]
+        for k, v in value.items():
+            if isinstance(v, dict | list):
+                yield from scalars(v, f"{path}.{k}", f"{template}.{k}")
+    elif isinstance(value, list):
+        yield path, template, ordinal, "array", None, None
+        for i, v in enumerate(value):
+            yield from scalars(v, f"{path}[{i}]", f"{template}[]", i)
+    else:
+        yield path, template, ordinal, "scalar", None, value
+
+
+def test_members_hold_every_scalar_of_every_path(spark):
+    docs = [
+        '{"s": "x", "n": 1, "z": null, "m": [{"x": 1, "f": {"g": true, "h": []}}, {"x": 2.5, "f": {}}, "t", [7, [null, {"deep": "d"}]]], "e": {}}',
+        '{"n": "two", "m": "text", "k.k": {"it\'s": 3}}',
+        "[1, 2]",
+        "7",
+        "null",
+    ]
+    rows = spark.createDataFrame([("t", str(i), d) for i, d in enumerate([*docs, None, "{"])], "tbl string, record_id string, doc string")
+    schema = nested.merged_schema(rows, {"$": "doc"})
+    got = nested.members(nested.nodes(rows, {"$": "doc"}, nested.depth(schema), roots=True), schema).collect()
+    text = lambda v: {True: "true", False: "false"}[v] if isinstance(v, bool) else None if v is None else str(v)
+    expected = sorted(repr((str(i), *x[:-1], text(x[-1]))) for i, d in enumerate(docs) for x in scalars(json.loads(d)))
+    assert sorted(repr((r.record_id, r.path, r.template, r.ordinal, r.kind, r.member, r.value)) for r in got) == expected
+    types = {(r.template, r.member): r.type for r in got if r.kind != "array"}
+    assert types["$.m[]", "x"] == "double" and types["$", "n"] == "string" and types["$.m[].f", "g"] == "boolean" and types["$.m[][]", None] == "bigint"
+    keys = {r.node_key for r in got}
+    assert all(r.parent_key in keys if r.path != "$" else r.parent_key is None for r in got)
+
+
+def test_registered_members_cover_all_objects(spark):
+    from pathlib import Path
+
+    from tidemark.plans import nested_records as Q
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("the test tables aren't here")
+    key = ["tbl", "record_id", "path"]
+    objects = Q.p1_members(spark, data).filter("kind = 'object'").select(*key).distinct()
+    assert Q.p1_found(spark, data).withColumnRenamed("child_path", "path").select(*key).exceptAll(objects).count() == 0

@@ -4,7 +4,8 @@
 kinds found there (list positions are written ``[]``, so all elements of a list share a path).
 ``nodes`` explodes the records level by level, as deep as that schema goes: one row per object,
 list and list element, carrying its own key, the key of the nearest enclosing object and its
-position in the list. ``child_table`` projects the objects of one path into typed columns.
+position in the list. ``child_table`` projects the objects of one path into typed columns;
+``members`` gives all nodes of all paths with their scalar values as one long table.
 
 The walk works on VARIANT values, so that a string which happens to hold JSON stays a string and
 a member that is sometimes a string and sometimes a list needs no common type.
@@ -117,25 +118,26 @@ def node_key(tbl: str, record_id: str, path: str) -> Column:
     return F.md5(F.concat_ws("\u001f", F.col(tbl), F.col(record_id), F.col(path)))
 
 
-def nodes(records: DataFrame, texts: dict[str, str], levels: int) -> DataFrame:
+def nodes(records: DataFrame, texts: dict[str, str], levels: int, roots: bool = False) -> DataFrame:
     """One row per object, list and list element below each record of (tbl, record_id, JSON columns as text or VARIANT).
 
     Columns: tbl, record_id, node_key, parent_key, path, template, owner (path of the nearest
     enclosing object), ordinal (position in a list, else null), kind and value. ``$`` stands for
-    the record itself and is no row when it is a JSON text of its own. A narrow plan: no shuffle.
+    the record itself and is no row when it is a JSON text of its own. With ``roots`` every readable JSON
+    text is a row, also ``$`` and texts that are a scalar. A narrow plan: no shuffle.
     """
     df = records
     parsed = lambda c: F.col(c) if dict(records.dtypes)[c] == "variant" else strict_json(c)
     if list(texts) == ["$"]:
         root = F.expr(f"array({_node(repr('$'), repr('$'), repr('$'), 'CAST(NULL AS INT)', 'v')})")
         df = df.withColumn("v", parsed(texts["$"])).withColumn("l0", root)
-        first = 1
+        first = 0 if roots else 1
     else:
         parts = []
         for i, (path, column) in enumerate(texts.items()):
             df = df.withColumn(f"v{i}", parsed(column))
             parts.append(_node(repr(path), repr(path), repr("$"), "CAST(NULL AS INT)", f"v{i}"))
-        df = df.withColumn("l0", F.expr(f"filter(array({', '.join(parts)}), c -> c.kind != 'scalar')"))
+        df = df.withColumn("l0", F.expr(f"filter(array({', '.join(parts)}), c -> {'true' if roots else "c.kind != 'scalar'"})"))
         first, levels = 0, max(0, levels - 1)
     df = df.select("tbl", "record_id", "l0")
     for k in range(levels):
@@ -144,7 +146,7 @@ def nodes(records: DataFrame, texts: dict[str, str], levels: int) -> DataFrame:
     if not all_levels:
         all_levels = ["filter(l0, c -> false)"]
     df = df.select("tbl", "record_id", F.explode(F.expr(f"concat({', '.join(all_levels)})")).alias("node"))
-    df = df.select("tbl", "record_id", "node.*")
+    df = df.select("tbl", "record_id", "node.*").filter("value IS NOT NULL" if roots else "true")
     return df.select(
         "tbl",
         "record_id",
@@ -197,3 +199,36 @@ def child_table(all_nodes: DataFrame, tbl: str, template: str, columns: list[tup
         path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
         picked.append(F.try_variant_get("value", path, kind).alias(alias))
     return rows.select(*keys, *picked)
+
+
+def column_types(schema: DataFrame) -> DataFrame:
+    """(tbl, column_path, type): the Spark type that ``columns_of`` gives to the scalars at each path of the merged schema."""
+    scalars = schema.filter(F.col("kind").isin([*_TYPES, "null"])).groupBy("tbl", "path").agg(F.array_sort(F.collect_set(F.nullif("kind", F.lit("null")))).alias("kinds"))
+    single = F.coalesce(*(F.when(F.col("kinds") == F.array(F.lit(k)), t) for k, t in _TYPES.items()))
+    kind = F.when(F.col("kinds") == F.array(F.lit("double"), F.lit("integer")), "double").otherwise(F.coalesce(single, F.lit("string")))
+    return scalars.select("tbl", F.col("path").alias("column_path"), kind.alias("type"))
+
+
+def members(all_nodes: DataFrame, schema: DataFrame) -> DataFrame:
+    """Every node of every path with its scalar values, as one long table; ``all_nodes`` are those with ``roots``.
+
+    (tbl, record_id, node_key, parent_key, path, template, ordinal, kind, member, type, value): an object has a row for
+    each scalar member; a scalar that is no member of an object (in a list, or a whole text) has one without ``member``. An object without
+    scalars and a list have one row without member and value, so no node is missing. ``path`` has the positions of all lists
+    around a node. ``type`` is that of the column in the merged schema, ``value`` the scalar as a string (null for a
+    JSON null); a record has no parent.
+    """
+    entries = "map_entries(try_variant_get(value, '$', 'map<string,variant>'))"
+    scalars = f"filter({entries}, e -> substr(coalesce(schema_of_variant(e.value), ''), 1, 6) NOT IN ('OBJECT', 'ARRAY<'))"
+    pair = lambda member, value: f"named_struct('member', {member}, 'value', try_variant_get({value}, '$', 'string'))"
+    found = F.expr(
+        f"""CASE kind WHEN 'object' THEN transform({scalars}, e -> {pair("e.key", "e.value")})
+              WHEN 'scalar' THEN array({pair("CAST(NULL AS STRING)", "value")}) END"""
+    )
+    rows = all_nodes.withColumn("parent_key", F.when(F.col("path") != F.col("owner"), F.col("parent_key")))
+    rows = rows.select("tbl", "record_id", "node_key", "parent_key", "path", "template", "ordinal", "kind", F.explode_outer(found).alias("m"))
+    at = F.when(F.col("m.member").isNotNull(), F.concat("template", F.lit("."), "m.member")).when(F.col("kind") == "scalar", F.col("template"))
+    types = column_types(schema)
+    small = types.limit(MAX_PATHS + 1).count() <= MAX_PATHS
+    rows = rows.withColumn("column_path", at).join(F.broadcast(types) if small else types, ["tbl", "column_path"], "left")
+    return rows.select("tbl", "record_id", "node_key", "parent_key", "path", "template", "ordinal", "kind", "m.member", "type", "m.value")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import nested
 from tidemark.sources.recordings import cassette_records, chain_records
 from tidemark.sources.tables import table
+from tidemark.storage import written
 
 CHAIN_TEXTS = {"$": "doc"}
 LLM_TEXTS = {"$.request": "request", "$.response": "response"}
@@ -73,8 +74,23 @@ def p1_content_parts(spark: SparkSession, directory: str) -> DataFrame:
     return nested.child_table(nodes, "llm", "$.request.messages[].content[]", [("type", "string"), ("text", "string")])
 
 
+def p1_members(spark: SparkSession, directory: str) -> DataFrame:
+    """Every object, list and scalar of every path of both tables, with columns of the merged schema, as one long related table."""
+    lines, cassettes = table(spark, directory, "chain_signed"), table(spark, directory, "llm")
+    chain, llm = chain_records(lines, parsed=True), cassette_records(cassettes)
+    chain_schema = written(nested.merged_schema(lines.select(F.lit("chain_signed").alias("tbl"), F.col("line").alias("doc")), CHAIN_TEXTS), "schema")
+    entries = cassettes.select(F.lit("llm").alias("tbl"), F.explode("entries").alias("e")).select("tbl", "e.request", "e.response")
+    llm_schema = written(nested.merged_schema(entries, LLM_TEXTS), "schema")
+    parts = [
+        nested.members(nested.nodes(records, texts, nested.depth(schema), roots=True), schema)
+        for records, texts, schema in ((chain, CHAIN_TEXTS, chain_schema), (llm, LLM_TEXTS, llm_schema))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 QUERIES = {
     "p1_found": p1_found,
+    "p1_members": p1_members,
     "p1_schema": p1_schema,
     "p1_usage": p1_usage,
     "p1_summary": p1_summary,
