@@ -50,6 +50,16 @@ def test_union_find_is_transitive_and_frequencies_choose():
     assert L.rewrites(classes, {})["y"] == "x"
 
 
+def test_ascii_texts_take_the_form_of_a_more_frequent_look_alike():
+    rewrite = L.default_rewriter((("‹", 9), ("<", 1), ("о", 9), ("o", 2), ("ﬁ", 9), ("fi", 1))).rewrite
+    assert rewrite("a < b") == rewrite("a ‹ b") == "a ‹ b"
+    assert rewrite("cost") == rewrite("cоst") == "cоst" and rewrite("fine") == rewrite("ﬁne") == "ﬁne"
+
+
+def test_frequencies_count_joined_letters_in_ascii_texts(spark):
+    assert dict(L.frequencies(spark.createDataFrame([("fine fig",), ("ﬁ é",)], "t string"), "t"))["fi"] == 2
+
+
 def test_frequencies_count_all_rows(spark):
     df = spark.createDataFrame([("éá",), (None,), ("",), ("ее",)], "t string").repartition(3)
     counts = dict(L.frequencies(df, "t"))

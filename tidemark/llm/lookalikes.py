@@ -129,7 +129,8 @@ class Rewriter:
 
     def __init__(self, rules: dict[str, str]) -> None:
         self.rules = rules
-        self.first = set(x[0] for x in rules)
+        #: First characters of the members that an ASCII text may hold.
+        self.plain = set(x[0] for x in rules if x.isascii())
         self.single = {ord(a): b for a, b in rules.items() if len(a) == 1}
         longer = [a for a in rules if len(a) > 1]
         self.automaton = ahocorasick.Automaton()
@@ -140,7 +141,7 @@ class Rewriter:
         self.tails = set(x[-1] for x in longer)
 
     def once(self, text: str) -> str:
-        if not self.rules or text.isascii():
+        if not self.rules or text.isascii() and (not self.plain or self.plain.isdisjoint(text)):
             return text
         if self.tails.isdisjoint(text):
             return text.translate(self.single)
@@ -161,7 +162,7 @@ class Rewriter:
 
         Letters and their combining marks are joined where Unicode has the joined letter.
         """
-        if text.isascii():
+        if text.isascii() and (not self.plain or self.plain.isdisjoint(text)):
             return text, list(range(len(text)))
         out: list[str] = []
         source: list[int] = []
@@ -214,8 +215,7 @@ def frequencies(texts: DataFrame, column: str) -> tuple[tuple[str, int], ...]:
             for text in batch[column]:
                 if isinstance(text, str):
                     seen.update(text)
-                    if not text.isascii():
-                        seen.update(x for _, x in automaton.iter(text))
+                    seen.update(x for _, x in automaton.iter(text))
         kept = [(x, n) for x, n in seen.items() if len(x) > 1 or x in single]
         yield pd.DataFrame(kept, columns=["member", "n"])
 
