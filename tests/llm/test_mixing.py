@@ -33,6 +33,19 @@ def test_shares_repeats_and_budget(docs, targets):
     assert not {u.doc_id for u in uses} & {1000, 1001, 1002, None}
 
 
+def test_sources_without_tokens_leave_the_others_their_mix(spark, docs):
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b-x", 0.24, 2), ("c", 0.16, 3), ("gone", 0.1, 2), ("blank", 0.1, 4)], "source string, target_share double, max_repeats int")
+    blank = spark.createDataFrame([(2000, "", "blank"), (2001, "", "blank")], "doc_id long, text string, source string").withColumn("target_share", F.lit("clash"))
+    served, report = M.select_mix(docs.unionByName(blank), targets)
+    rows = {r.source: r for r in report.collect()}
+    assert {s for s, r in rows.items() if not r.reachable} == {"gone", "blank"} and rows["gone"].share == rows["blank"].share == 0
+    assert rows["gone"].documents == 0 and rows["blank"].documents == 2
+    for s, share in (("a", 0.5), ("b_x", 0.3), ("c", 0.2)):
+        assert abs(rows[s].share - share) < 0.01 and rows[s].most_uses <= rows[s].max_repeats
+    total = sum(r.tokens for r in rows.values())
+    assert 0 <= rows["a"].budget - total < 40 and total > 1000
+
+
 def test_same_as_a_plain_queue_at_a_budget_beyond_some_source(docs, targets):
     queue, sources = M.queue(docs, targets)
     everything = sorted((r.finish, r.source, r.round, r.doc_id, r.tokens) for r in queue.collect())

@@ -9,7 +9,9 @@ Running sums over a source and over the whole queue are distributed (``operators
 driver holds no documents.
 
 Defined results: documents without text, with a source that has no target, or with a null source are no candidates;
-an empty text has no tokens and costs nothing; a share of zero or null takes nothing; repeated rows are separate records.
+an empty text has no tokens and costs nothing; a share of zero or null takes nothing; repeated rows are separate records. A source without tokens (no documents, or only
+empty texts) can't reach its share: it doesn't bound the total, and the report has it with share 0 and ``reachable`` false; the others
+keep their proportions to each other.
 """
 
 from __future__ import annotations
@@ -92,9 +94,16 @@ def queue(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer:
 
 
 def reachable(sources: DataFrame) -> int:
-    """The largest total at which every source still reaches its share within its repeats."""
-    row = sources.agg(F.min(F.col("max_repeats") * F.col("total") / F.col("target_share")).alias("b")).first()
-    return int(row[0] or 0)
+    """The largest total at which every source that has tokens still reaches its part of the mix within its repeats.
+
+    Its part is its share of the shares of all sources that have tokens.
+    """
+    have = sources.filter("total > 0")
+    row = have.agg(F.min(F.col("max_repeats") * F.col("total") / F.col("target_share")).alias("b"), F.sum("target_share").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    if row["n"] == sources.count():
+        return int(row["b"] or 0)
+    every = sources.agg(F.sum("target_share")).first()[0]
+    return int(row["b"] * row["w"] / every) if row["b"] else 0
 
 
 def select_mix(documents: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = SEED, tokenizer: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> tuple[DataFrame, DataFrame]:
@@ -121,5 +130,6 @@ def select_mix(documents: DataFrame, targets: DataFrame, budget: int | None = No
         "tokens",
         F.try_divide(F.col("tokens").cast("double"), F.col("everything").cast("double")).alias("share"),
         F.lit(total).cast("long").alias("budget"),
+        (F.col("total") > 0).alias("reachable"),
     )
     return served, report
