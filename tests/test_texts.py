@@ -271,3 +271,17 @@ def test_policy_documents(spark):
     for bad, fault in (({}, "version"), ({"version": 1, "guardrails": [{}]}, "rule"), ({"version": 1, "guardrails": [{"rule": "zap"}]}, "zap")):
         with pytest.raises(ValueError, match=fault):
             gates.load_policy(bad)
+
+
+def test_the_whole_registry_decides(spark, tmp_path):
+    from tidemark.plans import detector_queries as Q
+
+    texts = {"phone": "call 415-555-0100 now", "iban": "to GB82WEST12345698765432 please", "bic": "via DEUTDEFF500 today", "none": "nothing here", "mail": "a@example.com"}
+    rows = spark.createDataFrame(list(texts.items()), "case_id string, input string").withColumn("arrived_at", F.lit("2026-01-01").cast("timestamp_ntz"))
+    rows.write.parquet(f"{tmp_path}/detect.parquet")
+    got = {r.case_id: r.verdict for r in Q.detect_guard_all(spark, str(tmp_path)).collect()}
+    assert got == {"phone": "redact", "iban": "block", "bic": "block", "none": "allow", "mail": "redact"}
+    counts = {r.case_id: r for r in Q.detect_counts_all(spark, str(tmp_path)).collect()}
+    assert counts["phone"].phone == counts["iban"].iban == counts["bic"].swift_bic == 1
+    assert {"phone", "iban", "swift_bic"} <= {r.category for r in Q.detect_actions_all(spark, str(tmp_path)).collect()}
+    assert "phone" in ",".join(r.categories for r in Q.detect_flags_all(spark, str(tmp_path)).collect())

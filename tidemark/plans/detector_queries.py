@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import detectors as op
 from tidemark.sources.tables import table
 
-#: The categories whose SQL form needs neither look-around nor the list of countries.
+#: The categories whose SQL form needs neither look-around nor the list of countries. The queries named ``..._all`` take the whole registry.
 CHECKED = ["email", "api_key", "aws_key", "google_api_key", "jwt", "bearer_token", "github_token", "slack_token", "private_key", "password", "credit_card", "us_routing", "us_ssn", "ipv4", "ipv6", "mac_address", "special_category"]
 
 
@@ -17,12 +17,19 @@ def _cases(spark: SparkSession, directory: str) -> DataFrame:
     return table(spark, directory, "detect").select("case_id", "arrived_at", F.col("input").alias("text"))
 
 
-def detect_counts(spark: SparkSession, directory: str) -> DataFrame:
-    """Matches per category in every delivered input."""
-    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+def _checked(spark: SparkSession) -> list[op.Detector]:
+    return [d for d in op.builtin(spark) if d.category in CHECKED]
+
+
+def _counts(spark: SparkSession, directory: str, chosen: list[op.Detector]) -> DataFrame:
     return _cases(spark, directory).select("case_id", "arrived_at", *op.counts(F.col("text"), chosen))
 
 
+def detect_counts(spark: SparkSession, directory: str) -> DataFrame:
+    """Matches per category in every delivered input (the CHECKED categories)."""
+    return _counts(spark, directory, _checked(spark))
+
+
 def detect_findings(spark: SparkSession, directory: str) -> DataFrame:
     """Findings under the GDPR preset with all detectors, locale packs and the entropy detector."""
     registry = op.with_entropy(op.with_locales(op.builtin(spark), "uk", "in"))
@@ -30,13 +37,16 @@ def detect_findings(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("case_id", "arrived_at", F.explode("found").alias("f")).select("case_id", "arrived_at", "f.*")
 
 
-def detect_actions(spark: SparkSession, directory: str) -> DataFrame:
-    """How many findings and matches each action gets under the default policy."""
-    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+def _actions(spark: SparkSession, directory: str, chosen: list[op.Detector]) -> DataFrame:
     rows = _cases(spark, directory).select(F.explode(op.findings(F.col("text"), chosen, op.policy())).alias("f")).select("f.*")
     return rows.groupBy("action", "category").agg(F.count(F.lit(1)).alias("findings"), F.sum("cnt").alias("matches"))
 
 
+def detect_actions(spark: SparkSession, directory: str) -> DataFrame:
+    """How many findings and matches each action gets under the default policy (the CHECKED categories)."""
+    return _actions(spark, directory, _checked(spark))
+
+
 def detect_redacted(spark: SparkSession, directory: str) -> DataFrame:
     """Inputs redacted under the default policy (secrets and e-mail addresses)."""
     rows = op.redact(_cases(spark, directory), "text", op.builtin(spark), op.policy())
@@ -49,25 +59,51 @@ def detect_redacted_pci(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("case_id", "arrived_at", "redacted")
 
 
-def detect_guard(spark: SparkSession, directory: str) -> DataFrame:
-    """What a gate with the strict preset does with each input."""
-    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+def _guard(spark: SparkSession, directory: str, chosen: list[op.Detector]) -> DataFrame:
     rows = _cases(spark, directory).withColumn("verdict", op.verdict(op.findings(F.col("text"), chosen, op.policy("strict"))))
     return rows.select("case_id", "arrived_at", "verdict")
 
 
-def detect_flags(spark: SparkSession, directory: str) -> DataFrame:
-    """What a ledger notes of each input under the GDPR preset."""
-    chosen = [d for d in op.builtin(spark) if d.category in CHECKED]
+def detect_guard(spark: SparkSession, directory: str) -> DataFrame:
+    """What a gate with the strict preset does with each input (the CHECKED categories)."""
+    return _guard(spark, directory, _checked(spark))
+
+
+def _flags(spark: SparkSession, directory: str, chosen: list[op.Detector]) -> DataFrame:
     rows = _cases(spark, directory).select("case_id", "arrived_at", F.explode(op.auto_flags(op.findings(F.col("text"), chosen, op.policy("gdpr")))).alias("f"))
     return rows.select("case_id", "arrived_at", "f.action", F.array_join("f.categories", ",").alias("categories"), "f.severity")
 
 
+def detect_flags(spark: SparkSession, directory: str) -> DataFrame:
+    """What a ledger notes of each input under the GDPR preset (the CHECKED categories)."""
+    return _flags(spark, directory, _checked(spark))
+
+
 def redaction_scrubbed(spark: SparkSession, directory: str) -> DataFrame:
     """The recordings' scrubber over the scrubber cases."""
     return table(spark, directory, "redaction").select("case_id", "arrived_at", op.scrub_recording(F.col("input")).alias("output"))
 
 
+def detect_counts_all(spark: SparkSession, directory: str) -> DataFrame:
+    """Matches per category in every delivered input, with the whole registry."""
+    return _counts(spark, directory, op.builtin(spark))
+
+
+def detect_actions_all(spark: SparkSession, directory: str) -> DataFrame:
+    """How many findings and matches each action gets under the default policy, with the whole registry."""
+    return _actions(spark, directory, op.builtin(spark))
+
+
+def detect_guard_all(spark: SparkSession, directory: str) -> DataFrame:
+    """What a gate with the strict preset and the whole registry does with each input."""
+    return _guard(spark, directory, op.builtin(spark))
+
+
+def detect_flags_all(spark: SparkSession, directory: str) -> DataFrame:
+    """What a ledger notes of each input under the GDPR preset, with the whole registry."""
+    return _flags(spark, directory, op.builtin(spark))
+
+
 QUERIES = {
     "detect_counts": detect_counts,
     "detect_findings": detect_findings,
@@ -77,6 +113,10 @@ QUERIES = {
     "detect_guard": detect_guard,
     "detect_flags": detect_flags,
     "redaction_scrubbed": redaction_scrubbed,
+    "detect_counts_all": detect_counts_all,
+    "detect_actions_all": detect_actions_all,
+    "detect_guard_all": detect_guard_all,
+    "detect_flags_all": detect_flags_all,
 }
 
 
