@@ -285,3 +285,21 @@ def test_the_whole_registry_decides(spark, tmp_path):
     assert counts["phone"].phone == counts["iban"].iban == counts["bic"].swift_bic == 1
     assert {"phone", "iban", "swift_bic"} <= {r.category for r in Q.detect_actions_all(spark, str(tmp_path)).collect()}
     assert "phone" in ",".join(r.categories for r in Q.detect_flags_all(spark, str(tmp_path)).collect())
+
+
+def test_packing_counts_the_whole_contents(spark, tmp_path):
+    from tidemark.plans import text_queries as Q
+
+    nested = [{"type": "text", "text": "one two"}, {"type": "tool_result", "content": [{"type": "text", "text": "three"}, {"rows": [1, 2]}]}, {"type": "image_url", "image_url": {"url": "u" * 999}}, {"type": "tool_result", "content": "four"}]
+    lists = [["x" * 10, "x " * 5000, "short"], [nested], [None, ""]]
+    flat = [["x" * 10, "x " * 5000, "short"], ['one twothree{"rows":[1,2]}four'], ["", ""]]
+    entries = [(i, json.dumps({"messages": [{"role": "user", "content": c} for c in m]})) for i, m in enumerate(lists)]
+    rows = spark.createDataFrame([("c", entries)], "cassette_id string, entries array<struct<seq int, request string>>")
+    rows.withColumn("arrived_at", F.lit("2026-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/llm.parquet")
+    sizes = [[compress.estimate(t) for t in texts] for texts in flat]
+    assert [r.tokens for r in Q._content_tokens(spark, str(tmp_path)).orderBy("seq").collect()] == sizes
+    fit = {r.seq: (r.used, r.kept) for r in Q.pack_first_fit_content(spark, str(tmp_path)).collect()}
+    assert fit[0] == (3 + 4 + sizes[0][0] + 4 + sizes[0][2], "0,2") and fit[2] == (11, "0,1")
+    assert {r.seq: r.kept for r in Q.pack_history_content(spark, str(tmp_path)).collect()} == {0: 1, 1: 1, 2: 2}
+    cost = spark.range(1).select(packing.content_tokens(F.parse_json(F.lit(json.dumps(nested))), image_tokens=85).alias("n")).first().n
+    assert cost == sizes[1][0] + 85

@@ -9,11 +9,44 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions import text as tx
+
 #: Tokens charged once per context and per message.
 PRIMING, PER_MESSAGE = 3, 4
 # Ranks of roles in the default order.
 ROLE_RANK = {"system": 0, "history": 1, "tool": 1, "assistant": 2, "user": 3}
 
+#: Tokens of an image part, unless the caller says otherwise.
+IMAGE_TOKENS = 0
+
+
+def content_tokens(content: Column, fam: Column | str = "default", image_tokens: int = IMAGE_TOKENS) -> Column:
+    """Tokens of a message's whole content, a VARIANT: a text, or a list of parts at two levels (parts of tool results).
+
+    A part counts with its text; a part of another kind with its JSON, so nothing is left out; an image part costs
+    ``image_tokens`` besides its text. A null content has no tokens.
+    """
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    kind = lambda v: F.coalesce(F.substr(F.schema_of_variant(v), F.lit(1), F.lit(6)), F.lit("VOID"))
+    inner = lambda p: get(p, "$.content", "variant")
+    image = lambda p: F.coalesce(get(p, "$.type", "string").isin("image", "image_url"), F.lit(False))
+
+    def pieces(part: Column) -> Column:
+        below = inner(part)
+        listed = F.when(kind(below) == "ARRAY<", get(below, "$", "array<variant>"))
+        return F.coalesce(listed, F.when(kind(below) == "STRING", F.array(below)), F.array(part))
+
+    def text(part: Column) -> Column:
+        own = F.when(kind(get(part, "$.text", "variant")) == "STRING", get(part, "$.text", "string"))
+        plain = F.when(kind(part).isin("OBJECT", "ARRAY<"), F.when(image(part), F.coalesce(own, F.lit(""))).otherwise(F.coalesce(own, F.to_json(part))))
+        return F.coalesce(plain, get(part, "$", "string"), F.lit(""))
+
+    def of_parts(parts: Column) -> Column:
+        return tx.token_estimate(F.array_join(F.transform(parts, text), ""), fam) + F.size(F.filter(parts, image)) * F.lit(image_tokens)
+
+    parts = F.when(kind(content) == "ARRAY<", F.flatten(F.transform(get(content, "$", "array<variant>"), pieces))).otherwise(F.array(content))
+    return F.when(kind(content) == "VOID", F.lit(0)).otherwise(tx.let(parts, of_parts)).cast("long")
+
 
 def kept_history(tokens: Column, budget: int, reserve: int = 0) -> Column:
     """How many of the newest turns fit: a suffix that ends at the first turn that doesn't."""

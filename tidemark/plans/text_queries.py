@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.json import strict_json
 from tidemark.operators import compress, packing
 from tidemark.plans.gate_queries import tokens_sql
 from tidemark.sources.tables import table
@@ -106,6 +107,25 @@ def pack_first_fit(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("cassette_id", "arrived_at", "seq", "fit.used", F.array_join(F.col("fit.kept").cast("array<string>"), ",").alias("kept"))
 
 
+def _content_tokens(spark: SparkSession, directory: str) -> DataFrame:
+    rows = table(spark, directory, "llm").select("cassette_id", "arrived_at", F.explode("entries").alias("e"))
+    rows = rows.withColumn("m", F.try_variant_get(strict_json("e.request"), "$.messages", "array<variant>")).filter("m IS NOT NULL")
+    size = F.transform("m", lambda x: packing.content_tokens(F.try_variant_get(x, "$.content", "variant")))
+    return rows.select("cassette_id", "arrived_at", "e.seq", size.alias("tokens"))
+
+
+def pack_history_content(spark: SparkSession, directory: str) -> DataFrame:
+    """How many of the newest messages fit the budget, by the tokens of their whole contents."""
+    rows = _content_tokens(spark, directory)
+    return rows.select("cassette_id", "arrived_at", "seq", packing.kept_history(F.col("tokens"), BUDGET, RESERVE).alias("kept"))
+
+
+def pack_first_fit_content(spark: SparkSession, directory: str) -> DataFrame:
+    """Which messages fit the budget when tried in order, by the tokens of their whole contents."""
+    rows = _content_tokens(spark, directory).withColumn("fit", packing.first_fit(F.col("tokens"), BUDGET, RESERVE))
+    return rows.select("cassette_id", "arrived_at", "seq", "fit.used", F.array_join(F.col("fit.kept").cast("array<string>"), ",").alias("kept"))
+
+
 def pack_orders(spark: SparkSession, directory: str) -> DataFrame:
     """The roles of each request in the three message orders and in packing order."""
     roles = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m.role, m.priority.cast("string"))), ",")
@@ -140,6 +160,8 @@ QUERIES = {
     "word_frequencies": word_frequencies,
     "pack_history": pack_history,
     "pack_first_fit": pack_first_fit,
+    "pack_history_content": pack_history_content,
+    "pack_first_fit_content": pack_first_fit_content,
     "pack_orders": pack_orders,
     "pack_providers": pack_providers,
 }
