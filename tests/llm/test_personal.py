@@ -70,3 +70,18 @@ def test_a_list_of_names_beyond_the_bound_is_refused(spark):
     assert len(P.known_names(table)) == 6
     with pytest.raises(ValueError):
         P.known_names(table, 3)
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("call 415-555-0100 415-555-0199 now", ["415-555-0100", "415-555-0199"]),
+        ("tel 0171 2345678 0172 3456789", ["0171 2345678", "0172 3456789"]),
+        ("suite 12 415-555-0100", ["415-555-0100"]),
+        ("9 020 7946 0123 or", ["020 7946 0123"]),
+        ("+49 30 1234567 0171 2345678", ["+49 30 1234567", "0171 2345678"]),
+        ("card 4000 0012 3456 7899, ticket 12 345 678 9012", []),
+    ],
+)
+def test_every_number_of_a_run(text, expected):
+    assert [v for k, v in found(text) if k == "phone"] == expected

@@ -369,12 +369,11 @@ class Finder:
             if not m:
                 continue
             done = m.end()
-            for a, b in self._phone_parts(m.group()):
+            for a, b in self._phone_parts(text, low, begin, m.group()):
                 span = begin + a, begin + b
-                if self._is_phone(text, low, *span):
-                    ext = self._EXT.match(text, span[1])
-                    out.append((span[0], ext.end() if ext else span[1], "phone"))
-                    done = max(done, out[-1][1])
+                ext = self._EXT.match(text, span[1])
+                out.append((span[0], ext.end() if ext else span[1], "phone"))
+                done = max(done, out[-1][1])
         return out
 
     _SHAPES = (
@@ -385,19 +384,40 @@ class Finder:
         re.compile(r"\d{10}"),
     )
 
-    def _phone_parts(self, run: str) -> Iterator[tuple[int, int]]:
-        """The pieces of a run of digits and separators that have the shape of a phone number."""
-        for shape in self._SHAPES:
-            m = shape.fullmatch(run)
-            if m:
-                yield 0, len(run)
-                return
-        # a number that is followed by another one, as a house number or a postal code
-        for shape in self._SHAPES[:4]:
-            m = shape.match(run)
-            if m and (m.end() == len(run) or run[m.end()] in " "):
-                yield 0, m.end()
-                return
+    def _phone_parts(self, text: str, low: str, begin: int, run: str) -> list[tuple[int, int]]:
+        """The phone numbers in the run of digits and separators at ``begin``: of the ways to cut it at its blanks, the
+        one whose numbers hold most digits, then the one with fewest numbers.
+
+        A group of a labelled or four by four grouped number begins no phone number.
+        """
+        starts = [0, *(i + 1 for i, ch in enumerate(run) if ch == " ")]
+        ends = [*(i - 1 for i in starts[1:]), len(run)]
+        word = re.search(r"([^\W\d_]+)[\s.:#=\"'-]*$", low[max(0, begin - 24) : begin])
+        labelled = bool(word) and word.group(1) in NOT_PHONE
+        group = [re.sub(r"\D", "", run[x:y]) for x, y in zip(starts, ends, strict=True)]
+
+        def good(i: int, j: int, fresh: bool) -> bool:
+            piece = run[starts[i] : ends[j]]
+            if fresh and i and (len(group[i - 1]) == len(group[i]) == 4 or labelled and " " in piece):
+                return False
+            return any(shape.fullmatch(piece) for shape in self._SHAPES) and self._is_phone(text, low, begin + starts[i], begin + ends[j])
+
+        # best[i][fresh]: (digits, -numbers, (span, further spans)) of the groups from i on; fresh: the group before is in no number
+        best: list[list[tuple]] = [[(0, 0, None)] * 2 for _ in range(len(starts) + 1)]
+        for i in range(len(starts) - 1, -1, -1):
+            for fresh in (False, True):
+                choice = best[i + 1][True]
+                for j in range(min(i + 8, len(starts)) - 1, i - 1, -1):
+                    after = best[j + 1][False]
+                    score = after[0] + sum(map(len, group[i : j + 1])), after[1] - 1
+                    if score > choice[:2] and good(i, j, fresh):
+                        choice = (*score, ((starts[i], ends[j]), after[2]))
+                best[i][fresh] = choice
+        out, rest = [], best[0][True][2]
+        while rest:
+            out.append(rest[0])
+            rest = rest[1]
+        return out
 
     def _is_phone(self, text: str, low: str, begin: int, end: int) -> bool:
         number = text[begin:end]
