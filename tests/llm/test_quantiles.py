@@ -76,3 +76,11 @@ def test_dirty_latencies_and_models(spark):
     assert got == [12.5, 197.0, 1500.0, None, None, None, None, 100.0, None]
     models = spark.createDataFrame([(" GW/Quillon-4 ",), (None,)], "m string").coalesce(1).select(model_name(F.col("m"))).collect()
     assert [r[0] for r in models] == ["quillon-4", None]
+
+
+def test_values_are_exact_to_a_part_in_five_thousand():
+    assert Q.FRACTION == 12 and Q.BITS == 24
+    for v in (1.0001, 3.0, 1234.567, -7.7e-5):
+        e = int(np.floor(np.log2(abs(v))))
+        cell = (e + 1022) * (1 << Q.FRACTION) + int((abs(v) / 2.0**e - 1) * (1 << Q.FRACTION)) + 1
+        assert Q.decode(Q.HALF + cell if v > 0 else Q.HALF - cell) == pytest.approx(v, rel=2.0**-13 * 1.001)

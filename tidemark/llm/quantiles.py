@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FRACTION = 10
-BITS = 22
+FRACTION = 12
+BITS = 24
 HALF = 1 << (BITS - 1)
 WIDTH, DEPTH = 1024, 5
 #: Levels with at most 2**EXACT_BITS cells are counted exactly.
