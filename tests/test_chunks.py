@@ -67,3 +67,14 @@ def test_running_sum_over_everything(spark):
     df = spark.range(0, 1000, 1, 6).withColumn("v", F.lit(2).cast("long"))
     got = {r.id: r.before_v for r in ordered.running(df, None, [F.col("id")], ["v"]).collect()}
     assert all(got[i] == 2 * i for i in range(1000))
+
+
+def test_a_key_with_a_tenth_of_the_rows_is_split_by_default(spark):
+    df = spark.createDataFrame([("hot" if i % 10 == 0 else f"k{i}", i) for i in range(5000)], "k string, v long").repartition(3)
+    rows = chunks.numbered(df, ["k"])
+    placed = chunks.chunked(rows, "k", chunks.chunk_size(rows)).filter("k = 'hot'")
+    assert placed.select("__chunk").distinct().count() > 1
+    assert sorted(r[0] for r in placed.select("__position").collect()) == list(range(500))
+    got = chunks.totals(rows, "k", {"n": F.count(F.lit(1)), "s": F.sum("v")}, {"rows": F.sum("n"), "states": F.count(F.lit(1)), "total": F.sum("s")})
+    hot = got.filter("k = 'hot'").first()
+    assert hot.rows == 500 and hot.states > 1 and hot.total == sum(range(0, 5000, 10))

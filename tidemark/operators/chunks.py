@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from tidemark.storage import written
 
-#: Rows of a chunk, unless the caller says otherwise: small enough for one task, whatever the key.
+#: Most rows of a chunk, unless the caller says otherwise: small enough for one task, whatever the key.
 CHUNK_ROWS = 1_000_000
+#: A table is cut into at least so many chunks' worth of rows, and so many for each task slot: a key with a tenth of the rows is split.
+LEAST_CHUNKS, CHUNKS_A_SLOT = 20, 2
 #: A key may be spread over so many partitions before its offsets are joined by a shuffle.
 BROADCAST_OFFSETS = 200_000
 
@@ -55,6 +57,12 @@ def numbered(df: DataFrame, keys: list[str], name: str = "chunks") -> DataFrame:
     return written(with_part.mapInPandas(number, schema), name)
 
 
+def chunk_size(rows: DataFrame) -> int:
+    """Rows of a chunk for this table: its rows divided by a multiple of the task slots, at most CHUNK_ROWS."""
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(CHUNK_ROWS, rows.count() // max(LEAST_CHUNKS, CHUNKS_A_SLOT * slots)))
+
+
 def offsets(rows: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     """(__part, key, __offset) of the keys with more than ``chunk_rows`` rows: the rows in earlier partitions."""
     counts = rows.groupBy("__part", key).agg(F.count(F.lit(1)).alias("__n"))
@@ -83,11 +91,12 @@ def chunked(rows: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     return joined.withColumn("__position", position).withColumn("__chunk", chunk.cast("long")).drop("__p", "__k", "__offset")
 
 
-def totals(rows: DataFrame, key: str, states: dict[str, Column], merges: dict[str, Column], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def totals(rows: DataFrame, key: str, states: dict[str, Column], merges: dict[str, Column], chunk_rows: int | None = None) -> DataFrame:
     """(key, merged columns): ``states`` reduces each chunk, ``merges`` combines the states of a key.
 
     ``merges`` sees one row per chunk with the state columns and ``__chunk``; order-dependent merges
-    use it, e.g. ``F.max_by('last', '__chunk')``.
+    use it, e.g. ``F.max_by('last', '__chunk')``. Without ``chunk_rows`` it is ``chunk_size``.
     """
+    chunk_rows = chunk_size(rows) if chunk_rows is None else chunk_rows
     chunk_states = chunked(rows, key, chunk_rows).groupBy(key, "__chunk").agg(*(c.alias(n) for n, c in states.items()))
     return chunk_states.groupBy(key).agg(*(c.alias(n) for n, c in merges.items()))

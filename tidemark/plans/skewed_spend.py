@@ -30,7 +30,7 @@ def spend_keys(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-def _totals(rows: DataFrame, key: str) -> DataFrame:
+def _totals(rows: DataFrame, key: str, chunk_rows: int) -> DataFrame:
     states = {
         "c_rows": F.count(F.lit(1)),
         "c_tokens": F.sum("tokens"),
@@ -45,12 +45,13 @@ def _totals(rows: DataFrame, key: str) -> DataFrame:
         "first_ts": F.min("c_first"),
         "last_ts": F.max("c_last"),
     }
-    merged = chunks.totals(rows, key, states, merges)
+    merged = chunks.totals(rows, key, states, merges, chunk_rows)
     return merged.select(F.lit(key).alias("key_kind"), F.col(key).alias("key_value"), *merges)
 
 
 def _all_totals(rows: DataFrame) -> DataFrame:
-    first, *rest = (_totals(rows, key) for key in KEYS)
+    chunk_rows = chunks.chunk_size(rows)
+    first, *rest = (_totals(rows, key, chunk_rows) for key in KEYS)
     for other in rest:
         first = first.unionByName(other)
     return first
