@@ -1,7 +1,7 @@
 """Running sums and positions in an order, without a task or the driver holding a group.
 
-Rows are range-sorted by group and order and written once (so both passes see the same partitions); each
-partition sums its own rows per group while it writes; the sums per (partition, group) get their prefix sums, which
+Rows are written (a range sort samples its input, which would otherwise be computed twice), range-sorted by group and
+order and written again (so both passes see the same partitions); each partition sums its own rows per group while it writes; the sums per (partition, group) get their prefix sums, which
 are the running totals at which each partition's share of a group begins. A hot group is spread over as many
 partitions as it needs, and a row's running total is its partition's start plus the sum inside.
 
@@ -18,15 +18,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.storage import written
+from tidemark.storage import broadcast_if_small, written
 
-#: Starts of so many (partition, group) pairs are joined by broadcast, more by a shuffle.
-BROADCAST_STARTS = 200_000
+
+def _stored(df: DataFrame) -> bool:
+    """Do the rows come straight from files, so that reading them twice is cheap?"""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return not any(word in plan.toString() for word in ("Join", "Aggregate", "Window", "InPandas", "InArrow", "EvalPython", "Generate"))
 
 
 def running(df: DataFrame, group: str | None, order: list[Column], values: list[str], name: str = "running") -> DataFrame:
     """``df`` with ``before_<value>`` for each of the BIGINT ``values``: its sum over all earlier rows of the group."""
     keys = [F.col(group)] if group else []
+    df = df if _stored(df) else written(df, f"{name}-rows")
     ordered = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
     added = [T.StructField("__part", T.IntegerType()), *(T.StructField(f"__in_{v}", T.LongType()) for v in values)]
     schema = T.StructType([*ordered.schema.fields, *added])
@@ -62,9 +66,7 @@ def running(df: DataFrame, group: str | None, order: list[Column], values: list[
     )
     # a group that lies in one partition starts at 0: only the others need a start
     starts = starts.filter(" OR ".join(f"__start_{v} <> 0" for v in values))
-    starts = written(starts, f"{name}-starts")
-    if starts.limit(BROADCAST_STARTS + 1).count() <= BROADCAST_STARTS:
-        starts = F.broadcast(starts)
+    starts = broadcast_if_small(written(starts, f"{name}-starts"))
     same = F.col("__part") == F.col("__p")
     rows = rows.join(starts, same & F.col(group).eqNullSafe(F.col("__g")) if group else same, "left")
     for v in values:

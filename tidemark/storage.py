@@ -13,6 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only below both bounds; beyond them it is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _local_dirs: dict[str, str] = {}
 _tables: list[tuple[SparkSession, str]] = []
@@ -58,6 +62,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(side: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``side`` marked for a broadcast if it is counted to have at most ``rows`` rows and ``size`` bytes, else as it is.
+
+    It is read twice, so give a written or otherwise cheap one.
+    """
+    one = side.limit(rows + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("size"))
+    found = one.agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).first()
+    return F.broadcast(side) if found["n"] <= rows and (found["size"] or 0) <= size else side
+
+
 def dropped(table: DataFrame) -> None:
     """Remove a table made by ``written`` once nothing will read it again."""
     for file in table.inputFiles()[:1]:
