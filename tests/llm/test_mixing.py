@@ -88,3 +88,26 @@ def test_tokens_of_long_texts_nulls_and_special_strings(spark):
     rows = [(1, None), (2, ""), (3, "hello world"), (4, "<|endoftext|>"), (5, "word " * 60_000), (6, "x" * 250_000)]
     got = {r.id: r.n for r in spark.createDataFrame(rows, "id int, t string").select("id", M.token_count("t").alias("n")).collect()}
     assert got[1] is None and got[2] == 0 and got[3] == 2 and got[4] > 1 and abs(got[5] - 60_001) < 10 and got[6] > 1000
+
+
+def test_pruned_uses_hold_everything_that_is_served(docs, targets):
+    summed, sources = M.sizes(docs, targets)
+    for budget in (0, 10, 300, M.reachable(sources), 10**9):
+        until = M.last_time(sources, budget)
+        order = lambda rows: sorted((r.finish, r.source, r.round, r.doc_id, r.tokens) for r in rows.collect())
+        everything, kept = order(M.uses(summed, sources)), order(M.uses(summed, sources, until))
+        used, served = 0, []
+        for row in everything:
+            used += row[-1]
+            if used > budget:
+                break
+            served.append(row)
+        assert kept[: len(served)] == served
+        assert until is None or len(kept) < len(everything) or budget > 300
+
+
+def test_long_texts_have_the_tokenizers_own_count(spark):
+    encode = M._encoding(f"{M.TOKENIZER_DIR}/{M.VOCABULARY}").encode_ordinary
+    texts = ["word " * 5 + "abcdefgh" * 30_000 + " end", " " * 200_001 + "x", "eins zwei, drei 4 " * 15_000, "é" * 120_000, ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", M.token_count("t").alias("n")).collect()
+    assert {r.i: r.n for r in rows} == {i: len(encode(t)) for i, t in enumerate(texts)}

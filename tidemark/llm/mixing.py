@@ -11,7 +11,7 @@ driver holds no documents.
 Defined results: documents without text, with a source that has no target, or with a null source are no candidates;
 an empty text has no tokens and costs nothing; a share of zero or null takes nothing; repeated rows are separate records. A source without tokens (no documents, or only
 empty texts) can't reach its share: it doesn't bound the total, and the report has it with share 0 and ``reachable`` false; the others
-keep their proportions to each other.
+keep their proportions to each other. Targets that name one source in two spellings are added up, with the larger ``max_repeats``.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ordered import running
-from tidemark.storage import written
+from tidemark.storage import broadcast_if_small, written
 
 #: Folder of the public tokenizers' files and the vocabulary that sizes are counted in.
 TOKENIZER_DIR, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits a text before this vocabulary's merges.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are split at blanks before they are encoded, as one long run costs more than its length.
-PIECE_CHARS = 100_000
+#: Targets are a short list; one with more sources is served without pruning the queue.
+MAX_SOURCES = 10_000
 SEED = 17
 
 
@@ -50,19 +50,7 @@ def token_count(text: Column | str, path: str = f"{TOKENIZER_DIR}/{VOCABULARY}")
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         encode = _encoding(path).encode_ordinary
-
-        def size(text: object) -> int | None:
-            if not isinstance(text, str):
-                return None
-            total, at = 0, 0
-            while len(text) - at > PIECE_CHARS:
-                cut = text.rfind(" ", at + 1, at + PIECE_CHARS)
-                cut = at + PIECE_CHARS if cut <= at else cut
-                total += len(encode(text[at:cut]))
-                at = cut
-            return total + len(encode(text[at:] if at else text))
-
-        return pd.Series([size(t) for t in texts], dtype="Int64")
+        return pd.Series([len(encode(t)) if isinstance(t, str) else None for t in texts], dtype="Int64")
 
     return count(text)
 
@@ -72,25 +60,64 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(source)), r"[\s-]+", "_")
 
 
-def queue(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> tuple[DataFrame, DataFrame]:
-    """(queue, sources): every admissible use of a document with its virtual finish time, and what each source has.
+def sizes(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> tuple[DataFrame, DataFrame]:
+    """(documents, sources): the candidates with the tokens of their source ``before`` them, and what each source has.
 
-    Queue: doc_id, source, round, tokens, finish. Sources: source, target_share, max_repeats, documents, total.
+    Documents: doc_id, source, tokens, before. Sources: source, target_share, max_repeats, documents, total, largest.
     """
-    wanted = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").select(
-        source_name(F.col("source")).alias("source"), "target_share", "max_repeats"
-    )
+    wanted = targets.filter("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy(source_name(F.col("source")).alias("source"))
+    wanted = wanted.agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     docs = documents.filter("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", source_name(F.col("source")).alias("source"), token_count("text", tokenizer).alias("tokens"))
-    docs = docs.join(F.broadcast(wanted.select("source")), "source", "left_semi")
+    docs = docs.join(broadcast_if_small(wanted.select("source")), "source", "left_semi")
     # written first: a range sort samples its input, and would encode every text a second time
     docs = written(docs.withColumn("place", F.xxhash64(F.lit(seed), "doc_id")), "sizes")
     summed = running(docs, "source", [F.col("place"), F.col("doc_id")], ["tokens"], "queue").withColumnRenamed("before_tokens", "before")
-    sources = summed.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("total"))
-    sources = wanted.join(sources, "source", "left").na.fill(0, ["documents", "total"])
-    uses = summed.join(F.broadcast(sources.select("source", "target_share", "max_repeats", "total")), "source")
-    uses = uses.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("max_repeats"))))
+    have = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("tokens").alias("total"), F.max("tokens").alias("largest"))
+    return summed, wanted.join(have, "source", "left").na.fill(0, ["documents", "total", "largest"])
+
+
+def uses(summed: DataFrame, sources: DataFrame, until: float | None = None) -> DataFrame:
+    """(doc_id, source, round, tokens, finish): every admissible use of a document with its virtual finish time.
+
+    With ``until`` the uses that finish later aren't made: they can't be served (``last_time``).
+    """
+    rows = summed.join(broadcast_if_small(sources.select("source", "target_share", "max_repeats", "total")), "source")
+    rounds = F.col("max_repeats")
+    if until is not None:
+        needed = F.ceil(F.lit(until) * F.col("target_share") / F.col("total")) + 1
+        rounds = F.when(F.col("total") > 0, F.least(rounds.cast("long"), needed)).otherwise(rounds).cast("int")
+    rows = rows.withColumn("round", F.explode(F.sequence(F.lit(1), rounds)))
     served = (F.col("round") - 1) * F.col("total") + F.col("before") + F.col("tokens")
-    return uses.select("doc_id", "source", "round", "tokens", (served / F.col("target_share")).alias("finish")), sources
+    out = rows.select("doc_id", "source", "round", "tokens", (served / F.col("target_share")).alias("finish"))
+    return out if until is None else out.filter(F.col("finish") <= F.lit(until))
+
+
+def queue(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = f"{TOKENIZER_DIR}/{VOCABULARY}") -> tuple[DataFrame, DataFrame]:
+    """(queue, sources): every admissible use of a document (see ``uses``), and what each source has (see ``sizes``)."""
+    summed, sources = sizes(documents, targets, seed, tokenizer)
+    return uses(summed, sources), sources
+
+
+def last_time(sources: DataFrame, budget: int) -> float | None:
+    """A virtual time by which more than ``budget`` tokens are served for sure; None if there is none.
+
+    By time v a source has served share * v tokens less at most one document, or all it has. What finishes later lies
+    beyond the cut, so it needs no place in the global sort.
+    """
+    rows = sources.select("target_share", (F.col("max_repeats") * F.col("total")).alias("most"), "largest").limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES or sum(r["most"] for r in rows) <= budget:
+        return None
+    enough = lambda v: sum(min(r["most"], max(0.0, r["target_share"] * v - r["largest"])) for r in rows) >= budget + 1
+    high = 1.0
+    while not enough(high):
+        high *= 2
+        if high > 1e300:
+            return None
+    low = 0.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high * (1 + 1e-9)
 
 
 def reachable(sources: DataFrame) -> int:
@@ -111,11 +138,12 @@ def select_mix(documents: DataFrame, targets: DataFrame, budget: int | None = No
 
     ``budget`` is the total of tokens; without one it is the largest at which all shares can be met.
     """
-    uses, sources = queue(documents, targets, seed, tokenizer)
+    summed, sources = sizes(documents, targets, seed, tokenizer)
     sources = written(sources, "sources")
     total = reachable(sources) if budget is None else budget
+    candidates = uses(summed, sources, last_time(sources, total))
     order = [F.col("finish"), F.col("source"), F.col("round"), F.col("doc_id")]
-    served = running(uses, None, order, ["tokens"], "served").filter(F.col("before_tokens") + F.col("tokens") <= F.lit(total)).drop("before_tokens")
+    served = running(candidates, None, order, ["tokens"], "served").filter(F.col("before_tokens") + F.col("tokens") <= F.lit(total)).drop("before_tokens")
     got = served.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.countDistinct("doc_id").alias("used_documents"), F.max("round").alias("most_uses"))
     report = sources.join(got, "source", "left").na.fill(0, ["tokens", "used_documents", "most_uses"])
     everything = report.agg(F.sum("tokens").alias("everything"))

