@@ -50,16 +50,53 @@ def test_parts_and_days_merge_to_the_same_sketch_and_values_can_be_deleted(spark
     df = spark.createDataFrame([(float(v), int(i % 3)) for i, v in enumerate(values)], "v double, day int").withColumn("g", F.lit("x"))
     whole = Q.sketch(df, ["g"], "v")
     days = Q.merge(Q.sketch(df, ["g", "day"], "v"), ["g"])
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, days.collect()))
+    plain = lambda sketch: sorted(map(tuple, Q.counters(sketch, ["g"]).collect()))
+    assert plain(whole) == plain(days)
     minus = df.filter("day = 0").withColumn("w", F.lit(-1)).unionByName(df.withColumn("w", F.lit(1)))
     kept = Q.sketch(df.filter("day <> 0"), ["g"], "v")
-    assert sorted(map(tuple, Q.sketch(minus, ["g"], "v", "w").collect())) == sorted(map(tuple, kept.collect()))
+    assert plain(Q.sketch(minus, ["g"], "v", "w")) == plain(kept)
     assert Q.percentiles(Q.sketch(df.withColumn("w", F.lit(0)), ["g"], "v", "w"), ["g"], QS).count() == 0
 
 
 def test_a_sketch_is_bounded(spark):
     df = spark.range(200_000).select(F.lit("x").alias("g"), (F.rand(1) * 1e6).alias("v"))
-    assert Q.sketch(df, ["g"], "v").count() <= Q.MAX_COUNTERS
+    sketch = Q.sketch(df, ["g"], "v")
+    assert Q.counters(sketch, ["g"]).count() <= Q.MAX_COUNTERS and sketch.count() <= Q.TABLE_ROWS
+
+
+def test_counters_are_sums_over_all_values_whatever_a_task_holds(spark, monkeypatch):
+    values = sample(3000)
+    df = spark.createDataFrame([(f"g{i % 5}", float(v)) for i, v in enumerate(values)], "g string, v double")
+    want: dict = {}
+    for g, code in df.select("g", Q.encode(F.col("v"))).collect():
+        for level in range(Q.BITS + 1):
+            x = code >> level
+            for row, (a, b, c, d) in enumerate(Q.CONSTANTS[level] if level <= Q.FIRST_SKETCHED else [(1, 0, 0, 0)]):
+                key = (g, level, row, (a * x + b) % Q.PRIME % Q.WIDTH if level <= Q.FIRST_SKETCHED else x)
+                want[key] = want.get(key, 0) + (1 - 2 * ((c * x + d) % Q.PRIME % 2) if level <= Q.FIRST_SKETCHED else 1)
+    want = {k: n for k, n in want.items() if n}
+    parts = [Q._Partial(["g"]) for _ in range(2)]
+    coded = df.select("g", Q.encode(F.col("v")).alias("__code"), F.lit(1).cast("long").alias("__w")).toPandas()
+    got: dict = {}
+    monkeypatch.setattr(Q, "GROUPS_AT_ONCE", 2)
+    for part, rows in zip(parts, (coded[:1000], coded[1000:]), strict=True):
+        part.add(rows[:300])
+        part.add(rows[300:])
+        for frame in part.counters():
+            for g, level, row, buckets, counts in frame.itertuples(index=False):
+                for b, n in zip(buckets, counts, strict=True):
+                    got[g, level, row, b] = got.get((g, level, row, b), 0) + n
+    assert {k: n for k, n in got.items() if n} == want
+    direct = {(r.g, r.level, r.row, r.bucket): r.n for r in Q.counters(Q.sketch(df.repartition(3), ["g"], "v"), ["g"]).collect()}
+    assert direct == want
+
+
+def test_the_stated_error_is_close_to_the_real_one(spark):
+    values = sample(40_000, 8)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").withColumn("g", F.lit("x"))
+    got = Q.percentiles(Q.sketch(df, ["g"], "v"), ["g"], [i / 100 for i in range(1, 100)]).collect()
+    check(values, got)
+    assert got[0].rank_error < 0.015
 
 
 def test_nulls_infinities_ties_empty_tables_and_clashing_columns(spark):
