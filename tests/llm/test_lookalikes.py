@@ -87,10 +87,26 @@ def test_requests_agree_in_everything_else(spark):
     no_stream = alike | {"stream": False}
     rows = [(json.dumps(r), v) for r in (base, alike, other_model, no_stream) for v in (1, 2)] + [("{", 1), (None, 2)]
     df = spark.createDataFrame(rows, "r string, v int").coalesce(1)
-    got = [r[0] for r in df.select(Q.request_forms("r", "v", ())).collect()]
+    parts = df.select(F.lit("llm").alias("tbl"), F.col("v").alias("version"), F.monotonically_increasing_id().cast("string").alias("key"), Q.request_parts("r", "v").alias("p"))
+    assert parts.select("p.texts").first().texts == ["cost", "x y"]
+    by_key = {r.key: r for r in Q.forms(parts.select("tbl", "version", "key", "p.*")).collect()}
+    assert set(by_key) == {str(i) for i in range(8)}  # the unreadable and the null request have no form
+    got = [by_key[str(i)] for i in range(8)]
     base1, base2, alike1, alike2, other1, other2, stream1, stream2 = got[:8]
     assert base1.form == alike1.form == stream1.form and base1.same != alike1.same == stream1.same
     assert base2.form == alike2.form != stream2.form and other1.form != base1.form and other2.form != base2.form
-    assert got[8].form is None and got[9].form is None
-    text = df.select(Q.request_text("r").alias("t"), F.col("v")).first().t
-    assert text == "cost\nx y"
+
+
+def test_classes_count_spellings_and_distinct_keys(spark):
+    rows = [("a", "f", "1"), ("b", "f", "1"), ("c", "f", "2"), ("d", "g", "3"), ("e", "g", "3"), ("c", "f", "2")]
+    df = spark.createDataFrame(rows, "key string, form string, same string")
+    assert sorted(map(tuple, Q.classes(df, []).collect())) == [("f", 2, 3), ("g", 1, 2)]
+
+
+def test_rules_are_followed_to_their_end_or_refused():
+    chain = {f"<{i}>": f"<{i + 1}>" for i in range(30)}
+    assert L.Rewriter(chain).rewrite("<0>") == "<30>" and set(L._closed(chain).values()) == {"<30>"}
+    marks = "e" + "\u200b" * 50 + "\u0301"
+    assert REWRITE(marks) == "é"
+    with pytest.raises(ValueError, match="circle"):
+        L.Rewriter({"a": "b", "b": "a"}).rewrite("a")

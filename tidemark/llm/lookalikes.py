@@ -10,11 +10,14 @@
 
 Letter case, accents, digits and words stay different: no pair of the table joins them.
 
+Rules are closed and texts rewritten until nothing changes; rules that never settle are refused.
+
 Defined results: null stays null, an empty text stays empty; the result doesn't change when it is rewritten again.
 """
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from collections import Counter
@@ -22,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,13 +119,13 @@ def rewrites(classes: Classes, counts: dict[str, int]) -> dict[str, str]:
 
 def _closed(rules: dict[str, str]) -> dict[str, str]:
     """Rules whose results need no further rule (a ligature's letters may have representatives of their own)."""
-    for _ in range(8):
+    for _ in range(len(rules) + 1):  # each round settles one more step of the longest way through the rules
         table = Rewriter(rules)
         new = {a: table.rewrite(b) if b not in rules else rules[b] for a, b in rules.items()}
         if new == rules:
-            break
+            return rules
         rules = new
-    return rules
+    raise ValueError("the rules go in a circle")
 
 
 class Rewriter:
@@ -132,19 +136,29 @@ class Rewriter:
         #: First characters of the members that an ASCII text may hold.
         self.plain = set(x[0] for x in rules if x.isascii())
         self.single = {ord(a): b for a, b in rules.items() if len(a) == 1}
-        longer = [a for a in rules if len(a) > 1]
+        self.letters = {a: b for a, b in rules.items() if len(a) == 1}
+        self.lettered = frozenset(self.letters)
+        #: A character of each longer member, one beyond ASCII if it has any: without it the member isn't there.
+        self.signs = set(min(a, key=str.isascii) for a in rules if len(a) > 1)
         self.automaton = ahocorasick.Automaton()
         for a in rules:
             self.automaton.add_word(a, a)
         if rules:
             self.automaton.make_automaton()
-        self.tails = set(x[-1] for x in longer)
+        #: Characters at which a text and its form may get out of step.
+        self.moved = frozenset({*self.letters, *_marks()})
+
+    def _untouched(self, text: str) -> bool:
+        return not self.rules or text.isascii() and (not self.plain or self.plain.isdisjoint(text))
 
     def once(self, text: str) -> str:
-        if not self.rules or text.isascii() and (not self.plain or self.plain.isdisjoint(text)):
+        if self._untouched(text):
+            return text
+        characters = set(text)
+        if self.signs.isdisjoint(characters):
+            for c in characters & self.lettered:
+                text = text.replace(c, self.letters[c])
             return text
-        if self.tails.isdisjoint(text):
-            return text.translate(self.single)
         starts: dict[int, str] = {}
         for end, member in self.automaton.iter(text):
             start = end - len(member) + 1
@@ -162,27 +176,43 @@ class Rewriter:
 
         Letters and their combining marks are joined where Unicode has the joined letter.
         """
-        if text.isascii() and (not self.plain or self.plain.isdisjoint(text)):
+        if self._untouched(text):
+            return text, list(range(len(text)))
+        moved = self.moved.intersection(text)
+        if not moved:
             return text, list(range(len(text)))
         out: list[str] = []
         source: list[int] = []
-        for i, ch in enumerate(text):
-            for c in self.single.get(ord(ch), ch):
+        at = 0
+        for m in re.finditer(f"[{''.join(map(re.escape, sorted(moved)))}]", text):
+            i, ch = m.start(), m.group()
+            out += text[at:i]
+            source += range(at, i)
+            at = i + 1
+            for c in self.letters.get(ch, ch):
                 if unicodedata.combining(c) and out and len(joined := unicodedata.normalize("NFC", out[-1] + c)) == 1:
                     out[-1] = joined
                 else:
                     out.append(c)
                     source.append(i)
+        out += text[at:]
+        source += range(at, len(text))
         return "".join(out), source
 
     def rewrite(self, text: str) -> str:
         """Rewrite until nothing changes: a removed mark may bring a letter and its accent together."""
-        for _ in range(6):
+        for _ in range(len(text) + len(self.rules) + 1):  # closed rules settle a place in one step, which can wake its neighbours once
             new = self.once(text)
             if new == text:
                 return text
             text = new
-        return text
+        raise ValueError("the rules go in a circle")
+
+
+@lru_cache(maxsize=1)
+def _marks() -> frozenset[str]:
+    """All combining marks."""
+    return frozenset(c for c in map(chr, range(0x300, 0x1E950)) if unicodedata.combining(c))
 
 
 @lru_cache(maxsize=4)
@@ -210,13 +240,14 @@ def frequencies(texts: DataFrame, column: str) -> tuple[tuple[str, int], ...]:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         single, automaton = _countable()
-        seen: Counter = Counter()
+        letters, longer = np.zeros(0x110000, np.int64), Counter()
         for batch in batches:
-            for text in batch[column]:
-                if isinstance(text, str):
-                    seen.update(text)
-                    seen.update(x for _, x in automaton.iter(text))
-        kept = [(x, n) for x, n in seen.items() if len(x) > 1 or x in single]
+            text = "\0".join(t for t in batch[column] if isinstance(t, str))
+            points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+            found = np.bincount(points)
+            letters[: len(found)] += found
+            longer.update(x for _, x in automaton.iter(text))
+        kept = [(x, int(letters[ord(x)])) for x in single if letters[ord(x)]] + list(longer.items())
         yield pd.DataFrame(kept, columns=["member", "n"])
 
     rows = texts.select(column).mapInPandas(count, "member string, n long")
