@@ -1,8 +1,8 @@
 """Personal data in free text: found by anchors, bounded by local parsers, replaced by typed placeholders.
 
 An Aho-Corasick automaton runs once over the text (in its one consistent form, see ``lookalikes``) and
-reports anchors: at-signs and their spellings, digits, cues of identity numbers, street words, titles,
-phrases that introduce a person, and known names. A deterministic parser per kind expands each anchor to the left
+reports anchors: at-signs and their spellings, cues of identity numbers, street words, titles,
+phrases that introduce a person, and known names; runs of digits are anchors of phone numbers. A deterministic parser per kind expands each anchor to the left
 and right, validates what it finds (labels and top-level domain of an address, digits of a phone number,
 length of an identity number, a house number next to a street) and yields a span. Where spans overlap, the kind that
 was validated more strictly wins. Spans are positions in the original text, so all the rest stays as it was.
@@ -14,7 +14,8 @@ length are read whole; a placeholder of an earlier scrubber (``<redacted>``) is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.lookalikes import default_rewriter
+from tidemark.llm.lookalikes import Rewriter, default_rewriter
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 PLACEHOLDERS = {"email": "<EMAIL>", "phone": "<PHONE>", "id_number": "<ID_NUMBER>", "street_address": "<ADDRESS>", "person_name": "<NAME>"}
@@ -61,6 +62,10 @@ LOWER_TOWN = re.compile(r",\s+[^\W\d_]+\s+\d{4,5}\b|,\s+[^\W\d_]{3,}(?=\s*(?:[.;
 NOT_PHONE = frozenset(
     "request invoice order ticket item sku batch row offset room card tracking ref reference case build version node suite trace column id no number code serial hash ip factura rechnung facture pedido bestellung commande iban konto account part port commit run seq line lot ending".split()
 )
+#: The shortest phone number has so many digits.
+LEAST_DIGITS = 8
+#: So many words before a number without separators may say that it is a phone number.
+CUE_WORDS = 5
 PHONE_CUES = ("phone", "call", "text me", "tel", "mobil", "reach", "joindre", "erreichen", "rang", "teléfono", "téléphone", "fax", "whatsapp", "sms", "cell", "ring", "rappel", "llame", "anrufen", "contact")
 
 # Titles, phrases that introduce a person, and closings that a name follows.
@@ -75,13 +80,46 @@ WEAK_CUES = frozenset(("this is", "i asked", "when", "colleague", "hi", "hello",
 CLOSINGS = ("regards", "cheers", "thanks", "thank you", "best", "sincerely", "yours", "grüße", "gruß", "grüßen", "cordialement", "merci", "saludos", "gracias", "atentamente", "--", "love", "bien à vous", "salutations")
 PARTICLES = frozenset("de la las los del van von der den di da du le el al bin ten ter zu dos das y e".split())
 # Given names that are ordinary words too; alone they are names only where a name is expected.
-ORDINARY = frozenset("april may june august rose faith grace will mark grant hope joy art bill dawn summer autumn amber ruby pearl ivy iris lily daisy heather olive sage robin jack pat rob sue frank ernest earl max chase drew dean guy glen clay cliff miles reed wade ward page piet mira alba dario jan noor see amina".split()) - frozenset("piet mira alba dario jan noor amina".split())
+ORDINARY = frozenset(
+    "april may june august rose faith grace will mark grant hope joy art bill dawn summer autumn amber ruby pearl ivy iris lily daisy heather olive sage robin jack pat rob sue frank ernest earl max chase drew dean guy glen clay cliff miles reed wade ward page see".split()
+)
 FIRMS = frozenset("holdings ltd limited gmbh inc corp llc ag plc group partners company co kg sarl s.a sa bv logistics industries systems bank labs".split())
 
 _TOKEN = re.compile(r"(?<![\w])[^\W\d_]+(?:['’-][^\W\d_]+)*(?![\d_])")
 _NEXT = re.compile(r"[ \t]{1,2}|,[ \t]|[ \t]*\n")
 
 
+def _word_char(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
+def _blanks_left(text: str, at: int) -> int:
+    """Begin of the white space that ends at ``at``."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _words_left(text: str, at: int, most: int) -> int:
+    """Begin of the last ``most`` words before ``at``."""
+    for _ in range(most):
+        at = _blanks_left(text, at)
+        while at > 0 and not text[at - 1].isspace():
+            at -= 1
+    return at
+
+
+def _word_before(low: str, at: int) -> str:
+    """The word before ``at``, with only marks and blanks between them."""
+    end = at
+    while end > 0 and (low[end - 1].isspace() or low[end - 1] in ".:#=\"'-"):
+        end -= 1
+    begin = end
+    while begin > 0 and low[begin - 1].isalpha():
+        begin -= 1
+    return low[begin:end]
+
+
 class Names:
     """Known given and family names, and the parts that family names are made of."""
 
@@ -131,8 +169,6 @@ class Finder:
 
         for word in ("@", "[at]", "(at)", "{at}", " at ", "<at>"):
             add(word, "email")
-        for digit in "0123456789":
-            add(digit, "digit")
         for cue in ID_CUES:
             add(cue, "id")
         for word in STREET_AFTER:
@@ -174,16 +210,39 @@ class Finder:
         taken += self._emails(text, low, by_kind.get("email", []))
         taken = _free(taken, self._ids(text, low, by_kind.get("id", [])))
         taken = _free(taken, self._streets(text, low, by_kind))
-        taken = _free(taken, self._phones(text, low, by_kind.get("digit", [])))
+        taken = _free(taken, self._phones(text, low))
         taken = _free(taken, self._persons(text, low, by_kind, taken))
         return sorted(taken)
 
     # --- email -------------------------------------------------------------------------------------------------
 
-    _LOCAL = re.compile(r"[\w.+%'-]+$")
     _DOMAIN = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:(?:\.|\s?[\[({]dot[\])}]\s?|\s+dot\s+)[^\W_](?:[\w-]*[^\W_])?)+", re.I)
-    _SPELLED = re.compile(r"(?<![\w.])(?:[^\W_][\w+-]*(?:\s+dot\s+|\s?[\[({]dot[\])}]\s?))+$", re.I)
     _SPLIT = re.compile(r"\.|\s?[\[({]dot[\])}]\s?|\s+dot\s+", re.I)
+    _SPELLED_DOT = re.compile(r"\bdot\b", re.I)
+    _BLANK_DOT = re.compile(r"\s+dot\s+", re.I)
+
+    @staticmethod
+    def _dot_left(text: str, low: str, at: int) -> int | None:
+        """Begin of a spelled-out dot that ends at ``at``."""
+        i = _blanks_left(text, at)
+        if i < at and low.endswith("dot", 0, i) and (k := _blanks_left(text, i - 3)) < i - 3:
+            return k
+        if at - i <= 1 and i >= 5 and text[i - 1] in "])}" and low.endswith("dot", 0, i - 1) and text[i - 5] in "[({":
+            return i - 5 - text[i - 6 : i - 5].isspace() if i > 5 else 0
+        return None
+
+    def _spelled_left(self, text: str, low: str, at: int) -> int:
+        """Begin of the words with spelled-out dots that end at ``at`` (``at`` itself if there are none)."""
+        while (dot := self._dot_left(text, low, at)) is not None:
+            word = dot
+            while word > 0 and (_word_char(text[word - 1]) or text[word - 1] in "+-"):
+                word -= 1
+            while word < dot and not text[word].isalnum():
+                word += 1
+            if word == dot or text[word - 1 : word] == "." and word:
+                break
+            at = word
+        return at
 
     def _emails(self, text: str, low: str, hits: list) -> list[tuple[int, int, str]]:
         out = []
@@ -191,8 +250,10 @@ class Finder:
             left = start
             while left > 0 and text[left - 1] == " " and start - left < 2:
                 left -= 1
-            local = self._LOCAL.search(text, max(0, left - 80), left)
-            if not local:
+            first = left
+            while first > 0 and (_word_char(text[first - 1]) or text[first - 1] in ".+%'-"):
+                first -= 1
+            if first == left:
                 continue
             right = end
             while right < len(text) and text[right] == " " and right - end < 2:
@@ -201,20 +262,20 @@ class Finder:
             if not domain:
                 continue
             labels = self._SPLIT.split(domain.group())
-            if word == " at " and not re.search(r"\bdot\b", domain.group(), re.I):
-                continue
-            if "." in domain.group() and re.search(r"\s+dot\s+", domain.group(), re.I) is None and not labels[-1].isalpha():
+            if word == " at " and (not self._SPELLED_DOT.search(domain.group()) or low.startswith(" at ", domain.end()) and self._DOMAIN.match(text, domain.end() + 4)):
+                continue  # no address, or the words before one ("is at ann dot lee at home dot net")
+            if "." in domain.group() and self._BLANK_DOT.search(domain.group()) is None and not labels[-1].isalpha():
                 while labels and not labels[-1].isalpha():
                     labels.pop()
             if len(labels) < 2 or not labels[-1].isalpha() or not 2 <= len(labels[-1]) <= 24:
                 continue
             stop = domain.end()
-            name = local.group().lstrip(".'-+%").rstrip(".'")
+            name = text[first:left].lstrip(".'-+%").rstrip(".'")
             if not name:
                 continue
-            begin = local.start() + local.group().index(name)
-            if word != "@" and (m := self._SPELLED.search(text, max(0, begin - 80), begin)):
-                begin = m.start()
+            begin = first + text[first:left].index(name)
+            if word != "@":
+                begin = self._spelled_left(text, low, begin)
             # a sentence that goes on without a blank after the full stop is no further label
             if len(labels) > 2 and labels[-1][:1].isupper() and not labels[0][:1].isupper() and domain.group().count(".") == len(labels) - 1:
                 stop -= len(labels[-1]) + 1
@@ -223,26 +284,29 @@ class Finder:
 
     # --- identity numbers --------------------------------------------------------------------------------------
 
+    _MARKS = re.compile(r"[\s:#'’=(\"-]*")
+    _FILLER = re.compile(r"[^\W\d]+[º°.]?(?![\w-])|nº|n°")
     _GROUP = re.compile(r"[A-Za-z]{0,4}\d[A-Za-z\d]*|[A-Za-z]{1,3}(?![A-Za-z])")
 
     def _ids(self, text: str, low: str, hits: list) -> list[tuple[int, int, str]]:
         out = []
+        passed, done = 0, -1  # the fillers from ``passed`` on end at ``done``
         for start, end, word in hits:
             if start > 0 and low[start - 1].isalnum() or end < len(low) and low[end].isalpha() and not low.startswith("s", end) and word not in ("ausweis", "sozialversicherung", "licence"):
                 continue
             at = end
             while at < len(low) and low[at].isalpha():
                 at += 1
-            for _ in range(6):  # fillers and marks between cue and number
-                m = re.compile(r"[\s:#'’=(\"-]*").match(low, at)
-                at = m.end()
-                w = re.compile(r"[^\W\d]+[º°.]?(?![\w-])|nº|n°").match(low, at)
-                if w and w.group().strip("º°.") in ID_FILLERS or w and w.group() in ("nº", "n°"):
-                    at = w.end()
-                else:
+            begin = at
+            while not passed <= at < done:  # fillers and marks between cue and number, as many as there are
+                at = self._MARKS.match(low, at).end()
+                w = self._FILLER.match(low, at)
+                if not w or w.group().strip("º°.") not in ID_FILLERS and w.group() not in ("nº", "n°"):
                     break
-            if at - end > 40:
-                continue
+                at = w.end()
+            else:
+                at = done
+            passed, done = begin, at
             span = self._id_number(text, at, ID_CUES[word])
             if span:
                 out.append((*span, "id_number"))
@@ -257,9 +321,12 @@ class Finder:
                 break
             n = sum(c.isdigit() for c in m.group())
             if n == 0:
-                upper = m.group().isupper() or m.group().islower() and len(m.group()) == 1
-                if digits and not (upper and len(m.group()) == 1 and most <= 8 and digits >= 6) or not digits and letters_only or len(m.group()) > 3:
+                last = len(m.group()) == 1 and (m.group().isupper() or letters_only > 0) and text[stop - 1].isdigit() and most <= 8 and digits >= 6
+                if digits and not last or not digits and letters_only or len(m.group()) > 3:
                     break
+                if not digits and m.group().islower() and m.group() in _COMMON and text[m.end() : m.end() + 1].isspace():  # a word of the sentence
+                    begin = stop = self._MARKS.match(text, m.end()).end()
+                    continue
                 if digits:
                     stop = m.end()
                     break
@@ -274,9 +341,30 @@ class Finder:
 
     # --- street addresses --------------------------------------------------------------------------------------
 
-    _HOUSE_LEFT = re.compile(r"(?<![\w.,:/-])(?:flat|apt|unit|suite)\.?\s+\w{1,4},\s+\d{1,5}[a-z]?[ ,]+$|(?<![\w.:/-])\d{1,5}(?:\s?(?:bis|ter))?[a-z]?[ ,]+$", re.I)
-    _HOUSE_RIGHT = re.compile(r"\s?(?:nº|n°|no\.?|nr\.?|,)?\s?\d{1,4}\s?[a-z]?(?![\w:/])(?!\.\d)", re.I)
-    _WORDS_LEFT = re.compile(r"(?:[^\W\d_][\w.'’-]*[ ]){1,4}$")
+    _HOUSE = re.compile(r"(?<![\w.:/-])\d{1,5}(?:\s?(?:bis|ter))?[a-z]?$", re.I)
+    _FLAT_NO, _FLAT = re.compile(r"(?<!\w)\w{1,4}$"), re.compile(r"(?<![\w.,:/-])(?:flat|apt|unit|suite)\.?$", re.I)
+    _HOUSE_RIGHT = re.compile(r"\s?(?:nº|n°|no\.?|nr\.?|,)?\s?\d{1,4}(?:[a-z]|\s[b-df-xz]|\s[aey](?=\s*(?:[,.;)\n]|$)))?(?![\w:/])(?!\.\d)", re.I)
+    _NAMED_AFTER = re.compile(r"(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[^\W\d_][\w'’-]*(?:-[A-ZÉÈÀ][\w'’]*){0,3}(?: [A-ZÉÈÀ][\w'’-]*(?=[,.;\n]|$))?")
+    _ONE_AFTER = re.compile(r"(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[^\W\d_][\w'’-]*", re.I)
+    _BEFORE_HOUSE = re.compile(r"(?:[^\W\d_][\w.'’-]*[ ,]{1,2}){1,4}?(?=\d|n[ºo°.])", re.I)
+    _CAPITAL = re.compile(r"[A-ZÄÖÜ]")
+
+    def _house_left(self, text: str, end: int) -> int | None:
+        """Begin of the house number, with the flat before it, that ends in blanks or commas at ``end``."""
+        stop = end
+        while stop > 0 and text[stop - 1] in " ,":
+            stop -= 1
+        # the number itself has at most eleven characters, one more is looked at on its left
+        house = self._HOUSE.search(text, max(0, stop - 12), stop) if stop < end else None
+        if not house:
+            return None
+        begin = house.start()
+        comma = _blanks_left(text, begin)
+        if comma < begin and comma and text[comma - 1] == ",":
+            no = self._FLAT_NO.search(text, max(0, comma - 6), comma - 1)
+            if no and (word := _blanks_left(text, no.start())) < no.start() and (flat := self._FLAT.search(text, max(0, word - 8), word)):
+                return flat.start()
+        return begin
 
     def _streets(self, text: str, low: str, by_kind: dict) -> list[tuple[int, int, str]]:
         out = []
@@ -289,22 +377,19 @@ class Finder:
                 stop = end + (short and text[end : end + 1] == "." and not text[end + 1 : end + 2].isalnum())
                 out.append((begin, self._tail(text, stop), "street_address"))
         for start, _, word in by_kind.get("street_mid", []):
-            house = self._HOUSE_LEFT.search(text, max(0, start - 16), start + 1)
-            if not house:
+            house = self._house_left(text, start + 1)
+            if house is None:
                 continue
-            words = re.compile(r"(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[^\W\d_][\w'’-]*(?:-[A-ZÉÈÀ][\w'’]*){0,3}(?: [A-ZÉÈÀ][\w'’-]*(?=[,.;\n]|$))?", re.I if low[start:].startswith(text[start : start + 40]) else 0).match(
-                text, start + len(word)
-            )
+            words = self._NAMED_AFTER.match(text, start + len(word))
             if words:
-                stop = words.end() if not text[start:].islower() else words.end()
-                if low[words.start() : words.end()] == text[words.start() : words.end()]:  # in lower case only one word is the name
-                    one = re.compile(r"(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[^\W\d_][\w'’-]*", re.I).match(text, words.start())
-                    stop = one.end()
-                out.append((house.start(), self._tail(text, stop), "street_address"))
+                stop = words.end()
+                if low[words.start() : stop] == text[words.start() : stop]:  # in lower case only one word is the name
+                    stop = self._ONE_AFTER.match(text, words.start()).end()
+                out.append((house, self._tail(text, stop), "street_address"))
         for start, end, _ in by_kind.get("street_before", []):
             if start > 0 and low[start - 1].isalnum():
                 continue
-            m = re.compile(r"(?:[^\W\d_][\w.'’-]*[ ,]{1,2}){1,4}?(?=\d|n[ºo°.])", re.I).match(text, end)
+            m = self._BEFORE_HOUSE.match(text, end)
             if not m:
                 continue
             house = self._HOUSE_RIGHT.match(text, m.end() - 1) or self._HOUSE_RIGHT.match(text, m.end())
@@ -315,8 +400,12 @@ class Finder:
             while begin > 0 and (text[begin - 1].isalpha() or text[begin - 1] in "-'"):
                 begin -= 1
             if begin == start:  # a word of its own: the name stands before it
-                m = re.compile(r"[A-ZÄÖÜ][\w-]*(?:er|e|en)? $").search(text, max(0, start - 40), start)
-                if not m or word.strip() == "ring":
+                if text[start - 1 : start] != " " or word.strip() == "ring":
+                    continue
+                while begin > 1 and (_word_char(text[begin - 2]) or text[begin - 2] == "-"):
+                    begin -= 1
+                m = self._CAPITAL.search(text, begin - 1, start - 1)
+                if not m:
                     continue
                 begin = m.start()
             elif start - begin < 3:
@@ -327,19 +416,21 @@ class Finder:
         return _merged(out)
 
     def _named_left(self, text: str, low: str, street: int) -> int | None:
-        """Begin of the house number left of at most three words of a street's name."""
-        words = self._WORDS_LEFT.search(text, max(0, street - 70), street)
-        if not words:
-            return None
-        pieces = words.group().split(" ")[:-1]
-        for n in range(1, min(4, len(pieces)) + 1):
-            part = pieces[-n:]
-            if part[0].lower() in NOT_IN_STREET or part[0].endswith(".") and not _SHORT_WORD.fullmatch(part[0]):
+        """Begin of the house number left of at most four words of a street's name."""
+        begin = street
+        for _ in range(4):
+            if text[begin - 1 : begin] != " " or begin < 2:
                 return None
-            begin = street - sum(len(p) + 1 for p in part)
-            house = self._HOUSE_LEFT.search(text, max(0, begin - 24), begin)
-            if house:
-                return house.start()
+            word = begin - 1
+            while word > 0 and (_word_char(text[word - 1]) or text[word - 1] in ".'’-"):
+                word -= 1
+            part = text[word : begin - 1]
+            if not part[:1].isalpha() or part.lower() in NOT_IN_STREET or part.endswith(".") and not _SHORT_WORD.fullmatch(part):
+                return None
+            begin = word
+            house = self._house_left(text, begin)
+            if house is not None:
+                return house
         return None
 
     def _tail(self, text: str, stop: int) -> int:
@@ -356,33 +447,29 @@ class Finder:
     _NUMBER = re.compile(r"\+?\(?\d(?:[\d]|[ .()/-](?=[\d(])|\) ?(?=\d)|[ ]\((?=\d))*")
     _EXT = re.compile(r",?\s?(?:ext\.?|extension|x|durchwahl|poste)\s?\d{1,6}\b", re.I)
 
-    def _phones(self, text: str, low: str, hits: list) -> list[tuple[int, int, str]]:
+    def _phones(self, text: str, low: str) -> list[tuple[int, int, str]]:
         out = []
         done = 0
-        for start, _, _ in hits:
-            if start < done:
-                continue
-            begin = start
-            while begin > 0 and text[begin - 1] in "+(":
-                begin -= 1
-            m = self._NUMBER.match(text, begin)
-            if not m:
+        for m in self._NUMBER.finditer(text):
+            if m.start() < done or sum(map(str.isdigit, m.group())) < LEAST_DIGITS:
                 continue
-            done = m.end()
-            for a, b in self._phone_parts(text, low, begin, m.group()):
-                span = begin + a, begin + b
+            for a, b in self._phone_parts(text, low, m.start(), m.group()):
+                span = m.start() + a, m.start() + b
                 ext = self._EXT.match(text, span[1])
                 out.append((span[0], ext.end() if ext else span[1], "phone"))
-                done = max(done, out[-1][1])
+                done = out[-1][1]
         return out
 
-    _SHAPES = (
-        re.compile(r"\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?\(?\d{1,5}\)?(?:[ .\-/]?\d{2,8}){1,5}"),
-        re.compile(r"\(\d{3,5}\) ?\d{3,4}[ .-]?\d{3,4}"),
-        re.compile(r"(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}"),
-        re.compile(r"\(?0\d{1,4}\)?(?:[ /.-]?\d{2,8}){1,5}"),
-        re.compile(r"\d{10}"),
+    _NO_PHONE = re.compile(r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{1,3}(?:\.\d{1,3}){3}")
+    _SHAPE = re.compile(
+        r"\+\d{1,3}[ .-]?(?:\(0\)[ ]?)?\(?\d{1,5}\)?(?:[ .\-/]?\d{2,8}){1,5}"
+        r"|\(\d{3,5}\) ?\d{3,4}[ .-]?\d{3,4}"
+        r"|(?:1[ .-])?\d{3}([ .-])\d{3}\1\d{4}"
+        r"|\(?0\d{1,4}\)?(?:[ /.-]?\d{2,8}){1,5}"
+        r"|\d{10}"
     )
+    #: The groups that the longest of these shapes has: country, zero, area and five more.
+    _MOST_GROUPS = 8
 
     def _phone_parts(self, text: str, low: str, begin: int, run: str) -> list[tuple[int, int]]:
         """The phone numbers in the run of digits and separators at ``begin``: of the ways to cut it at its blanks, the
@@ -392,22 +479,21 @@ class Finder:
         """
         starts = [0, *(i + 1 for i, ch in enumerate(run) if ch == " ")]
         ends = [*(i - 1 for i in starts[1:]), len(run)]
-        word = re.search(r"([^\W\d_]+)[\s.:#=\"'-]*$", low[max(0, begin - 24) : begin])
-        labelled = bool(word) and word.group(1) in NOT_PHONE
+        labelled = _word_before(low, begin) in NOT_PHONE
         group = [re.sub(r"\D", "", run[x:y]) for x, y in zip(starts, ends, strict=True)]
 
         def good(i: int, j: int, fresh: bool) -> bool:
             piece = run[starts[i] : ends[j]]
             if fresh and i and (len(group[i - 1]) == len(group[i]) == 4 or labelled and " " in piece):
                 return False
-            return any(shape.fullmatch(piece) for shape in self._SHAPES) and self._is_phone(text, low, begin + starts[i], begin + ends[j])
+            return self._SHAPE.fullmatch(piece) is not None and self._is_phone(text, low, begin + starts[i], begin + ends[j])
 
         # best[i][fresh]: (digits, -numbers, (span, further spans)) of the groups from i on; fresh: the group before is in no number
         best: list[list[tuple]] = [[(0, 0, None)] * 2 for _ in range(len(starts) + 1)]
         for i in range(len(starts) - 1, -1, -1):
             for fresh in (False, True):
                 choice = best[i + 1][True]
-                for j in range(min(i + 8, len(starts)) - 1, i - 1, -1):
+                for j in range(min(i + self._MOST_GROUPS, len(starts)) - 1, i - 1, -1):
                     after = best[j + 1][False]
                     score = after[0] + sum(map(len, group[i : j + 1])), after[1] - 1
                     if score > choice[:2] and good(i, j, fresh):
@@ -425,62 +511,80 @@ class Finder:
         before, after = text[begin - 1 : begin] if begin else "", text[end : end + 1]
         if before and (before.isalnum() or before in "_@#-./:") and not before == ":" or after and (after.isalnum() or after in "_@") or after in "-./:" and text[end + 1 : end + 2].isalnum():
             return False
-        word = re.search(r"([^\W\d_]+)[\s.:#=\"'-]*$", low[max(0, begin - 24) : begin])
-        if word and word.group(1) in NOT_PHONE and not low[max(0, begin - 40) : begin].rstrip(' :"').endswith(("phone number", "phone no", "mobile number", "tel no")):
-            return False
+        if _word_before(low, begin) in NOT_PHONE:
+            label = begin
+            while label > 0 and low[label - 1] in ' :"':
+                label -= 1
+            if not low.endswith(("phone number", "phone no", "mobile number", "tel no"), 0, label):
+                return False
         if number.startswith("+"):
             return 8 <= len(digits) <= 15
-        if re.fullmatch(r"\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{2,4}|\d{1,3}(?:\.\d{1,3}){3}", number):
+        if self._NO_PHONE.fullmatch(number):
             return False
         if number.startswith(("0", "(0")):
             return 9 <= len(digits) <= 12
         if len(digits) not in (10, 11):
             return False
         if number.isdigit():
-            return any(cue in low[max(0, begin - 30) : begin] for cue in PHONE_CUES)
+            return any(cue in low[_words_left(low, begin, CUE_WORDS) : begin] for cue in PHONE_CUES)
         return True
 
     # --- persons -----------------------------------------------------------------------------------------------
 
+    _AFTER_CLOSING = re.compile(r"[ \t]*[,!.]?[ \t]*(?:\n[ \t]*)+|[ \t]*,[ \t]+")
+    _FIRM_AFTER = re.compile(r"\s+&|\s+(?:und|and|et|y)\s+\w+\s+(?:%s)\b" % "|".join(map(re.escape, sorted(FIRMS))), re.I)
+    _ODD_IN_LINE = re.compile(r"[^\w\s.,'’-]|\d")
+
     def _persons(self, text: str, low: str, by_kind: dict, taken: list) -> list[tuple[int, int, str]]:
-        busy = sorted(taken)
-        tokens = self._tokens(text, busy)
-        at = {t[0]: i for i, t in enumerate(tokens)}
+        alone = lambda start, end, word: (start == 0 or not low[start - 1].isalnum()) and (end == len(low) or not low[end].isalpha() or word.endswith('"'))
+        announced = [(end, False) for start, end, word in by_kind.get("title", []) if alone(start, end, word)]
+        announced += [(end, word in WEAK_CUES) for start, end, word in by_kind.get("cue", []) if alone(start, end, word)]
+        closings = [(start, word, m.end()) for start, end, word in by_kind.get("closing", []) if (start == 0 or not low[start - 1].isalnum()) and (m := self._AFTER_CLOSING.match(text, end))]
+        known = self._known(text, low, by_kind)
+        if not announced and not closings and not known:
+            return []
+        tokens = self._tokens(text, sorted(taken))
+        starts = [t[0] for t in tokens]
+        at = {p: i for i, p in enumerate(starts)}
         out: list[tuple[int, int, str]] = []
-
-        def expected(position: int, weak: bool) -> None:
-            i = next((at[p] for p in range(position, min(position + 6, len(text))) if p in at), None)
-            if i is None or text[position : tokens[i][0]].strip(" \n\t.:\"'(,"):
-                return
-            span = self._name_at(text, tokens, i, weak)
+        for position, weak in announced:
+            while position < len(text) and text[position] in " \n\t.:\"'(,":
+                position += 1
+            span = self._name_at(text, tokens, at[position], weak) if position in at else None
+            if span:
+                out.append((*span, "person_name"))
+        if closings:
+            lines = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+            words = [m.start() for m in re.finditer(r"\S+", text)]
+        for start, word, position in closings:
+            own_line = lines[bisect_left(lines, start) - 1] + 1
+            before = bisect_left(words, start) - bisect_left(words, own_line)
+            if before <= (0 if word == "--" else 3):
+                self._closing(text, tokens, starts, position, lines[bisect_left(lines, position)], out)
+        for begin in known:
+            span = self._around(text, tokens, at[begin]) if begin in at else None
             if span:
                 out.append((*span, "person_name"))
+        return _merged(out)
 
-        for start, end, word in by_kind.get("title", []):
-            if (start == 0 or not low[start - 1].isalnum()) and (end == len(low) or not low[end].isalpha()):
-                expected(end, False)
-        for start, end, word in by_kind.get("cue", []):
-            if (start == 0 or not low[start - 1].isalnum()) and (end == len(low) or not low[end].isalpha() or word.endswith('"')):
-                expected(end, word in WEAK_CUES)
-        for start, end, word in by_kind.get("closing", []):
-            if (start == 0 or not low[start - 1].isalnum()) and (m := re.compile(r"[ \t]*[,!.]?[ \t]*(?:\n[ \t]*)+|[ \t]*,[ \t]+").match(text, end)):
-                own_line = text.rfind("\n", 0, start) + 1
-                if word == "--" and text[own_line:start].strip() or len(text[own_line:start].split()) > 3:
-                    continue
-                self._closing(text, tokens, at, m.end(), out)
+    def _known(self, text: str, low: str, by_kind: dict) -> list[int]:
+        """Begins of the words that are given or family names."""
+        begins = set()
         for kind in ("given", "family", "ending"):
-            for start, end, word in by_kind.get(kind, []):
+            for start, end, _ in by_kind.get(kind, []):
                 if end < len(low) and (low[end].isalpha() or low[end] == "-" and low[end + 1 : end + 2].isalpha()):
                     continue
                 begin = start
                 while begin > 0 and (low[begin - 1].isalpha() or low[begin - 1] in "-'" and low[begin - 2 : begin - 1].isalpha()):
                     begin -= 1
-                if kind != "ending" and begin != start or begin not in at:
-                    continue
-                span = self._around(text, tokens, at[begin])
-                if span:
-                    out.append((*span, "person_name"))
-        return _merged(out)
+                if kind == "ending" or begin == start:
+                    begins.add(begin)
+        found = []
+        for begin in sorted(begins):
+            m = _TOKEN.match(text, begin)
+            if m and (self.names.is_given(m.group()) or self.names.is_family(m.group())):
+                found.append(begin)
+        return found
 
     def _tokens(self, text: str, busy: list) -> list[tuple[int, int, str]]:
         """Words outside the spans that other kinds hold."""
@@ -513,7 +617,7 @@ class Finder:
         given, family = self.names.is_given(word), self.names.is_family(word)
         if not given and not family:
             return None
-        if re.match(r"\s+&|\s+(?:und|and|et|y)\s+\w+\s+(?:%s)\b" % "|".join(map(re.escape, FIRMS)), text[end : end + 60], re.I) or re.search(r"&\s*$", text[max(0, start - 3) : start]):
+        if self._FIRM_AFTER.match(text, end) or (left := _blanks_left(text, start)) and text[left - 1] == "&":
             return None
         following = tokens[i + 1][2].lower() if self._gap(text, tokens, i) == " " else ""
         if following in FIRMS:
@@ -614,14 +718,15 @@ class Finder:
             return None
         return tokens[left][0], tokens[right][1] + (self._initial(text, tokens[right]))
 
-    def _closing(self, text: str, tokens: list, at: dict, position: int, out: list) -> None:
+    def _closing(self, text: str, tokens: list, starts: list[int], position: int, line_end: int, out: list) -> None:
         """The name under a closing: one to five words that fill the rest of the line."""
-        stop = text.find("\n", position)
-        stop = len(text) if stop < 0 else stop
-        line = text[position:stop].rstrip(" .!|")
+        first, beyond = bisect_left(starts, position), bisect_left(starts, line_end)
+        if not 1 <= beyond - first <= 5:
+            return
+        line = text[position:line_end].rstrip(" .!|")
         stop = position + len(line)
-        inside = [i for p, i in at.items() if position <= p < stop]
-        if not 1 <= len(inside) <= 5 or re.search(r"[^\w\s.,'’-]|\d", line):
+        inside = [i for i in range(first, beyond) if starts[i] < stop]
+        if not inside or self._ODD_IN_LINE.search(line):
             return
         words = [tokens[i][2] for i in inside]
         known = any(self.names.is_given(w) or self.names.is_family(w) for w in words)
@@ -651,9 +756,11 @@ def _merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 
 def _free(taken: list[tuple[int, int, str]], new: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """``taken`` and those of ``new`` that don't overlap it."""
+    """``taken`` (spans that don't overlap each other) and those of ``new`` that don't overlap it."""
     held = sorted(taken)
-    return taken + [n for n in new if not any(t[0] < n[1] and n[0] < t[1] for t in held)]
+    starts = [t[0] for t in held]
+    free = lambda n: not (i := bisect_left(starts, n[1])) or held[i - 1][1] <= n[0]
+    return taken + [n for n in new if free(n)]
 
 
 @lru_cache(maxsize=2)
@@ -664,11 +771,15 @@ def finder(names: tuple[tuple[str, str], ...]) -> Finder:
 
 def findings(text: str, names: tuple[tuple[str, str], ...]) -> list[tuple[str, int, int, int]]:
     """(kind, ord, begin, end) in reading order; positions are those of ``text``."""
-    form, source = default_rewriter().aligned(text)
+    return _findings(text, finder(names), default_rewriter())
+
+
+def _findings(text: str, find: Finder, rewriter: Rewriter) -> list[tuple[str, int, int, int]]:
+    form, source = rewriter.aligned(text)
     source.append(len(text))
     count: dict[str, int] = {}
     out = []
-    for begin, end, kind in finder(names).spans(form):
+    for begin, end, kind in find.spans(form):
         count[kind] = count.get(kind, 0) + 1
         out.append((kind, count[kind], source[begin], source[end - 1] + 1))
     return out
@@ -691,12 +802,13 @@ def detect(column: Column | str, names: tuple[tuple[str, str], ...]) -> Column:
     @F.pandas_udf(f"found {FOUND}, redacted string")
     def run(texts: pd.Series) -> pd.DataFrame:
         found, redacted = [], []
+        find, rewriter = finder(names), default_rewriter()
         for text in texts:
             if not isinstance(text, str):
                 found.append([])
                 redacted.append(None)
                 continue
-            spans = findings(text, names)
+            spans = _findings(text, find, rewriter)
             pieces, at = [], 0
             for kind, _, begin, end in spans:
                 pieces += [text[at:begin], PLACEHOLDERS[kind]]
