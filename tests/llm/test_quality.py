@@ -60,7 +60,8 @@ def test_nulls_empty_blank_long_and_lookalike_texts(spark):
     got = {r.doc_id: r for r in Q.statistics(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit(1)), COMMON).collect()}
     assert got[1].word_count is None and got[1].mean_word_length is None
     assert got[2].word_count == got[3].word_count == 0 and got[2].symbol_ratio is None
-    assert got[4].word_count == 100_000 and got[5].common_words == 0.5
+    # the statistics are those of the text as it stands, the features those of its look-alike form
+    assert got[4].word_count == 100_000 and got[5].common_words == 0 and got[5].f_common == 0.5
 
 
 def test_shape_of_an_empty_text_and_no_shape_for_null(spark, corpus):
@@ -89,3 +90,19 @@ def test_a_list_of_common_words_beyond_the_bound_is_refused(spark):
     assert Q.common_word_list(table) == ["of", "the"]
     with pytest.raises(ValueError):
         Q.common_word_list(table, 1)
+
+
+def test_the_mixture_is_iterated_until_it_has_converged(spark, corpus):
+    rows = Q.statistics(corpus, COMMON).drop(*Q.STATISTICS)
+    texts = spark.createDataFrame(shapes.examples(), "component string, shape string, text string")
+    examples = Q.statistics(texts, COMMON, keep=("component", "shape")).toPandas()
+    likelihoods = Q.fit(rows, examples).likelihoods
+    assert likelihoods[-1] - likelihoods[-2] < Q.LEAST_GAIN and all(b - a >= Q.LEAST_GAIN for a, b in zip(likelihoods[:-2], likelihoods[1:-1], strict=True))
+
+
+@pytest.mark.parametrize(
+    ("line", "cells"),
+    [("a\tb", True), ("| a | b |", True), ("+---+--+", True), ("1;2;3", True), ("ok,12,n/a,4", True), ("name: value", True), ("left    right", True), ("We came, saw, and won the day at last.", False), ("One | two", False), ("A plain sentence.", False)],
+)
+def test_rows_of_cells(line, cells):
+    assert Q._is_cells(line) is cells

@@ -1,8 +1,8 @@
 """Per-document text statistics, and the shape that a Gaussian mixture reads from them.
 
-``statistics`` are Catalyst expressions over the whole text: word count, mean word length, symbol ratio,
-share of lines that end in punctuation, share of common words, and some more that tell lines of prose from
-items, cells and machine output. ``fit`` standardizes them over all documents and fits a mixture of Gaussians with
+``statistics`` reads each text once, in Arrow batches: word count, mean word length, symbol ratio, share of lines that end in
+punctuation and share of common words of the text as it stands, and features of its look-alike form that tell lines of prose
+from items, cells and machine output. ``fit`` standardizes them over all documents and fits a mixture of Gaussians with
 diagonal covariances by expectation-maximization; every iteration is one pass over the table of statistics that
 sums each partition's responsibilities, so the model sees all documents and only its sums reach the driver.
 The components start at the inspected examples of ``shapes`` and get their labels from them afterwards.
@@ -13,22 +13,25 @@ null ratios, and the shape ``junk``; repeated rows are rows; an empty table fits
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import shapes
-from tidemark.llm.lookalikes import default_rewriter
+from tidemark.llm.lookalikes import Rewriter, default_rewriter
 from tidemark.storage import written
 
-#: The list of common words becomes part of the plan; a longer list is refused.
-MAX_COMMON_WORDS = 10_000
-#: Iterations of expectation-maximization, and the gain in mean log-likelihood at which it ends early.
-ITERATIONS, LEAST_GAIN = 12, 1e-3
+#: The list of common words is shipped to every worker; a longer list is refused.
+MAX_COMMON_WORDS = 1_000_000
+#: Expectation-maximization ends when an iteration adds less than this to the mean log-likelihood; that it never does is an error.
+LEAST_GAIN, ITERATIONS = 1e-3, 500
 #: Smallest variance of a standardized statistic within a component.
 LEAST_VARIANCE = 0.1
 #: Weight of a component's inspected examples against its share of the documents.
@@ -40,16 +43,79 @@ FEATURES = [
     "f_distinct_lines", "f_distinct_words", "f_odd_words", "f_broken", "f_long_lines",
 ]
 
-_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
-_MARKER = r"^\s*(?:[-*+•–—·▪◦‣▸►→⇒»>✓✔☐☑☒○●■□]\s|\[[ xX]?\]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|(?i:step|schritt|étape|paso|punkt|item)\s+\d+\s*[:.)])"
-_CELLS = r"^\s*\|.*\|\s*$|^[+|][-=+|: ]+[+|]$|^[^|]*\|[^|]*\|[^|]*\|?|\t|^(?:[^;]{0,40};){2}|^(?:(?:\"[^\"]*\"|[^,\s]{1,30}(?: [^,\s]{1,20})?)?,){2,}[^,]{0,40}$|\S {3,}\S.*|^\s*[\p{L}\p{N}_. -]{1,24}\s*[:=]\s{0,4}\S{0,24}\s*$|^\S{1,20}\s{2,}\S{1,20}(\s{2,}|$)"
+_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+_LINE_END = re.compile(r"\r\n|\n|\r")
+_DIGIT = re.compile(r"\d")
+_PUNCTUATED = re.compile(r"[.!?…][\"”»’')\]]*\s*$")
+_SENTENCE = re.compile(r"(?<=[^\W_]|[\"”»)])[.!?…]+[\"”»)]*(?:\s|$)")
+_MARKER = re.compile(r"\s*(?:[-*+•–—·▪◦‣▸►→⇒»>✓✔☐☑☒○●■□]\s|\[[ xX]?\]\s|\(?\d{1,3}[.)]\s|\(?[a-zA-Z][.)]\s|(?i:step|schritt|étape|paso|punkt|item)\s+\d+\s*[:.)])")
+#: A word that a code holds and a language doesn't.
+_ODD = re.compile(r"\d[^\W\d_].*\d|[^\W\d_]\d+[^\W\d_]|^[^\W_]{25,}$")
+_RULE = re.compile(r"[+|][-=+|: ]+[+|]$")
+_SEMICOLONS = re.compile(r"(?:[^;]{0,40};){2}")
+_COMMAS = re.compile(r"(?:(?:\"[^\"]*\"|[^,\s]{1,30}(?: [^,\s]{1,20})?)?,){2,}[^,]{0,40}$")
+_GAP = re.compile(r"\S {3,}\S")
+_PAIR = re.compile(r"\s*[\w. -]{1,24}\s*[:=]\s{0,4}\S{0,24}\s*$")
+_COLUMNS = re.compile(r"\S{1,20}\s{2,}\S{1,20}(?:\s{2,}|$)")
+_BROKEN = "ÂÃâ€¿½�□■◆¤¶†‡"
+
+
+def _is_cells(line: str) -> bool:
+    """Is the line a row of cells, or of name and value? A sign of each form is looked for before its pattern."""
+    return (
+        "\t" in line
+        or line.count("|") >= 2
+        or line[0] in "+|" and _RULE.match(line) is not None
+        or line.count(";") >= 2 and _SEMICOLONS.match(line) is not None
+        or line.count(",") >= 2 and _COMMAS.match(line) is not None
+        or "   " in line and _GAP.search(line) is not None
+        or (":" in line or "=" in line) and _PAIR.match(line) is not None
+        or "  " in line and _COLUMNS.match(line) is not None
+    )
 
 
-def _plain(text: Column) -> Column:
-    """The text with look-alike single characters replaced, by one ``translate`` in the JVM."""
-    pairs = [(chr(a), b) for a, b in default_rewriter().single.items() if a < 0x10000 and len(b) <= 1]
-    kept, gone = [p for p in pairs if p[1]], [p for p in pairs if not p[1]]
-    return F.translate(text, "".join(a for a, _ in kept + gone), "".join(b for _, b in kept))
+@dataclass(frozen=True)
+class _Basis:
+    """What the five statistics are made of."""
+
+    lines: list[str]
+    words: list[str]
+    letters: int
+    visible: int
+    symbols: int
+    punctuated: int
+    common: int
+
+
+def _basis(text: str, common: frozenset[str]) -> _Basis:
+    lines = [x for x in _LINE_END.split(text) if x and not x.isspace()]
+    low = text.lower()
+    words = _WORD.findall(low)
+    own = words if len(low) == len(text) else _WORD.findall(text)
+    letters, visible = sum(map(len, own)), len("".join(text.split()))
+    signs = letters - (sum(w.count("'") + w.count("’") for w in own) if "'" in text or "’" in text else 0)
+    if not text.isascii():
+        signs += sum(text.count(c) for c in set(text) if unicodedata.category(c)[0] == "M")
+    return _Basis(lines, words, letters, visible, visible - signs, sum(_PUNCTUATED.search(x) is not None for x in lines), sum(map(common.__contains__, words)))
+
+
+def _measures(text: str, common: frozenset[str], rewriter: Rewriter) -> tuple[float, ...]:
+    """The numbers behind the statistics of a text as it stands, and behind the features of its look-alike form."""
+    raw = base = _basis(text, common)
+    plain = text
+    if not text.isascii() and (alike := rewriter.lettered.intersection(text)):
+        for c in alike:
+            plain = plain.replace(c, rewriter.letters[c])
+        base = _basis(plain, common)
+    lines, words = base.lines, base.words
+    size = lambda test: sum(len(x) for x in lines if test(x))
+    return (
+        len(raw.words), raw.letters, raw.symbols, raw.visible, raw.punctuated, len(raw.lines), raw.common,
+        len(words), base.letters, base.symbols, base.visible, base.punctuated, len(lines), base.common,
+        len(_DIGIT.findall(plain)), size(_MARKER.match), size(_is_cells), sum(map(len, lines)), len(_SENTENCE.findall(plain)), len(set(lines)), len(set(words)),
+        sum(_ODD.search(w) is not None for w in words if len(w) >= 25 or not w.isalpha()), 0 if plain.isascii() else sum(map(plain.count, _BROKEN)),
+        size(lambda x: len(x.split()) >= 7),
+    )
 
 
 def common_word_list(table: DataFrame, limit: int = MAX_COMMON_WORDS) -> list[str]:
@@ -60,62 +126,35 @@ def common_word_list(table: DataFrame, limit: int = MAX_COMMON_WORDS) -> list[st
     return sorted(r[0] for r in rows)
 
 
+def _table(rows: np.ndarray) -> pd.DataFrame:
+    """The five statistics and the features from the measures of some texts; NaN where a text is null or a ratio has no denominator."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = lambda i, j: np.where(rows[:, j] > 0, rows[:, i] / rows[:, j], np.nan)
+        zero = np.nan_to_num
+        out = {"word_count": rows[:, 0], "mean_word_length": share(1, 0), "symbol_ratio": share(2, 3), "punctuated_lines": share(4, 5), "common_words": share(6, 0)}
+        features = [
+            np.log1p(rows[:, 7]), np.log1p(zero(share(8, 7))), np.sqrt(zero(share(9, 10))), zero(share(11, 12)), zero(share(13, 7)), np.sqrt(zero(share(14, 8))), np.log1p(zero(share(7, 12))),
+            zero(share(15, 17)), zero(share(16, 17)), np.sqrt(zero(share(18, 7))), zero(share(19, 12)), np.log(np.maximum(0.05, zero(rows[:, 20] / rows[:, 7] ** 0.75))),
+            np.sqrt(zero(share(21, 7))), np.sqrt(zero(share(22, 10))), zero(share(23, 17)),
+        ]
+    return pd.DataFrame(out | dict(zip(FEATURES, features, strict=True)))
+
+
 def statistics(documents: DataFrame, common: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, the five statistics and the features of the mixture, for each row; a narrow plan without Python."""
-    share = lambda part, whole: F.try_divide(part.cast("double"), whole.cast("double"))
-    df = documents.select(*keep, F.col(text).alias("raw"), _plain(F.col(text)).alias("t"))
-    df = df.withColumn("lines", F.filter(F.split("t", r"\r\n|\n|\r"), lambda x: x.rlike(r"\S")))
-    df = df.withColumn("words", F.regexp_extract_all("t", F.lit(_WORD), F.lit(0)))
-    lines, words = F.size("lines"), F.size("words")
-    n_of = lambda pattern: F.size(F.filter("lines", lambda x: x.rlike(pattern)))
-    visible = F.length(F.regexp_replace("t", r"\s", ""))
-    symbols = F.length(F.regexp_replace("t", r"[\p{L}\p{N}\p{M}\s]", ""))
-    letters = F.length(F.array_join("words", ""))
-    digits = F.regexp_count("t", F.lit(r"\p{N}"))
-    is_common = F.size(F.filter("words", lambda w: F.lower(w).isin(common or [""])))
-    odd = F.size(F.filter("words", lambda w: w.rlike(r"\p{N}\p{L}.*\p{N}|\p{L}\p{N}+\p{L}|^[\p{L}\p{N}]{25,}$")))
-    size_of = lambda test: F.length(F.array_join(F.filter("lines", test), ""))
-    size = F.length(F.array_join("lines", ""))
-    df = df.select(
-        *keep,
-        "raw",
-        F.when(F.col("raw").isNotNull(), words.cast("long")).alias("word_count"),
-        share(letters, words).alias("mean_word_length"),
-        share(symbols, visible).alias("symbol_ratio"),
-        share(n_of(r"[.!?…][\"”»’')\]]*\s*$"), lines).alias("punctuated_lines"),
-        share(is_common, words).alias("common_words"),
-        share(digits, letters).alias("digits"),
-        share(words, lines).alias("line_words"),
-        share(size_of(lambda x: x.rlike(_MARKER)), size).alias("markers"),
-        share(size_of(lambda x: x.rlike(_CELLS)), size).alias("cells"),
-        share(F.regexp_count("t", F.lit(r"[\p{L}\p{N}\"”»)][.!?…]+[\"”»)]*(?:\s|$)")), words).alias("sentences"),
-        share(F.size(F.array_distinct("lines")), lines).alias("distinct_lines"),
-        share(F.size(F.array_distinct(F.transform("words", F.lower))), F.pow(words.cast("double"), 0.75)).alias("distinct_words"),
-        share(odd, words).alias("odd_words"),
-        share(F.regexp_count("t", F.lit("[ÂÃâ€¿½�□■◆¤¶†‡]")), visible).alias("broken"),
-        share(size_of(lambda x: F.regexp_count(x, F.lit(r"\S+")) >= 7), size).alias("long_lines"),
-    )
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    logged = lambda c: F.log1p(zero(c))
-    return df.select(
-        *keep,
-        *STATISTICS,
-        F.when(F.col("raw").isNotNull(), F.log1p(F.col("word_count").cast("double"))).alias("f_words"),
-        logged("mean_word_length").alias("f_word_length"),
-        F.sqrt(zero("symbol_ratio")).alias("f_symbols"),
-        zero("punctuated_lines").alias("f_punctuated"),
-        zero("common_words").alias("f_common"),
-        F.sqrt(zero("digits")).alias("f_digits"),
-        logged("line_words").alias("f_line_words"),
-        zero("markers").alias("f_markers"),
-        zero("cells").alias("f_cells"),
-        F.sqrt(zero("sentences")).alias("f_sentences"),
-        zero("distinct_lines").alias("f_distinct_lines"),
-        F.log(F.greatest(F.lit(0.05), zero("distinct_words"))).alias("f_distinct_words"),
-        F.sqrt(zero("odd_words")).alias("f_odd_words"),
-        F.sqrt(zero("broken")).alias("f_broken"),
-        zero("long_lines").alias("f_long_lines"),
-    )
+    """``keep``, the five statistics and the features of the mixture, for each row; a narrow plan, every text is read once."""
+    known = frozenset(common)
+    names = [*STATISTICS, *FEATURES]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        rewriter = default_rewriter()
+        none = (np.nan,) * 24
+        rows = [_measures(t, known, rewriter) if isinstance(t, str) else none for t in texts]
+        return _table(np.array(rows, dtype=float).reshape(len(rows), 24))
+
+    df = documents.select(*keep, measure(F.col(text)).alias("__m"))
+    value = lambda n: F.nanvl(F.col(f"__m.{n}"), F.lit(None).cast("double"))
+    return df.select(*keep, value("word_count").cast("long").alias("word_count"), *(value(n).alias(n) for n in names[1:]))
 
 
 @dataclass(frozen=True)
@@ -128,6 +167,8 @@ class Mixture:
     means: np.ndarray
     variances: np.ndarray
     labels: tuple[str, ...]
+    #: Mean log-likelihood before each iteration.
+    likelihoods: tuple[float, ...] = ()
 
     def log_densities(self, x: np.ndarray) -> np.ndarray:
         """log(weight * density) of each row under each component."""
@@ -150,26 +191,29 @@ def _step(features: DataFrame, model: Mixture) -> tuple[np.ndarray, np.ndarray,
     """Sums of responsibilities, of values and of squares over all rows; log-likelihood; rows."""
     k, d = model.means.shape
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k * (1 + 2 * d) + 2)
         for batch in batches:
-            x = batch[FEATURES].to_numpy(dtype=float)
-            if not len(x):
+            if not batch.num_rows:
                 continue
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             r, like = model.responsibilities(x)
             z = (x - model.center) / model.spread
             total += np.concatenate([r.sum(axis=0), (r.T @ z).ravel(), (r.T @ (z * z)).ravel(), [like.sum(), len(x)]])
-        yield pd.DataFrame({"i": np.arange(len(total)), "v": total})
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(total)), pa.int32()), "v": total})
 
-    rows = features.select(*FEATURES).mapInPandas(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
+    rows = features.select(*FEATURES).mapInArrow(sums, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     flat = np.zeros(k * (1 + 2 * d) + 2)
     for i, v in rows:
         flat[i] = v
     return flat[:k], flat[k : k + k * d].reshape(k, d), flat[k + k * d : -2].reshape(k, d), float(flat[-2]), int(flat[-1])
 
 
-def fit(features: DataFrame, examples: pd.DataFrame, iterations: int = ITERATIONS) -> Mixture | None:
-    """Fit the mixture to all rows of ``features``; ``examples`` has the features, ``component`` and ``shape``."""
+def fit(features: DataFrame, examples: pd.DataFrame, iterations: int | None = None) -> Mixture | None:
+    """Fit the mixture to all rows of ``features``; ``examples`` has the features, ``component`` and ``shape``.
+
+    Iterates until the likelihood has converged; with ``iterations`` just so many times.
+    """
     moments = features.agg(*(f(c).alias(f"{n}_{c}") for c in FEATURES for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     if moments[0] is None:
         return None
@@ -182,18 +226,22 @@ def fit(features: DataFrame, examples: pd.DataFrame, iterations: int = ITERATION
     first_vars = np.maximum((member @ (z * z)) / member.sum(axis=1, keepdims=True) - first_means**2, 0.15)
     k = len(names)
     model = Mixture(center, spread, np.full(k, 1 / k), first_means, first_vars, tuple(names))
-    last = -np.inf
-    for _ in range(iterations):
+    likelihoods: list[float] = []
+    while True:
         n_k, s1, s2, like, n = _step(features, model)
+        likelihoods.append(like / n if n else 0.0)
         prior = EXAMPLE_WEIGHT * n / k
         total = n_k + prior
         means = (s1 + prior * first_means) / total[:, None]
         squares = (s2 + prior * (first_vars + first_means**2)) / total[:, None]
         variances = np.maximum(squares - means**2, LEAST_VARIANCE)
-        model = Mixture(center, spread, total / total.sum(), means, variances, tuple(names))
-        if n == 0 or like / n - last < LEAST_GAIN:
+        model = Mixture(center, spread, total / total.sum(), means, variances, tuple(names), tuple(likelihoods))
+        if len(likelihoods) == iterations or n == 0:
+            break
+        if iterations is None and len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < LEAST_GAIN:
             break
-        last = like / n
+        if len(likelihoods) >= ITERATIONS:
+            raise RuntimeError(f"the mixture hasn't converged after {ITERATIONS} iterations")
     return labelled(model, examples)
 
 
@@ -206,7 +254,7 @@ def labelled(model: Mixture, examples: pd.DataFrame) -> Mixture:
         votes = {s: float(r[(examples["shape"] == s).to_numpy(), k].sum()) for s in shapes.SHAPES}
         best = max(votes, key=votes.get)
         labels.append(best if votes[best] > 0.5 else own[name])
-    return Mixture(model.center, model.spread, model.weights, model.means, model.variances, tuple(labels))
+    return Mixture(model.center, model.spread, model.weights, model.means, model.variances, tuple(labels), model.likelihoods)
 
 
 def shape_of(features: DataFrame, model: Mixture, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

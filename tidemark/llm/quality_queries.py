@@ -27,4 +27,13 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {"p8_found": p8_found, "p8_statistics": p8_statistics, "p8_shapes": p8_shapes}
-SQL: dict[str, str] = {}
+
+_BLANK = r"[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SQL = {
+    "p8_statistics": rf"""WITH doc AS (SELECT doc_id, text IS NOT NULL AS known, list_filter(string_split_regex(text, '\r\n|\n|\r'), lambda x: regexp_replace(x, '{_BLANK}', '', 'g') <> '') AS lines,
+      regexp_extract_all(text, '[\p{{L}}\p{{N}}]+(?:[''’][\p{{L}}\p{{N}}]+)*') AS words, regexp_replace(text, '{_BLANK}', '', 'g') AS seen FROM documents)
+    SELECT doc_id, CASE WHEN known THEN len(words) END AS word_count, CASE WHEN known THEN len(array_to_string(words, '')) / nullif(len(words), 0)::DOUBLE END AS mean_word_length,
+      CASE WHEN known THEN len(regexp_replace(seen, '[\p{{L}}\p{{N}}\p{{M}}]', '', 'g')) / nullif(len(seen), 0)::DOUBLE END AS symbol_ratio,
+      CASE WHEN known THEN len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…]["”»’'')\]]*{_BLANK}*$'))) / nullif(len(lines), 0)::DOUBLE END AS punctuated_lines,
+      CASE WHEN known THEN len(list_filter(words, lambda w: list_contains(common, lower(w)))) / nullif(len(words), 0)::DOUBLE END AS common_words FROM doc, (SELECT list(DISTINCT lower(word)) AS common FROM common_words)""",
+}
