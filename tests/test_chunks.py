@@ -1,10 +1,14 @@
 """Exact offset chunking and running sums, against plain Python."""
 
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.operators import chunks, ordered
+from tidemark.plans import skewed_spend
 
 ROWS = [("hot", i) for i in range(500)] + [("warm", i) for i in range(60)] + [(None, i) for i in range(70)] + [("one", None)]
 
@@ -14,7 +18,7 @@ def frame(spark, rows=ROWS, parts=7):
 
 
 def test_positions_are_exact_and_chunks_equal(spark):
-    rows = chunks.chunked(chunks.numbered(frame(spark), ["k"]), "k", 50).collect()
+    rows = chunks.chunked(chunks.numbered(frame(spark), ["k"], 50), "k").collect()
     by = defaultdict(list)
     for r in rows:
         by[r.k].append((r["__position"], r["__chunk"]))
@@ -27,17 +31,17 @@ def test_positions_are_exact_and_chunks_equal(spark):
 
 
 def test_totals_merge_states_in_order(spark):
-    rows = chunks.numbered(frame(spark), ["k"])
+    rows = chunks.numbered(frame(spark), ["k"], 50)
     states = {"c_n": F.count(F.lit(1)), "c_v": F.sum("v"), "c_last": F.max_by("v", "__position")}
     merges = {"n": F.sum("c_n"), "v": F.sum("c_v"), "last": F.max_by("c_last", "__chunk")}
-    got = {r.k: (r.n, r.v) for r in chunks.totals(rows, "k", states, merges, 50).collect()}
+    got = {r.k: (r.n, r.v) for r in chunks.totals(rows, "k", states, merges).collect()}
     assert got == {"hot": (500, sum(range(500))), "warm": (60, sum(range(60))), None: (70, sum(range(70))), "one": (1, None)}
 
 
 def test_several_keys_are_numbered_at_once_and_other_columns_may_clash(spark):
     df = frame(spark).withColumn("n", F.col("v")).withColumn("k2", F.lit("same"))
-    rows = chunks.numbered(df, ["k", "k2"])
-    got = chunks.chunked(rows, "k2", 100).select("__position").orderBy("__position").collect()
+    rows = chunks.numbered(df, ["k", "k2"], 100)
+    got = chunks.chunked(rows, "k2").select("__position").orderBy("__position").collect()
     assert [r[0] for r in got] == list(range(len(ROWS)))
 
 
@@ -48,8 +52,8 @@ def test_an_empty_table(spark):
 
 
 def test_offsets_are_joined_without_broadcast_too(spark, monkeypatch):
-    monkeypatch.setattr(chunks, "BROADCAST_OFFSETS", 0)
-    rows = chunks.chunked(chunks.numbered(frame(spark), ["k"]), "k", 50).filter("k = 'hot'").select("__position").collect()
+    monkeypatch.setattr(chunks, "broadcast_if_small", lambda side: side)
+    rows = chunks.chunked(chunks.numbered(frame(spark), ["k"], 50), "k").filter("k = 'hot'").select("__position").collect()
     assert sorted(r[0] for r in rows) == list(range(500))
 
 
@@ -72,9 +76,33 @@ def test_running_sum_over_everything(spark):
 def test_a_key_with_a_tenth_of_the_rows_is_split_by_default(spark):
     df = spark.createDataFrame([("hot" if i % 10 == 0 else f"k{i}", i) for i in range(5000)], "k string, v long").repartition(3)
     rows = chunks.numbered(df, ["k"])
-    placed = chunks.chunked(rows, "k", chunks.chunk_size(rows)).filter("k = 'hot'")
+    placed = chunks.chunked(rows, "k").filter("k = 'hot'")
     assert placed.select("__chunk").distinct().count() > 1
     assert sorted(r[0] for r in placed.select("__position").collect()) == list(range(500))
     got = chunks.totals(rows, "k", {"n": F.count(F.lit(1)), "s": F.sum("v")}, {"rows": F.sum("n"), "states": F.count(F.lit(1)), "total": F.sum("s")})
     hot = got.filter("k = 'hot'").first()
     assert hot.rows == 500 and hot.states > 1 and hot.total == sum(range(0, 5000, 10))
+
+
+def test_only_rows_of_hot_values_are_numbered(spark):
+    got = chunks.numbered(frame(spark), ["k"], 65).rows.groupBy("k").agg(F.count("__no_k").alias("n")).collect()
+    assert {r.k: r.n for r in got} == {"hot": 500, None: 70, "warm": 0, "one": 0}
+    hot = chunks.hot_values(frame(spark).withColumn("k2", F.col("v") % 2), ["k", "k2"], 200)
+    assert hot["k"] == ["hot"] and sorted(hot["k2"]) == [0, 1]
+
+
+def test_steps_are_merged_over_the_borders_of_chunks(spark):
+    values = [0, 5, 6, 20, 21, 22, 60, 61, 62, 63, 64, 100]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7), ("c", 1), ("c", 4), (None, 9), (None, 30)], "k string, v long").repartitionByRange(3, "v").sortWithinPartitions("v")
+    for size in (2, 3, 5, 100):
+        got = {r.k: (r.rows, r.gap) for r in chunks.longest_gaps(chunks.numbered(df, ["k"], size), "k", "v").collect()}
+        assert got == {"a": (12, 38), "b": (1, None), "c": (2, 3), None: (2, 21)}
+
+
+@pytest.mark.skipif(not Path(entry.DATA, "sf0.001").exists(), reason="the test tables aren't here")
+def test_the_registered_queries_chunk_their_hot_keys(spark):
+    rows = skewed_spend.spend_keys(spark, f"{entry.DATA}/sf0.001")
+    for key in skewed_spend.KEYS:
+        assert chunks.offsets(rows, key).count() > 0
+        spread = chunks.chunked(rows, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("__chunk").alias("chunks")).orderBy(F.col("n").desc()).first()
+        assert spread.n > rows.chunk_rows and spread.chunks == -(-spread.n // rows.chunk_rows)

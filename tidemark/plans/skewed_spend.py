@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +16,24 @@ KEYS = ("model", "feature", "user_id")
 HOT_SHARE = 0.02
 
 
-def spend_keys(spark: SparkSession, directory: str) -> DataFrame:
-    """The spend facts with their three keys and their measures, numbered per key."""
-    spend = table(spark, directory, "spend")
-    return chunks.numbered(
-        spend.select(
-            "model",
-            F.try_element_at("tags", F.lit("feature")).alias("feature"),
-            F.try_element_at("tags", F.lit("user_id")).alias("user_id"),
-            "usd",
-            (F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"),
-            "ts",
-        ),
-        list(KEYS),
-        "spend",
+def _keyed(spark: SparkSession, directory: str) -> DataFrame:
+    """The spend facts with their three keys and their measures."""
+    return table(spark, directory, "spend").select(
+        "model",
+        F.try_element_at("tags", F.lit("feature")).alias("feature"),
+        F.try_element_at("tags", F.lit("user_id")).alias("user_id"),
+        "usd",
+        (F.coalesce("input_tokens", F.lit(0)) + F.coalesce("output_tokens", F.lit(0))).alias("tokens"),
+        "ts",
     )
 
 
-def _totals(rows: DataFrame, key: str, chunk_rows: int) -> DataFrame:
+def spend_keys(spark: SparkSession, directory: str) -> chunks.Numbered:
+    """The spend facts numbered per key."""
+    return chunks.numbered(_keyed(spark, directory), list(KEYS), name="spend")
+
+
+def _totals(rows: chunks.Numbered, key: str) -> DataFrame:
     states = {
         "c_rows": F.count(F.lit(1)),
         "c_tokens": F.sum("tokens"),
@@ -45,16 +48,16 @@ def _totals(rows: DataFrame, key: str, chunk_rows: int) -> DataFrame:
         "first_ts": F.min("c_first"),
         "last_ts": F.max("c_last"),
     }
-    merged = chunks.totals(rows, key, states, merges, chunk_rows)
+    merged = chunks.totals(rows, key, states, merges)
     return merged.select(F.lit(key).alias("key_kind"), F.col(key).alias("key_value"), *merges)
 
 
-def _all_totals(rows: DataFrame) -> DataFrame:
-    chunk_rows = chunks.chunk_size(rows)
-    first, *rest = (_totals(rows, key, chunk_rows) for key in KEYS)
-    for other in rest:
-        first = first.unionByName(other)
-    return first
+def _union(parts: Iterable[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _all_totals(rows: chunks.Numbered) -> DataFrame:
+    return _union(_totals(rows, key) for key in KEYS)
 
 
 def p5_totals(spark: SparkSession, directory: str) -> DataFrame:
@@ -65,12 +68,20 @@ def p5_totals(spark: SparkSession, directory: str) -> DataFrame:
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """Key values that stand in at least 2 % of all rows, by the totals of the chunked operator."""
     rows = spend_keys(spark, directory)
-    least = HOT_SHARE * rows.count()
+    least = HOT_SHARE * rows.rows.count()
     hot = _all_totals(rows).filter(F.col("key_value").isNotNull() & (F.col("rows") >= F.lit(least)))
     return hot.select("key_kind", "key_value")
 
 
-QUERIES = {"p5_found": p5_found, "p5_totals": p5_totals}
+def p5_gaps(spark: SparkSession, directory: str) -> DataFrame:
+    """The longest time between two calls of each key value that follow each other: boundary states merged in the order of time."""
+    rows = _keyed(spark, directory).filter("ts IS NOT NULL").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).select(*KEYS, "at")
+    rows = chunks.numbered(rows.repartitionByRange("at").sortWithinPartitions("at"), list(KEYS), name="spend-by-time", counted=rows)
+    gaps = lambda key: chunks.longest_gaps(rows, key, "at").select(F.lit(key).alias("key_kind"), F.col(key).alias("key_value"), "rows", "gap")
+    return _union(map(gaps, KEYS))
+
+
+QUERIES = {"p5_found": p5_found, "p5_totals": p5_totals, "p5_gaps": p5_gaps}
 
 _KEYED = """SELECT 'model' AS key_kind, model AS key_value, * FROM spend
     UNION ALL SELECT 'feature', tags['feature'], * FROM spend
@@ -82,4 +93,6 @@ SQL = {
       CAST(sum(coalesce(input_tokens, 0) + coalesce(output_tokens, 0)) AS BIGINT) AS tokens,
       CAST(coalesce(sum(usd), 0) AS DECIMAL(38,9)) AS usd, min(ts) AS first_ts, max(ts) AS last_ts
     FROM ({_KEYED}) GROUP BY ALL""",
+    "p5_gaps": f"""SELECT key_kind, key_value, count(*) AS rows, max(gap) AS gap FROM (SELECT key_kind, key_value,
+      epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY key_kind, key_value ORDER BY ts) AS gap FROM ({_KEYED}) WHERE ts IS NOT NULL) GROUP BY ALL""",
 }
