@@ -107,18 +107,19 @@ def test_promote_skips_what_is_no_call(spark):
 
 
 @pytest.mark.parametrize(
-    ("response", "usage", "text"),
+    ("response", "provider", "usage", "text"),
     [
-        ('{"usage": {"prompt_tokens": 3, "completion_tokens": 4}, "choices": [{"message": {"content": "hi"}}]}', (3, 4, 0, 7), "hi"),
-        ('{"usage": {"input_tokens": 3, "output_tokens": null, "cache_read_input_tokens": 2}, "content": [{"text": "yo"}]}', (3, 0, 2, 3), "yo"),
-        ('[{"choices": [{"delta": {"content": "a"}}]}, {"choices": [{"delta": {"content": "b"}}], "usage": {"prompt_tokens": 1}}]', (1, 0, 0, 1), "ab"),
-        ('{"usage": {"prompt_tokens": "x"}}', None, None),
-        (None, None, None),
-        ("{", None, None),
+        ('{"usage": {"prompt_tokens": 3, "completion_tokens": 4}, "choices": [{"message": {"content": "hi"}}]}', "some host", (3, 4, 0, 0, 0, 7), "hi"),
+        ('{"usage": {"input_tokens": 3, "output_tokens": null, "cache_read_input_tokens": 2}, "content": [{"text": "yo"}]}', "anthropic", (5, 0, 2, 0, 0, 5), "yo"),
+        ('[{"choices": [{"delta": {"content": "a"}}]}, {"choices": [{"delta": {"content": "b"}}], "usage": {"prompt_tokens": 1}}]', None, (1, 0, 0, 0, 0, 1), "ab"),
+        ('{"usage": {"prompt_tokens": "x"}}', "openai", None, None),
+        ('{"usage": {"prompt_tokens": 1}} and more', "openai", None, None),
+        (None, "openai", None, None),
+        ("{", None, None, None),
     ],
 )
-def test_responses(spark, response, usage, text):
-    row = spark.createDataFrame([(response,)], "r string").select(ingest.usage(F.col("r")).alias("u"), ingest.text(F.col("r")).alias("t")).first()
+def test_responses(spark, response, provider, usage, text):
+    row = spark.createDataFrame([(response, provider)], "r string, p string").select(ingest.usage(F.col("r"), F.col("p")).alias("u"), ingest.text(F.col("r")).alias("t")).first()
     assert (tuple(row.u) if row.u else None) == usage
     assert row.t == text
 

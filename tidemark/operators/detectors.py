@@ -76,19 +76,35 @@ def nino(value: Column) -> Column:
 
 
 # The dihedral group's multiplication and the permutation of the check digit scheme.
-_VERHOEFF_D = ["0123456789", "1234067895", "2340178956", "3401289567", "4012395678", "5987604321", "6598710432", "7659821043", "8765932104", "9876543210"]
-_VERHOEFF_P = ["0123456789", "1576283094", "5803796142", "8916043527", "9453126870", "4286573901", "2793806415", "7046913258"]
+_VERHOEFF_D = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 2, 3, 4, 0, 6, 7, 8, 9, 5],
+    [2, 3, 4, 0, 1, 7, 8, 9, 5, 6],
+    [3, 4, 0, 1, 2, 8, 9, 5, 6, 7],
+    [4, 0, 1, 2, 3, 9, 5, 6, 7, 8],
+    [5, 9, 8, 7, 6, 0, 4, 3, 2, 1],
+    [6, 5, 9, 8, 7, 1, 0, 4, 3, 2],
+    [7, 6, 5, 9, 8, 2, 1, 0, 4, 3],
+    [8, 7, 6, 5, 9, 3, 2, 1, 0, 4],
+    [9, 8, 7, 6, 5, 4, 3, 2, 1, 0],
+]
+_VERHOEFF_P = [
+    [0, 1, 2, 3, 4, 5, 6, 7, 8, 9],
+    [1, 5, 7, 6, 2, 8, 3, 0, 9, 4],
+    [5, 8, 0, 3, 7, 9, 6, 1, 4, 2],
+    [8, 9, 1, 6, 0, 4, 3, 5, 2, 7],
+    [9, 4, 5, 3, 1, 2, 6, 8, 7, 0],
+    [4, 2, 8, 6, 5, 7, 3, 9, 0, 1],
+    [2, 7, 9, 3, 8, 0, 6, 4, 1, 5],
+    [7, 0, 4, 6, 9, 1, 3, 2, 5, 8],
+]
 
 
 def verhoeff(value: Column) -> Column:
     """Number whose Verhoeff check digit is right, as a fold over its digits from the right."""
     d = F.reverse(_digits(value))
-    table, perm = F.lit("".join(_VERHOEFF_D)), F.lit("".join(_VERHOEFF_P))
-
-    def step(c: Column, i: Column) -> Column:
-        p = F.substr(perm, (i - 1) % 8 * 10 + _digit(d, i) + 1, F.lit(1)).cast("int")
-        return F.substr(table, c * 10 + p + 1, F.lit(1)).cast("int")
-
+    table, perm = F.lit(_VERHOEFF_D), F.lit(_VERHOEFF_P)
+    step = lambda c, i: F.get(F.get(table, c), F.get(F.get(perm, (i - 1) % 8), _digit(d, i)))
     return (F.length(d) > 0) & (F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), F.lit(0), step) == 0)
 
 
@@ -147,7 +163,7 @@ _LAST = [
         "phone",
         "pii",
         "warning",
-        r"(?<![A-Za-z0-9_])(?:\+?1[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<![A-Za-z0-9_])\+\d{9,15}(?!\d)",
+        r"(?<!\w)(?:\+?1[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)|(?<!\w)\+\d{9,15}(?!\d)",
         phone,
     ),
     Detector("ipv4", "pii", "warning", r"\b(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\b"),

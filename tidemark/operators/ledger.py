@@ -13,9 +13,10 @@ import hmac
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.json import strict_json
 from tidemark.operators import ordered
 
 GENESIS = "0" * 64
@@ -61,12 +62,16 @@ def canonical(text: Column | str) -> Column:
     return run(text)
 
 
-def chain_hash(prev_hash: Column, seq: Column, ts: Column, kind: Column, payload: Column) -> Column:
-    """The hash of an entry given as columns, the payload as JSON text."""
-    body = F.concat(
+def canonical_body(seq: Column, ts: Column, kind: Column, payload: Column) -> Column:
+    """The canonical body of an entry given as columns, the payload as JSON text; null for an unreadable payload."""
+    return F.concat(
         F.lit('{"payload":'), canonical(payload), F.lit(',"seq":'), seq.cast("string"), F.lit(',"ts":'), _quoted(ts), F.lit(',"type":'), _quoted(kind), F.lit("}")
     )
-    return F.sha2(F.concat(prev_hash, body), 256)
+
+
+def chain_hash(prev_hash: Column, seq: Column, ts: Column, kind: Column, payload: Column) -> Column:
+    """The hash of an entry given as columns, the payload as JSON text."""
+    return F.sha2(F.concat(prev_hash, canonical_body(seq, ts, kind, payload)), 256)
 
 
 def _quoted(text: Column) -> Column:
@@ -153,8 +158,6 @@ def verify(lines: DataFrame, key: str | None = None) -> DataFrame:
 
 def once(lines: DataFrame) -> DataFrame:
     """The readable lines of each ledger as first written: no blank, cut or repeated ones."""
-    from tidemark.functions.json import strict_json
-
     rows = lines.withColumn("v", strict_json("line")).filter("v IS NOT NULL").drop("v")
     first = rows.groupBy("chain_id", F.sha2(canonical("line"), 256).alias("k")).agg(F.min_by(F.struct("line_no", "line"), "line_no").alias("r"))
     return first.select("chain_id", "r.*")
@@ -185,5 +188,6 @@ def export(lines: DataFrame, directory: str) -> None:
 
 
 def step_index(entries: DataFrame, trace: str, order: list[str]) -> DataFrame:
-    """``entries`` with ``step``: 1-based position within a trace (a trace is the work on one decision, so it is short)."""
-    return entries.withColumn("step", F.row_number().over(Window.partitionBy(trace).orderBy(*order)))
+    """``entries`` with ``step``: 1-based position within a trace; a trace of any length is spread over many tasks."""
+    rows = ordered.positions(entries, trace, [F.col(c) for c in order], "steps")
+    return rows.withColumn("step", (F.col("position") + 1).cast("int")).drop("position")

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.json import strict_json
 from tidemark.operators import ordered
 from tidemark.operators.ledger import canonical, canonical_text
 
@@ -69,7 +70,7 @@ def drift(recorded: DataFrame, live: DataFrame) -> DataFrame:
 def promote(lines: DataFrame) -> DataFrame:
     """Trace lines of kind llm or tool as (kind, request, response); blank, unreadable and header lines are skipped."""
     kind = F.get_json_object("line", "$.kind")
-    rows = lines.filter(F.try_parse_json("line").isNotNull() & F.get_json_object("line", "$._meta").isNull() & kind.isin("llm", "tool"))
+    rows = lines.filter(strict_json("line").isNotNull() & F.get_json_object("line", "$._meta").isNull() & kind.isin("llm", "tool"))
     return rows.select(
         kind.alias("kind"),
         F.get_json_object("line", "$.request").alias("request"),

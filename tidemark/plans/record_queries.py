@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.json import strict_json
 from tidemark.operators import ingest, ledger, replay
 from tidemark.sources.tables import table
 
@@ -19,9 +20,10 @@ def _entries(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def ledger_canonical(spark: SparkSession, directory: str) -> DataFrame:
-    """The canonical body of the rows for which it is known."""
+    """The canonical body of the rows for which it is known, from the entries' fields."""
     rows = table(spark, directory, "hashes").filter("canonical_body IS NOT NULL")
-    return rows.select("case_id", "arrived_at", ledger.canonical("canonical_body").alias("body"))
+    body = ledger.canonical_body(F.col("seq"), F.col("ts"), F.col("entry_type"), F.col("payload"))
+    return rows.select("case_id", "arrived_at", body.alias("body"))
 
 
 def ledger_hashes(spark: SparkSession, directory: str) -> DataFrame:
@@ -49,9 +51,9 @@ def ledger_verify_once(spark: SparkSession, directory: str) -> DataFrame:
 
 def ledger_steps(spark: SparkSession, directory: str) -> DataFrame:
     """The step of every readable entry within its decision."""
-    rows = _chain(spark, directory).filter(F.try_parse_json("line").isNotNull())
+    rows = _chain(spark, directory).filter(strict_json("line").isNotNull())
     rows = rows.select("chain_id", "line_no", F.get_json_object("line", "$.payload.decision_id").alias("decision_id")).filter("decision_id IS NOT NULL")
-    return ledger.step_index(rows, "decision_id", ["chain_id", "line_no"])
+    return ledger.step_index(rows, "decision_id", ["chain_id", "line_no"]).select("chain_id", "line_no", "decision_id", "step")
 
 
 def replay_hashes(spark: SparkSession, directory: str) -> DataFrame:
@@ -78,10 +80,73 @@ def replay_drift(spark: SparkSession, directory: str) -> DataFrame:
     return replay.drift(*_split(spark, directory))
 
 
+#: One response of each shape that providers have: (provider, response, usage or null, text or null).
+SHAPES: list[tuple[str, str, tuple[int, ...] | None, str | None]] = [
+    ("openai", '{"choices":[{"message":{"content":"first"}}],"usage":{"prompt_tokens":10,"completion_tokens":4,"prompt_tokens_details":{"cached_tokens":3},"completion_tokens_details":{"reasoning_tokens":2}}}', (10, 4, 3, 2, 0), "first"),
+    ("openai_responses", '{"output_text":"second","usage":{"input_tokens":8,"output_tokens":5,"input_tokens_details":{"cached_tokens":1},"output_tokens_details":{"reasoning_tokens":4}}}', (8, 5, 1, 4, 0), "second"),
+    ("openai_embeddings", '{"data":[],"usage":{"prompt_tokens":6,"total_tokens":6}}', (6, 0, 0, 0, 0), None),
+    ("anthropic", '{"content":[{"type":"text","text":"third, "},{"type":"tool_use"},{"type":"text","text":"part two"}],"usage":{"input_tokens":20,"output_tokens":7,"cache_read_input_tokens":15,"cache_creation_input_tokens":9}}', (35, 7, 15, 0, 9), "third, part two"),
+    ("google", '{"text":"fourth","usageMetadata":{"promptTokenCount":11,"candidatesTokenCount":3,"thoughtsTokenCount":6}}', (11, 9, 0, 6, 0), "fourth"),
+    ("google", '{"candidates":[{"content":{"parts":[{"text":"fif"},{"text":"th"}]}}],"usage_metadata":{"prompt_token_count":2,"candidates_token_count":1}}', (2, 1, 0, 0, 0), "fifth"),
+    ("ollama", '{"message":{"content":"sixth"},"prompt_eval_count":12,"eval_count":13}', (12, 13, 0, 0, 0), "sixth"),
+    ("bedrock", '{"output":{"message":{"content":[{"text":"sev"},{"text":"enth"}]}},"usage":{"inputTokens":14,"outputTokens":2}}', (14, 2, 0, 0, 0), "seventh"),
+    ("anthropic", '[{"type":"message_start","message":{"usage":{"input_tokens":5,"cache_read_input_tokens":2,"cache_creation_input_tokens":1}}},{"type":"content_block_delta","delta":{"text":"a"}},{"type":"content_block_delta","delta":{"text":"b"}},{"type":"message_delta","usage":{"output_tokens":3}},{"type":"message_delta","usage":{"output_tokens":9}}]', (7, 9, 2, 0, 1), "ab"),
+    ("google", '[{"text":"x","usageMetadata":{"promptTokenCount":4,"candidatesTokenCount":1}},{"text":"y","usageMetadata":{"promptTokenCount":4,"candidatesTokenCount":7,"thoughtsTokenCount":2}}]', (4, 9, 0, 2, 0), "xy"),
+    ("bedrock", '[{"contentBlockDelta":{"delta":{"text":"p"}}},{"contentBlockDelta":{"delta":{"text":"q"}}},{"metadata":{"usage":{"inputTokens":3,"outputTokens":8}}}]', (3, 8, 0, 0, 0), "pq"),
+    ("openai_responses", '[{"type":"response.output_text.delta","delta":"m"},{"type":"response.output_text.delta","delta":"n"},{"type":"response.completed","response":{"usage":{"input_tokens":9,"output_tokens":2}}}]', (9, 2, 0, 0, 0), "mn"),
+    ("openai", '[{"choices":[{"delta":{"content":"r"}},{"delta":{"content":"s"}}]},{"choices":[],"usage":{"prompt_tokens":1,"completion_tokens":2}}]', (1, 2, 0, 0, 0), "rs"),
+    ("anthropic", '{"usage":{"prompt_tokens":5}}', None, None),
+    ("google", '{"usage":{"input_tokens":5}}', None, None),
+    ("openai", '{"usage":{"prompt_tokens":"many"}} trailing', None, None),
+]
+
+
+def _shapes(spark: SparkSession, directory: str) -> DataFrame:
+    """Every ledger case with one of the SHAPES, by its number."""
+    shape = F.get(F.array(*(F.struct(F.lit(p).alias("provider"), F.lit(r).alias("response")) for p, r, _, _ in SHAPES)), (F.col("case_id") % len(SHAPES)).cast("int"))
+    return table(spark, directory, "hashes").select("case_id", "arrived_at", shape.alias("s")).select("case_id", "arrived_at", "s.*")
+
+
+def ingest_usage_shapes(spark: SparkSession, directory: str) -> DataFrame:
+    """The usage of a response of every shape, by its provider's rule."""
+    rows = _shapes(spark, directory).withColumn("u", ingest.usage(F.col("response"), F.col("provider")))
+    return rows.select("case_id", "arrived_at", "provider", *(F.col(f"u.{c}").alias(c) for c in ingest.COUNTS))
+
+
+def ingest_text_shapes(spark: SparkSession, directory: str) -> DataFrame:
+    """The assistant's text of a response of every shape."""
+    return _shapes(spark, directory).select("case_id", "arrived_at", ingest.text(F.col("response")).alias("text"))
+
+
+def ingest_runs(spark: SparkSession, directory: str) -> DataFrame:
+    """Calls from the starts and ends of runs in a tree over the ledger's cases.
+
+    Case n runs under case n // 3, tens begin a tree; every fourth is a chain with a name on every eighth, the others are models and tools by turns, every 7th of them fails.
+    """
+    case = F.col("case_id")
+    rows = table(spark, directory, "hashes").filter("case_id IS NOT NULL").select("case_id").distinct()
+    kind = F.when(case % 4 == 0, "chain").when(case % 4 == 1, "llm").otherwise("tool")
+    name = F.when(kind == "chain", F.when(case % 8 == 0, F.concat(F.lit("agent"), case.cast("string")))).when(kind == "tool", F.concat(F.lit("tool"), (case % 5).cast("string")))
+    result = F.concat(F.lit('{"generations":[[{"message":{"usage_metadata":{"input_tokens":'), (case % 100).cast("string"), F.lit(',"output_tokens":"7","input_token_details":{"cache_read":2}}}}]],"llmOutput":{"model_name":"m'), (case % 3).cast("string"), F.lit('"}}'))
+    body = F.when(kind == "llm", result).otherwise(F.lit("done"))
+    failed = case % 7 == 0
+    runs = rows.select(case.cast("string").alias("run"), F.when(case % 10 != 0, F.floor(case / 3).cast("string")).alias("parent"), kind.alias("kind"), name.alias("name"), body.alias("result"), failed.alias("failed"))
+    start = F.struct(F.lit("start").alias("event"), "name", F.lit("in").alias("body"))
+    end = F.struct(F.when(F.col("failed"), "error").otherwise("end").alias("event"), F.lit(None).cast("string").alias("name"), F.when(F.col("failed"), "broken").otherwise(F.col("result")).alias("body"))
+    events = runs.select("run", "parent", "kind", F.explode(F.array(start, end)).alias("e")).select("run", "parent", "kind", "e.*")
+    return ingest.run_calls(events).select("run", "kind", "name", "error", "model", "root", "agent", F.col("usage.input").alias("input"), F.col("usage.output").alias("output"), F.col("usage.cached").alias("cached"))
+
+
+def ingest_payloads(spark: SparkSession, directory: str) -> DataFrame:
+    """The text that rules read of every recorded request's messages."""
+    messages = F.get_json_object("request", "$.messages")
+    return _entries(spark, directory).select("cassette_id", "arrived_at", "seq", F.md5(ingest.payload_text(messages)).alias("text_md5"))
+
+
 def ingest_usage(spark: SparkSession, directory: str) -> DataFrame:
     """Token usage of every recorded response, streamed or not."""
-    rows = _entries(spark, directory).withColumn("u", ingest.usage(F.col("response")))
-    return rows.select("cassette_id", "arrived_at", "seq", "u.*")
+    rows = _entries(spark, directory).withColumn("u", ingest.usage(F.col("response"), F.get_json_object("request", "$.provider")))
+    return rows.select("cassette_id", "arrived_at", "seq", "u.input", "u.output", "u.cached", "u.total")
 
 
 def ingest_texts(spark: SparkSession, directory: str) -> DataFrame:
@@ -99,15 +164,17 @@ def ingest_attributes(spark: SparkSession, directory: str) -> DataFrame:
         key("gen_ai.system", "gen_ai.provider.name"), get("$.provider"),
         key("gen_ai.usage.input_tokens", "gen_ai.usage.prompt_tokens"), get("$.usage.input_tokens"),
         key("gen_ai.usage.output_tokens", "gen_ai.usage.completion_tokens"), get("$.usage.output_tokens"),
+        key("gen_ai.usage.cached_tokens", "gen_ai.usage.cache_read_input_tokens"), get("$.usage.cached_tokens"),
+        F.lit("gen_ai.usage.reasoning_tokens"), get("$.usage.reasoning_tokens"),
     )
     rows = table(spark, directory, "hashes").filter("entry_type = 'llm_call'")
     return rows.select("case_id", "arrived_at", ingest.attributes(attrs).alias("a")).select("case_id", "arrived_at", "a.*")
 
 
 def ingest_spans(spark: SparkSession, directory: str) -> DataFrame:
-    """The spend facts as spans: their start and how many attributes are set."""
+    """The spend facts as spans: their start and the attributes that are set."""
     rows = ingest.spans(table(spark, directory, "spend").withColumn("latency_ms", (F.col("spend_id") % 1000).cast("double")))
-    return rows.select("spend_id", "logged_at", "start", "end", F.size("attributes").alias("attributes"))
+    return rows.select("spend_id", "logged_at", "start", "end", F.array_join(F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e.key, F.lit("="), e.value)), ";").alias("attributes"))
 
 
 def ingest_roots(spark: SparkSession, directory: str) -> DataFrame:
@@ -123,13 +190,17 @@ QUERIES = {
     "ledger_links": ledger_links,
     "ledger_verify": ledger_verify,
     "ledger_verify_once": ledger_verify_once,
-    "ledger_summary": lambda s, d: ledger.summary(_chain(s, d).filter(F.try_parse_json("line").isNotNull())),
-    "ledger_controls": lambda s, d: ledger.controls(_chain(s, d).filter(F.try_parse_json("line").isNotNull())).select("chain_id", F.array_join("controls", ";").alias("controls")),
+    "ledger_summary": lambda s, d: ledger.summary(_chain(s, d).filter(strict_json("line").isNotNull())),
+    "ledger_controls": lambda s, d: ledger.controls(_chain(s, d).filter(strict_json("line").isNotNull())).select("chain_id", F.array_join("controls", ";").alias("controls")),
     "ledger_steps": ledger_steps,
     "replay_hashes": replay_hashes,
     "replay_matched": replay_matched,
     "replay_drift": replay_drift,
     "ingest_usage": ingest_usage,
+    "ingest_usage_shapes": ingest_usage_shapes,
+    "ingest_text_shapes": ingest_text_shapes,
+    "ingest_runs": ingest_runs,
+    "ingest_payloads": ingest_payloads,
     "ingest_texts": ingest_texts,
     "ingest_attributes": ingest_attributes,
     "ingest_spans": ingest_spans,
@@ -142,7 +213,24 @@ _STREAM = """from_json(response, '["JSON"]')"""
 _J = "json_extract_string"
 _CHUNK = f"list_filter({_STREAM}, lambda c: {_J}(c, '$.usage.prompt_tokens') IS NOT NULL)[1]"
 _SRC = f"CASE WHEN json_type(response) = 'ARRAY' THEN {_CHUNK} ELSE response::JSON END"
+_quote = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+_VALUES = ", ".join(f"({i}, {', '.join(map(_quote, (p, *(u or (None,) * 5), t)))})" for i, (p, _, u, t) in enumerate(SHAPES))
+_SHAPE = f"(VALUES {_VALUES}) AS s(i, provider, input, output, cached, reasoning, cache_write, text)"
+_MESSAGE = f"""CASE json_type(m, '$.content') WHEN 'ARRAY' THEN array_to_string(list_transform(from_json(json_extract(m, '$.content'), '["JSON"]'), lambda p: coalesce({_J}(p, '$.text'), '')), '')
+  ELSE coalesce({_J}(m, '$.content'), '') END"""
 SQL = {
+    "ingest_usage_shapes": f"SELECT case_id, arrived_at, provider, CAST(input AS BIGINT) AS input, CAST(output AS BIGINT) AS output, CAST(cached AS BIGINT) AS cached, CAST(reasoning AS BIGINT) AS reasoning, CAST(cache_write AS BIGINT) AS cache_write FROM hashes LEFT JOIN {_SHAPE} ON case_id % {len(SHAPES)} = i",
+    "ingest_text_shapes": f"SELECT case_id, arrived_at, text FROM hashes LEFT JOIN {_SHAPE} ON case_id % {len(SHAPES)} = i",
+    "ingest_payloads": f"""SELECT cassette_id, arrived_at, seq, CASE WHEN json_type(request, '$.messages') = 'ARRAY' THEN md5(array_to_string(list_transform(list_filter(from_json(json_extract(request, '$.messages'), '["JSON"]'), lambda m: json_type(m) <> 'NULL'), lambda m: {_MESSAGE}), chr(10))) END AS text_md5 FROM {_E}""",
+    "ingest_runs": """WITH RECURSIVE run AS (SELECT DISTINCT case_id AS id, CASE WHEN case_id % 10 <> 0 THEN case_id // 3 END AS parent, CASE WHEN case_id % 4 = 0 THEN 'chain' WHEN case_id % 4 = 1 THEN 'llm' ELSE 'tool' END AS kind,
+        CASE WHEN case_id % 8 = 0 THEN 'agent' || case_id END AS own FROM hashes WHERE case_id IS NOT NULL),
+      fixed AS (SELECT r.id, r.own, r.kind, CASE WHEN p.id <> r.id THEN p.id END AS parent FROM run r LEFT JOIN run p ON r.parent = p.id),
+      up AS (SELECT id, id AS top, parent, 0 AS depth, own FROM fixed UNION ALL SELECT up.id, f.id, f.parent, depth + 1, f.own FROM up JOIN fixed f ON up.parent = f.id),
+      of AS (SELECT id, arg_max(top, depth) AS root, arg_min(own, depth) FILTER (own IS NOT NULL) AS agent FROM up GROUP BY id)
+      SELECT CAST(id AS VARCHAR) AS run, kind, CASE WHEN kind = 'tool' THEN 'tool' || (id % 5) END AS name, CASE WHEN id % 7 = 0 THEN 'broken' END AS error,
+        CASE WHEN kind = 'llm' THEN CASE WHEN id % 7 = 0 THEN '' ELSE 'm' || (id % 3) END END AS model, CAST(root AS VARCHAR) AS root, agent,
+        CASE WHEN kind = 'llm' AND id % 7 <> 0 THEN id % 100 END AS input, CASE WHEN kind = 'llm' AND id % 7 <> 0 THEN 7 END AS output, CASE WHEN kind = 'llm' AND id % 7 <> 0 THEN 2 END AS cached
+      FROM fixed JOIN of USING (id) WHERE kind <> 'chain'""",
     "ledger_canonical": "SELECT case_id, arrived_at, canonical_body AS body FROM hashes WHERE canonical_body IS NOT NULL",
     "ledger_hashes": "SELECT case_id, arrived_at, hash FROM hashes",
     "ledger_links": f"""WITH line AS (SELECT chain_id, line_no, {_J}(line, '$.prev_hash') AS prev_hash, {_J}(line, '$.hash') AS hash FROM {_READ} WHERE {_J}(line, '$.hash') IS NOT NULL),
@@ -162,11 +250,11 @@ SQL = {
       CASE WHEN input IS NOT NULL THEN coalesce(cached, 0) END AS cached, input + coalesce(output, 0) AS total FROM (SELECT cassette_id, arrived_at, seq, TRY_CAST({_J}(s, '$.usage.prompt_tokens') AS BIGINT) AS input,
       TRY_CAST({_J}(s, '$.usage.completion_tokens') AS BIGINT) AS output, TRY_CAST({_J}(s, '$.usage.prompt_tokens_details.cached_tokens') AS BIGINT) AS cached FROM (SELECT *, {_SRC} AS s FROM {_E}))""",
     "ingest_texts": f"""SELECT cassette_id, arrived_at, seq, CASE WHEN json_type(response) = 'ARRAY' THEN
-      array_to_string(list_transform({_STREAM}, lambda c: coalesce({_J}(c, '$.choices[0].delta.content'), '')), '') ELSE {_J}(response, '$.choices[0].message.content') END AS text FROM {_E}""",
-    "ingest_attributes": f"""SELECT case_id, arrived_at, {_J}(payload, '$.model') AS model, {_J}(payload, '$.provider') AS provider, TRY_CAST({_J}(payload, '$.usage.input_tokens') AS BIGINT) AS input,
-      TRY_CAST({_J}(payload, '$.usage.output_tokens') AS BIGINT) AS output FROM hashes WHERE entry_type = 'llm_call'""",
+      nullif(array_to_string(list_transform({_STREAM}, lambda c: coalesce({_J}(c, '$.choices[0].delta.content'), '')), ''), '') ELSE {_J}(response, '$.choices[0].message.content') END AS text FROM {_E}""",
+    "ingest_attributes": f"""SELECT case_id, arrived_at, coalesce({_J}(payload, '$.model'), '') AS model, coalesce({_J}(payload, '$.provider'), '') AS provider, TRY_CAST({_J}(payload, '$.usage.input_tokens') AS BIGINT) AS input,
+      {", ".join(f"CASE WHEN TRY_CAST({_J}(payload, '$.usage.input_tokens') AS BIGINT) IS NOT NULL THEN coalesce(TRY_CAST({_J}(payload, '$.usage.{c}_tokens') AS BIGINT), 0) END AS {c}" for c in ("output", "cached", "reasoning"))} FROM hashes WHERE entry_type = 'llm_call'""",
     "ingest_spans": """SELECT spend_id, logged_at, ts - to_milliseconds(spend_id % 1000) AS start, ts AS "end",
-      CAST((model IS NOT NULL)::INT + (input_tokens IS NOT NULL)::INT + (output_tokens IS NOT NULL)::INT + (reasoning_tokens IS NOT NULL AND reasoning_tokens <> 0)::INT AS INT) AS attributes FROM spend""",
+      array_to_string(list_filter(['gen_ai.input_tokens=' || input_tokens, 'gen_ai.model=' || model, 'gen_ai.output_tokens=' || output_tokens, 'gen_ai.reasoning_tokens=' || nullif(reasoning_tokens, 0)], lambda x: x IS NOT NULL), ';') AS attributes FROM spend""",
     "ingest_roots": """WITH RECURSIVE run AS (SELECT DISTINCT spend_id AS id, CASE WHEN spend_id % 1000 <> 0 THEN spend_id // 3 END AS parent FROM spend WHERE spend_id IS NOT NULL),
       fixed AS (SELECT r.id, CASE WHEN p.id <> r.id THEN p.id END AS parent FROM run r LEFT JOIN run p ON r.parent = p.id),
       up AS (SELECT id, id AS top, parent, 0 AS depth FROM fixed UNION ALL SELECT up.id, f.id, f.parent, depth + 1 FROM up JOIN fixed f ON up.parent = f.id)

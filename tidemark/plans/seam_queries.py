@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.json import strict_json
 from tidemark.operators import compress, gates, ingest, sinks
 from tidemark.operators.spend import once
 from tidemark.plans.gate_queries import tokens_sql
+from tidemark.plans.record_queries import _MESSAGE
 from tidemark.sources.tables import table
 
 KEEP = 50
@@ -28,7 +30,8 @@ def ingest_agents(spark: SparkSession, directory: str) -> DataFrame:
 def ingest_estimates(spark: SparkSession, directory: str) -> DataFrame:
     """Estimated usage of every recorded response."""
     rows = table(spark, directory, "llm").select("cassette_id", "arrived_at", F.explode("entries").alias("e"))
-    rows = rows.withColumn("u", ingest.estimated_usage(F.col("e.request"), ingest.text(F.col("e.response"))))
+    messages = F.try_variant_get(strict_json("e.request"), "$.messages", "array<variant>")
+    rows = rows.withColumn("u", ingest.estimated_usage(messages, ingest.text(F.col("e.response")), ingest.thinking(F.col("e.response"))))
     return rows.select("cassette_id", "arrived_at", "e.seq", "u.*")
 
 
@@ -65,7 +68,9 @@ SQL = {
     "ingest_agents": """WITH once AS (SELECT spend_id, tags['env'] AS env, model FROM spend WHERE spend_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY spend_id ORDER BY logged_at) = 1),
       seg AS (SELECT *, CASE WHEN spend_id % 10 IN (0, 4) THEN coalesce(model, 'none') || (spend_id % 10) END AS name, sum((spend_id % 10 IN (0, 4, 8))::INT) OVER (PARTITION BY env ORDER BY spend_id) AS n FROM once)
       SELECT spend_id, env, model, max(name) OVER (PARTITION BY env, n) AS agent FROM seg""",
-    "ingest_estimates": f"""SELECT cassette_id, arrived_at, seq, coalesce({tokens_sql('request')}, 0) AS input, coalesce({tokens_sql('text')}, 0) AS output, true AS estimated FROM (SELECT *, {_TEXT} AS text FROM {_E})""",
+    "ingest_estimates": f"""SELECT cassette_id, arrived_at, seq, CASE WHEN json_type(request, '$.messages') = 'ARRAY' AND json_array_length(request, '$.messages') > 0 THEN
+        3 + CAST(list_sum(list_transform(from_json(json_extract(request, '$.messages'), '["JSON"]'), lambda m: 4 + {tokens_sql(f"({_MESSAGE})")})) AS BIGINT) ELSE 0 END AS input,
+      coalesce({tokens_sql('text')}, 0) AS output, CAST(0 AS BIGINT) AS reasoning, true AS estimated FROM (SELECT *, {_TEXT} AS text FROM {_E})""",
     "gate_schema": """SELECT case_id, arrived_at, reason FROM (SELECT case_id, arrived_at, CASE
         WHEN NOT json_exists(payload, '$.provider') THEN '$: missing required key "provider"'
         WHEN NOT json_exists(payload, '$.latency_ms') THEN '$: missing required key "latency_ms"'
