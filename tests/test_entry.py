@@ -18,7 +18,7 @@ DATA = Path(entry.DATA) / "sf0.001"
 CHECKED = [
     "p1_found", "p1_schema", "p1_messages", "p5_found", "p5_totals", "spend_report_feature_env", "spend_report_once", "spend_under_cap", "spend_running", "detect_counts", "detect_redacted", "detect_guard",
     "redaction_scrubbed", "gate_evaluate", "gate_lengths", "gate_schema", "vector_topics", "content_kinds", "log_compressed", "pack_history", "pack_first_fit", "pack_orders", "ledger_links", "ledger_hashes",
-    "replay_hashes", "replay_matched", "ingest_usage", "ingest_texts", "ingest_roots", "ingest_agents", "stream_counts",
+    "replay_hashes", "replay_matched", "ingest_usage", "ingest_texts", "ingest_roots", "ingest_agents", "stream_windows",
 ]
 
 needs_data = pytest.mark.skipif(not DATA.exists(), reason="the test tables aren't here")

@@ -66,8 +66,9 @@ def test_running_spend_first_breach_and_newest(facts):
         assert newest[key] == {i for i, _ in calls[-3:]}
 
 
-@pytest.mark.parametrize("cap", ["0.07", "0.5", "100", "0"])
-def test_enforced_calls_don_t_accrue_when_blocked(facts, cap):
+@pytest.mark.parametrize(("cap", "rounds"), [("0.07", 12), ("0.5", 12), ("100", 12), ("0", 12), ("0.07", 1), ("0.5", 0)])
+def test_enforced_calls_don_t_accrue_when_blocked(facts, monkeypatch, cap, rounds):
+    monkeypatch.setattr(op, "ROUNDS", rounds)
     got = {r.spend_id: r.allowed for r in op.enforced(op.once(facts.drop("key")), op.tag("user_id"), cap, "user_id").collect()}
     assert len(got) == 404
     for calls in ordered_calls(facts).values():
@@ -78,6 +79,19 @@ def test_enforced_calls_don_t_accrue_when_blocked(facts, cap):
             assert got[i] is ok, (i, usd, spent)
 
 
+def test_alternating_tiny_and_full_calls_end_after_a_few_rounds(spark):
+    calls = [row(i, "k", "0.000000001" if i % 2 else "0.999999999") for i in range(300)]
+    allowed = op.enforced(spark.createDataFrame(calls, SCHEMA), op.tag("user_id"), "1", "user_id")
+    assert sorted(r.spend_id for r in allowed.filter("allowed").collect()) == [0, 1]
+
+
+def test_newest_by_either_way(spark, facts, monkeypatch):
+    rows = lambda: sorted((r.user_id or "", r.spend_id) for r in op.newest(op.once(facts.drop("key")), op.tag("user_id"), 3, "user_id").collect())
+    limited = rows()
+    monkeypatch.setattr(op, "GROUP_LIMIT", 0)
+    assert rows() == limited
+
+
 def test_tables_in_the_shared_folder(spark):
     table = written(spark.range(5), "t")
     assert table.count() == 5 and shared_dir(spark)
@@ -92,21 +106,39 @@ def stream(spark, tmp_path, rows, schema, parts=3):
 
 
 def test_streamed_budgets_keep_their_state(spark, tmp_path):
-    rows = [("a", i, T0 + dt.timedelta(seconds=i), 1.0) for i in range(20)] + [("b", 99, T0, None)]
-    calls = stream(spark, tmp_path, rows, "key string, call_id long, ts timestamp_ntz, usd double")
-    stateful.run_available(stateful.budgets(calls, 7.0), stateful.append_table(str(tmp_path / "out")), "b")
+    rows = [("a", i, T0 + dt.timedelta(seconds=i), Decimal("0.1")) for i in range(20)] + [("b", 99, T0, None)]
+    calls = stream(spark, tmp_path, rows, "key string, call_id long, ts timestamp_ntz, usd decimal(18,9)")
+    stateful.run_available(stateful.budgets(calls, "0.7"), stateful.append_table(str(tmp_path / "out")), "b")
     got = spark.read.parquet(str(tmp_path / "out/*")).collect()
     assert sum(r.allowed for r in got if r.key == "a") == 7 and len(got) == 21
+    assert max(r.spent for r in got) == Decimal("0.700000000")
 
 
 def test_streamed_calls_are_put_together_once(spark, tmp_path):
     rows = [("x", i, t, i == 2) for i, t in enumerate("abc")] + [("x", 1, "b", False)] + [("long", i, "z" * 50, False) for i in range(3)]
     chunks = stream(spark, tmp_path, rows, "call_id string, idx int, text string, last boolean", 1)
-    stateful.run_available(stateful.calls_from_chunks(chunks, max_tokens=20), stateful.append_table(str(tmp_path / "out")), "c", timeouts=True)
+    stateful.run_available(stateful.calls_from_chunks(chunks, idle_ms=60_000, max_tokens=20), stateful.append_table(str(tmp_path / "out")), "c", idle_ms=60_000 // 200)
     got = {r.call_id: (r.text, r.broken) for r in spark.read.parquet(str(tmp_path / "out/*")).collect()}
     assert got == {"x": ("abc", False), "long": ("z" * 150, True)}
 
 
+def test_open_calls_are_emitted_at_the_end_of_input_and_late_chunks_open_none_again(spark, tmp_path):
+    schema = "call_id string, idx int, text string, last boolean"
+    chunks = stream(spark, tmp_path, [("open", 0, "a", False), ("open", 1, "b", False), ("done", 0, "c", True)], schema, 1)
+    calls = stateful.calls_from_chunks(chunks, idle_ms=1500)
+    late = {"written": False}
+
+    def sink(batch, batch_id):
+        stateful.append_table(str(tmp_path / "out"))(batch, batch_id)
+        if not late["written"] and any(r.call_id == "open" for r in batch.collect()):
+            late["written"] = True
+            spark.createDataFrame([("open", 2, "late", True), ("done", 1, "late", True)], schema).write.mode("append").parquet(str(tmp_path / "in"))
+
+    stateful.run_available(calls, sink, "open", idle_ms=1500)
+    got = [(r.call_id, r.text) for r in spark.read.parquet(str(tmp_path / "out/*")).collect()]
+    assert late["written"] and sorted(got) == [("done", "c"), ("open", "ab")]
+
+
 def test_windowed_counters(spark, tmp_path):
     rows = [(T0 + dt.timedelta(minutes=m), "k", 1) for m in (1, 2, 11, 300)]
     events = stream(spark, tmp_path, rows, "ts timestamp_ntz, key string, tokens long", 1).withColumn("ts", F.col("ts").cast("timestamp"))

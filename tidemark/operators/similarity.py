@@ -1,18 +1,19 @@
 """Similarity of vectors and of texts.
 
-Cosines are computed in DOUBLE by Catalyst's array functions. Exemplar sets are query sets of a stated size: they are
-collected under a bound and become literals of the plan, so every row is compared in place, without a cross join.
-Defined results: a zero norm or an empty vector gives 0; null vectors give null and trip nothing.
+Cosines of two columns are computed in DOUBLE by Catalyst's array functions. Exemplar sets are query sets of a stated size: they
+are collected under a bound and shipped to every worker as one matrix of unit vectors, against which whole batches are multiplied, so every
+row is compared in place, without a cross join. Defined results: a zero norm or an empty vector gives 0; null vectors give null and trip nothing.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most exemplar vectors in one plan; larger sets are compared in blocks of this size.
-MAX_EXEMPLARS = 1000
+#: Most exemplar vectors of a set, and how many are multiplied at once.
+MAX_EXEMPLARS, BLOCK = 100_000, 1000
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -36,18 +37,52 @@ def exemplars(df: DataFrame, label: str, vector: str, limit: int = MAX_EXEMPLARS
     return [(r[0], list(r[1])) for r in rows]
 
 
-def best_match(vector: Column, items: list[tuple[str, list[float]]]) -> Column:
+def _matrix(vectors: list, width: int) -> np.ndarray:
+    """Vectors as rows, with zeros behind the shorter ones; a missing component is 0."""
+    out = np.zeros((len(vectors), width))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v):
+            out[i, : min(width, len(v))] = np.nan_to_num(np.asarray(v, dtype=float)[:width])
+    return out
+
+
+def _norms(vectors: list) -> np.ndarray:
+    return np.array([0.0 if v is None else float(np.sqrt(np.nansum(np.square(np.asarray(v, dtype=float))))) for v in vectors])
+
+
+def best_match(vector: Column | str, items: list[tuple[str, list[float]]]) -> Column:
     """STRUCT<label, score> of the most similar exemplar; the first of equals wins."""
-    scored = F.array(*(F.struct(cosine(vector, F.lit(v)).alias("score"), F.lit(-i).alias("order"), F.lit(n).alias("label")) for i, (n, v) in enumerate(items)))
-    best = F.array_max(scored)
-    return F.struct(best["label"].alias("label"), best["score"].alias("score"))
+    labels = [n for n, _ in items]
+    rows = [v for _, v in items]
+    width = max((len(v) for v in rows), default=0)
+    own = _norms(rows)
+    unit = np.divide(_matrix(rows, width), own[:, None], out=np.zeros((len(rows), width)), where=own[:, None] > 0)
+
+    @F.pandas_udf("label string, score double")
+    def run(vectors: pd.Series) -> pd.DataFrame:
+        given, norms = _matrix(list(vectors), width), _norms(list(vectors))
+        given = np.divide(given, norms[:, None], out=np.zeros_like(given), where=norms[:, None] > 0)
+        best, at = np.full(len(given), -np.inf), np.zeros(len(given), int)
+        for low in range(0, len(unit), BLOCK):
+            scores = given @ unit[low : low + BLOCK].T
+            top = scores.argmax(axis=1)
+            value = scores[np.arange(len(given)), top]
+            better = value > best
+            best[better], at[better] = value[better], top[better] + low
+        known = vectors.notna().to_numpy() & (len(labels) > 0)
+        return pd.DataFrame({"label": [labels[i] if k else None for i, k in zip(at, known, strict=True)], "score": np.where(known, best, np.nan)})
+
+    found = run(vector)
+    score = F.nanvl(found["score"], F.lit(None).cast("double"))
+    return F.struct(found["label"].alias("label"), score.alias("score"))
 
 
 def grounded(vector: Column, sources: list[tuple[str, list[float]]], least: float = 0.75) -> Column:
     """Is the best similarity to a source (from 0 upwards) at least ``least``? Without sources everything passes."""
     if not sources:
         return F.lit(True)
-    return F.greatest(F.lit(0.0), best_match(vector, sources)["score"]) >= least
+    score = best_match(vector, sources)["score"]
+    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), score) >= least)
 
 
 def denied(vector: Column, topics: list[tuple[str, list[float]]], threshold: float = 0.8) -> Column:

@@ -5,6 +5,8 @@ Defined results: null texts stay null; a capture of more bytes than allowed ends
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from tidemark.operators import ordered
 
 MARKER = "…[truncated]"
 WITHHELD = "[mask failed; content withheld]"
+#: So many rows are kept by a top-k that meets in one task; more are numbered in order.
+TOP_ROWS = 10_000
 
 
 def spend_rows(spend: DataFrame) -> DataFrame:
@@ -33,8 +37,10 @@ def add_missing(store: DataFrame, new: DataFrame) -> DataFrame:
 def recently_used(uses: DataFrame, keep: int) -> DataFrame:
     """The ``keep`` refs that were used last, of (ref, at); ties by ref."""
     last = uses.groupBy("ref").agg(F.max("at").alias("at"))
-    ranked = ordered.positions(last, None, [F.col("at").desc(), F.col("ref")], "recent")
-    return ranked.filter(F.col("position") < keep).select("ref", "at")
+    order = [F.col("at").desc(), F.col("ref")]
+    if keep <= TOP_ROWS:  # every task keeps only its own last ones
+        return last.orderBy(*order).limit(keep)
+    return ordered.positions(last, None, order, "recent").filter(F.col("position") < keep).select("ref", "at")
 
 
 def captured(text: Column, max_bytes: int = 8192) -> Column:
@@ -44,6 +50,22 @@ def captured(text: Column, max_bytes: int = 8192) -> Column:
     return F.when(F.length(raw) > max_bytes, F.concat(cut, F.lit(MARKER))).otherwise(text)
 
 
+def masked_capture(text: Column | str, mask: Callable[[str], str], max_bytes: int = 8192) -> Column:
+    """The text after ``mask`` and cut to ``max_bytes``; where the mask fails the content is withheld, never shown as it was."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: object) -> str | None:
+            try:
+                return mask(t) if isinstance(t, str) else None
+            except Exception:  # noqa: BLE001
+                return WITHHELD
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return captured(run(text), max_bytes)
+
+
 def without_spans(text: Column | str, spans: Column | str, by: str = "<redacted>") -> Column:
     """The text with the spans ARRAY<STRUCT<begin, end>> of any model replaced; overlapping and touching spans are one."""
 

@@ -6,15 +6,22 @@ null key; unpriced rows add 0 and are counted; an empty table gives an empty rep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import ordered
 from tidemark.storage import written
 
 MONEY = "decimal(38,9)"
+#: Rows of a key that tasks cut to before a shuffle (Spark's own bound for it).
+GROUP_LIMIT = 1000
+#: Rounds over running sums before the calls still undecided are folded one by one.
+ROUNDS = 4
 
 
 def tag(name: str) -> Column:
@@ -98,9 +105,16 @@ def first_breach(running: DataFrame, name: str, cap_usd: str) -> DataFrame:
 
 
 def newest(spend: DataFrame, key: Column, keep: int, name: str = "key") -> DataFrame:
-    """The last ``keep`` rows of each key by (ts, spend_id), as (spend_id, key)."""
-    rows = ordered.positions(spend.select("spend_id", key.alias(name), "ts"), name, [F.col("ts").desc(), F.col("spend_id").desc()], "newest")
-    return rows.filter(F.col("position") < keep).select("spend_id", name)
+    """The last ``keep`` rows of each key by (ts, spend_id), as (spend_id, key).
+
+    Up to GROUP_LIMIT rows every task keeps only its own last rows of a key before anything is shuffled; more are numbered in order.
+    """
+    rows = spend.select("spend_id", key.alias(name), "ts")
+    order = [F.col("ts").desc(), F.col("spend_id").desc()]
+    if keep <= GROUP_LIMIT:
+        ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(name).orderBy(*order)))
+        return ranked.filter(F.col("__rank") <= keep).select("spend_id", name)
+    return ordered.positions(rows, name, order, "newest").filter(F.col("position") < keep).select("spend_id", name)
 
 
 def enforced(spend: DataFrame, key: Column, cap_usd: str, name: str = "key") -> DataFrame:
@@ -108,14 +122,17 @@ def enforced(spend: DataFrame, key: Column, cap_usd: str, name: str = "key") ->
 
     A blocked call costs nothing, so a verdict depends on all earlier ones. Rather than one task per key, rounds over
     running sums decide many calls at once: what comes before a key's first overflow is allowed, the overflowing call is
-    blocked, and so is every later call that costs more than what is left, as the rest only shrinks. The keys still open go on.
+    blocked, and so is every later call that costs more than what is left, as the rest only shrinks. The keys still open go on; what
+    is undecided after ROUNDS is folded in order, a key's room carried from row to row without holding the rows.
     """
     cap = int(Decimal(cap_usd).scaleb(9))
     nano = (F.coalesce("usd", F.lit(0).cast("decimal(18,9)")) * 1_000_000_000).cast("long")
     open_rows = spend.select("spend_id", key.alias(name), "ts", nano.alias("nano"), F.lit(cap).cast("long").alias("room"))
     parts: list[DataFrame] = [open_rows.filter("nano > room").select("spend_id", name, F.lit(False).alias("allowed"))]
     open_rows = open_rows.filter("nano <= room")
-    while not open_rows.isEmpty():
+    for _ in range(ROUNDS):
+        if open_rows.isEmpty():
+            break
         rows = written(ordered.running(open_rows, name, [F.col("ts"), F.col("spend_id")], ["nano"], "cap"), "cap")
         over = rows.filter("before_nano + nano > room")
         first = over.groupBy(F.col(name).alias("__k")).agg(
@@ -130,7 +147,29 @@ def enforced(spend: DataFrame, key: Column, cap_usd: str, name: str = "key") ->
         blocked = (at == stop) | (F.col("nano") > F.col("f.left"))
         parts.append(late.filter(blocked).select("spend_id", name, F.lit(False).alias("allowed")))
         open_rows = late.filter(~blocked).select("spend_id", name, "ts", "nano", F.col("f.left").alias("room"))
+    else:
+        parts.append(_folded(open_rows, name))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def _folded(rows: DataFrame, name: str) -> DataFrame:
+    """(spend_id, key, allowed) of calls whose key has ``room``, taken one after the other."""
+    schema = T.StructType([*rows.select("spend_id", name).schema.fields, T.StructField("allowed", T.BooleanType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: object = ()
+        room = 0
+        for batch in batches:
+            keys = batch[name].astype(object).where(batch[name].notna(), None)
+            allowed = []
+            for key, nano, start in zip(keys, batch["nano"].tolist(), batch["room"].tolist(), strict=True):
+                if key != last:
+                    last, room = key, start
+                allowed.append(nano <= room)
+                room -= nano if allowed[-1] else 0
+            yield batch[["spend_id", name]].assign(allowed=allowed)
+
+    return rows.repartition(name).sortWithinPartitions(name, "ts", "spend_id").mapInPandas(fold, schema)
