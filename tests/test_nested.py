@@ -80,6 +80,27 @@ def test_child_table_has_typed_columns_keys_and_no_clashes(spark):
     assert table.select("parent_key").distinct().count() == 1
 
 
+def test_types_are_those_of_all_values_however_many_members(spark):
+    schema = spark.createDataFrame([("t", f"$.m.k{i}", kind, 1) for i in range(3000) for kind in ("integer", "string")], "tbl string, path string, kind string, n long")
+    columns = nested.columns_of(schema, "t", "$.m", 2500)
+    assert len(columns) == 2500 and {kind for _, kind in columns} == {"string"}
+
+
+def test_child_tables_hold_every_member_of_every_path(spark):
+    docs = [{"a": 1, "b": "x", "m": [{"p": 1.5, "q": {"z": True}}, {"p": "s", "r": [1]}]}, {"a": 2, "c": None, "m": []}, {"m": {"deep": {"k": 3}}}]
+    rows = spark.createDataFrame([("t", f"r{i}", json.dumps(d)) for i, d in enumerate(docs)], "tbl string, record_id string, doc string")
+    schema = nested.merged_schema(rows, {"$": "doc"})
+    nodes = nested.nodes(rows, {"$": "doc"}, nested.depth(schema), roots=True)
+    tables = nested.child_tables(nodes, schema)
+    assert {t for _, t in tables} == {"$", "$.m[]", "$.m[].q", "$.m", "$.m.deep"}
+    top = {r.record_id: (r.parent_key, r.a, r.b, r.c) for r in tables["t", "$"].collect()}
+    assert top == {"r0": (None, 1, "x", None), "r1": (None, 2, None, None), "r2": (None, None, None, None)}
+    parts = tables["t", "$.m[]"].orderBy("ordinal").collect()
+    assert [(r.ordinal, r.p) for r in parts] == [(0, "1.5"), (1, "s")] and parts[0].parent_key == tables["t", "$"].filter("record_id = 'r0'").first().node_key
+    narrow = nested.child_tables(nodes, schema, limit=1)["t", "$"]
+    assert narrow.columns[4:] == ["a", "others"] and {r.record_id: r.others for r in narrow.collect()} == {"r0": {"b": "x"}, "r1": {"c": None}, "r2": {}}
+
+
 def test_a_long_record_is_walked_whole(spark):
     doc = json.dumps({"m": [{"i": i, "t": "x" * 50} for i in range(20_000)]})
     assert len(objects(spark, [doc])) == 20_000

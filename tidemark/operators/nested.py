@@ -16,19 +16,24 @@ columns; records without any object give an empty table; extra columns of the in
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.json import strict_json
+from tidemark.storage import broadcast_if_small, written
 
-#: More distinct paths than this mean that data stands in member names; the schema isn't collected then.
+#: More distinct paths with objects than this mean that data stands in member names; they get no tables of their own then.
 MAX_PATHS = 100_000
 
+#: Columns of a child table; members beyond them stand in a map.
+MAX_COLUMNS = 1000
+
 NODE_FIELDS = "path string, template string, owner string, ordinal int, kind string, value variant"
 
 
@@ -161,34 +166,50 @@ def nodes(records: DataFrame, texts: dict[str, str], levels: int, roots: bool =
     )
 
 
+#: A path as the template of an object and the name of one of its members.
+_MEMBER = r"^(.*)\.([^.\[\]]+)$"
 _TYPES = {"integer": "bigint", "double": "double", "boolean": "boolean", "string": "string"}
 
 
-def columns_of(schema: DataFrame, tbl: str, template: str) -> list[tuple[str, str]]:
-    """(member, Spark type) of the scalar members of the objects at ``template``, by the merged schema."""
-    members = schema.filter((F.col("tbl") == tbl) & F.col("path").startswith(f"{template}.") & F.col("kind").isin([*_TYPES, "null"]))
-    members = members.withColumn("name", F.expr(f"substr(path, {len(template) + 2})")).filter(~F.col("name").rlike(r"[.\[]"))
-    kinds: dict[str, set[str]] = {}
-    for name, kind in members.select("name", "kind").limit(MAX_PATHS + 1).collect():
-        kinds.setdefault(name, set()).add(kind)
-    if len(kinds) > MAX_PATHS:
-        raise ValueError(f"{template} has more than {MAX_PATHS} members")
-    out = []
-    for name, found in sorted(kinds.items()):
-        found -= {"null"}
+def columns_of(schema: DataFrame, tbl: str, template: str, limit: int = MAX_COLUMNS) -> list[tuple[str, str]]:
+    """(member, Spark type) of the scalar members of the objects at ``template``, by the merged schema; the ``limit`` most frequent of them, by name.
+
+    The kinds of a member are gathered before anything is cut, so the type is that of all its values. ``child_tables`` has the members beyond the limit in a map.
+    """
+    return _columns(schema.filter(F.col("tbl") == tbl), limit).get((tbl, template), [])
+
+
+def _columns(schema: DataFrame, limit: int) -> dict[tuple[str, str], list[tuple[str, str]]]:
+    """(tbl, template) -> the ``limit`` most frequent scalar members and their types, for all paths in one pass over the schema."""
+    scalars = schema.filter(F.col("kind").isin([*_TYPES, "null"])).select("tbl", F.regexp_extract("path", _MEMBER, 1).alias("template"), F.regexp_extract("path", _MEMBER, 2).alias("name"), "kind", "n")
+    kinds = scalars.filter("name <> ''").groupBy("tbl", "template", "name").agg(F.collect_set("kind").alias("kinds"), F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("tbl", "template").orderBy(F.col("n").desc(), "name"))
+    out: dict[tuple[str, str], list[tuple[str, str]]] = {}
+    for row in kinds.withColumn("rank", rank).filter(F.col("rank") <= limit).collect():
+        found = set(row["kinds"]) - {"null"}
         kind = found.pop() if len(found) == 1 else "double" if found == {"integer", "double"} else "string"
-        out.append((name, _TYPES[kind]))
-    return out
+        out.setdefault((row["tbl"], row["template"]), []).append((row["name"], _TYPES[kind]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _scalar(value: str, path: str, kind: str) -> Column:
+    """A scalar member; a container there has a table of its own and no value here."""
+    found = F.try_variant_get(value, path, kind)
+    if kind != "string":
+        return found
+    return F.when(F.substr(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit(1), F.lit(6)).isin("OBJECT", "ARRAY<"), F.lit(None)).otherwise(found)
 
 
-def child_table(all_nodes: DataFrame, tbl: str, template: str, columns: list[tuple[str, str]]) -> DataFrame:
+def child_table(all_nodes: DataFrame, tbl: str, template: str, columns: list[tuple[str, str]], others: bool = False) -> DataFrame:
     """The flat table of one path: keys, position and the given scalar members of each object there.
 
     A member that clashes with a key column (record_id, node_key, parent_key, ordinal) gets the
-    suffix ``_``. A value that doesn't fit its column's type is null, as is an absent member.
+    suffix ``_``. A value that doesn't fit its column's type is null, as is an absent member. With ``others`` the scalar members without a
+    column of their own stand in ``others`` MAP<STRING, STRING>. A record itself has a null parent_key.
     """
     keys = ["record_id", "node_key", "parent_key", "ordinal"]
     rows = all_nodes.filter((F.col("tbl") == tbl) & (F.col("template") == template) & (F.col("kind") == "object"))
+    rows = rows.withColumn("parent_key", F.when(F.col("path") != F.col("owner"), F.col("parent_key")))
     taken = {k.lower() for k in keys}
     picked = []
     for name, kind in columns:
@@ -197,10 +218,43 @@ def child_table(all_nodes: DataFrame, tbl: str, template: str, columns: list[tup
             alias += "_"
         taken.add(alias.lower())
         path = "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
-        picked.append(F.try_variant_get("value", path, kind).alias(alias))
+        picked.append(_scalar("value", path, kind).alias(alias))
+    if others:
+        scalars = F.map_filter(F.try_variant_get("value", "$", "map<string,variant>"), lambda k, v: ~F.substr(F.schema_of_variant(v), F.lit(1), F.lit(6)).isin("OBJECT", "ARRAY<") & ~k.isin([n for n, _ in columns] or [""]))
+        name = "others"
+        while name.lower() in taken:
+            name += "_"
+        picked.append(F.transform_values(scalars, lambda k, v: F.try_variant_get(v, "$", "string")).alias(name))
     return rows.select(*keys, *picked)
 
 
+def child_tables(all_nodes: DataFrame, schema: DataFrame, limit: int = MAX_COLUMNS) -> dict[tuple[str, str], DataFrame]:
+    """(tbl, template) -> the flat table of every path that has objects, with columns of the merged schema.
+
+    The nodes are written once, a folder for each path, so the records are parsed and exploded in one pass and a table reads its own folder only. A
+    path with more than ``limit`` members has the rest in ``others``. Paths are a bounded list; data in member names (more than MAX_PATHS paths) is refused
+    with a hint to ``members``, which holds any number of them.
+    """
+    schema = written(schema, "schema")
+    paths = schema.filter("kind = 'object'").select("tbl", "path").distinct().orderBy("tbl", "path").limit(MAX_PATHS + 1).collect()
+    if len(paths) > MAX_PATHS:
+        raise ValueError(f"more than {MAX_PATHS} paths hold objects; use members")
+    objects = all_nodes.filter("kind = 'object'").select("tbl", F.md5("template").alias("folder"), "template", "record_id", "node_key", "parent_key", "path", "owner", "ordinal", "kind", "value")
+    stored = written(objects, "objects", ["tbl", "folder"])
+    columns, out = _columns(schema, limit), {}
+    more = {(r["tbl"], r["template"]) for r in _crowded(schema, limit).collect()}
+    for tbl, path in paths:
+        folder = stored.filter(F.col("folder") == hashlib.md5(path.encode()).hexdigest())
+        out[tbl, path] = child_table(folder, tbl, path, columns.get((tbl, path), []), (tbl, path) in more)
+    return out
+
+
+def _crowded(schema: DataFrame, limit: int) -> DataFrame:
+    """(tbl, template) of the paths with more than ``limit`` scalar members."""
+    scalars = schema.filter(F.col("kind").isin([*_TYPES, "null"])).select("tbl", F.regexp_extract("path", _MEMBER, 1).alias("template"), "path").distinct()
+    return scalars.groupBy("tbl", "template").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+
+
 def column_types(schema: DataFrame) -> DataFrame:
     """(tbl, column_path, type): the Spark type that ``columns_of`` gives to the scalars at each path of the merged schema."""
     scalars = schema.filter(F.col("kind").isin([*_TYPES, "null"])).groupBy("tbl", "path").agg(F.array_sort(F.collect_set(F.nullif("kind", F.lit("null")))).alias("kinds"))
@@ -229,6 +283,5 @@ def members(all_nodes: DataFrame, schema: DataFrame) -> DataFrame:
     rows = rows.select("tbl", "record_id", "node_key", "parent_key", "path", "template", "ordinal", "kind", F.explode_outer(found).alias("m"))
     at = F.when(F.col("m.member").isNotNull(), F.concat("template", F.lit("."), "m.member")).when(F.col("kind") == "scalar", F.col("template"))
     types = column_types(schema)
-    small = types.limit(MAX_PATHS + 1).count() <= MAX_PATHS
-    rows = rows.withColumn("column_path", at).join(F.broadcast(types) if small else types, ["tbl", "column_path"], "left")
+    rows = rows.withColumn("column_path", at).join(broadcast_if_small(types), ["tbl", "column_path"], "left")
     return rows.select("tbl", "record_id", "node_key", "parent_key", "path", "template", "ordinal", "kind", "m.member", "type", "m.value")

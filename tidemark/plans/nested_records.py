@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,35 +45,52 @@ def p1_schema(spark: SparkSession, directory: str) -> DataFrame:
     return chain.unionByName(llm)
 
 
+def _child(nodes: tuple[DataFrame, DataFrame], tbl: str, template: str) -> DataFrame:
+    """The child table of a path with the columns that the merged schema has for it."""
+    schema, rows = nodes
+    return nested.child_table(rows, tbl, template, nested.columns_of(written(schema, "schema"), tbl, template))
+
+
 def p1_usage(spark: SparkSession, directory: str) -> DataFrame:
     """The child table of ``payload.usage``."""
-    _, nodes = chain_nodes(spark, directory)
-    columns = [(c, "bigint") for c in ("input_tokens", "output_tokens", "cached_tokens", "reasoning_tokens", "cache_write")]
-    return nested.child_table(nodes, "chain_signed", "$.payload.usage", columns)
+    return _child(chain_nodes(spark, directory), "chain_signed", "$.payload.usage")
 
 
 def p1_summary(spark: SparkSession, directory: str) -> DataFrame:
     """The child table of ``_meta.summary``."""
-    _, nodes = chain_nodes(spark, directory)
-    columns = [(c, "bigint") for c in ("decisions", "llm_calls", "tool_calls")]
-    return nested.child_table(nodes, "chain_signed", "$._meta.summary", columns)
+    return _child(chain_nodes(spark, directory), "chain_signed", "$._meta.summary")
 
 
 def p1_messages(spark: SparkSession, directory: str) -> DataFrame:
     """The child table of ``request.messages``; ``content`` is null where it is a list with a table of its own."""
-    _, nodes = llm_nodes(spark, directory)
-    columns = [("role", "string"), ("tool_call_id", "string")]
-    rows = nested.child_table(nodes, "llm", "$.request.messages[]", columns)
-    text = nodes.filter("template = '$.request.messages[]' AND kind = 'object'").select(
-        "node_key", F.when(F.expr("schema_of_variant(try_variant_get(value, '$.content', 'variant')) = 'STRING'"), F.expr("try_variant_get(value, '$.content', 'string')")).alias("content")
-    )
-    return rows.join(text, "node_key").select("record_id", "node_key", "parent_key", "ordinal", "role", "content", "tool_call_id")
+    return _child(llm_nodes(spark, directory), "llm", "$.request.messages[]")
 
 
 def p1_content_parts(spark: SparkSession, directory: str) -> DataFrame:
     """The child table of ``request.messages.content`` where it is a list of parts."""
-    _, nodes = llm_nodes(spark, directory)
-    return nested.child_table(nodes, "llm", "$.request.messages[].content[]", [("type", "string"), ("text", "string")])
+    return _child(llm_nodes(spark, directory), "llm", "$.request.messages[].content[]")
+
+
+def p1_functions(spark: SparkSession, directory: str) -> DataFrame:
+    """The child table of the functions that ``request.messages.tool_calls`` call."""
+    return _child(llm_nodes(spark, directory), "llm", "$.request.messages[].tool_calls[].function")
+
+
+def p1_tables(spark: SparkSession, directory: str) -> DataFrame:
+    """Every child table of every path of both tables: its rows, the parents that they point to and the values in its columns."""
+    lines, cassettes = table(spark, directory, "chain_signed"), table(spark, directory, "llm")
+    parts = []
+    for records, texts in ((chain_records(lines, parsed=True), CHAIN_TEXTS), (cassette_records(cassettes), LLM_TEXTS)):
+        docs = chain_records(lines) if texts is CHAIN_TEXTS else records
+        schema = written(nested.merged_schema(docs, texts), "schema")
+        tables = nested.child_tables(nested.nodes(records, texts, nested.depth(schema), roots=True), schema)
+        for (tbl, template), rows in tables.items():
+            keys, columns = rows.columns[:4], rows.columns[4:]
+            values = [F.count(F.col(f"`{c}`")) for c in columns]
+            parts.append(rows.select(F.lit(tbl).alias("tbl"), F.lit(template).alias("template"), F.col(keys[2]).alias("parent_key"), *columns).groupBy("tbl", "template").agg(
+                F.count(F.lit(1)).alias("rows"), F.countDistinct("parent_key").alias("parents"), sum(values, F.lit(0)).cast("long").alias("values")
+            ))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def p1_members(spark: SparkSession, directory: str) -> DataFrame:
@@ -96,6 +115,8 @@ QUERIES = {
     "p1_summary": p1_summary,
     "p1_messages": p1_messages,
     "p1_content_parts": p1_content_parts,
+    "p1_functions": p1_functions,
+    "p1_tables": p1_tables,
 }
 
 _CHAIN = """chain AS (
@@ -116,13 +137,31 @@ _LLM_TREE = f"tree AS (SELECT record_id, part.root || substr({_PLAIN}, 2) AS p,
 _KINDS = "CASE kind WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'double' ELSE 'integer' END"
 
 
-def _child(table_name: str, ctes: str, where: str, columns: str, ordinal: str = "CAST(NULL AS INT)") -> str:
+def _child_sql(table_name: str, ctes: str, where: str, columns: str, ordinal: str = "CAST(NULL AS INT)") -> str:
     return f"""WITH {ctes} SELECT record_id, {_KEY.format(t=table_name, p='p')} AS node_key,
       {_KEY.format(t=table_name, p=_OWNER.format(p='p'))} AS parent_key, {ordinal} AS ordinal, {columns}
     FROM tree WHERE kind = 'OBJECT' AND {where}"""
 
 
+_PARENT = r"regexp_replace(p, '(\.[^.\[]+|\[\d+\])$', '')"
+_TEMPLATE = r"regexp_replace({p}, '\[\d+\]', '[]', 'g')"
+
+
+def _tables(name: str, ctes: str) -> str:
+    """Rows, parents and values of each child table of one of the two trees."""
+    return f"""SELECT tbl, template, count(*) FILTER (own) AS rows, count(DISTINCT CASE WHEN own AND p <> '$' THEN record_id || owner END) AS parents, count(*) FILTER (NOT own) AS values FROM (
+      WITH {ctes} SELECT '{name}' AS tbl, record_id, p, {_OWNER.format(p='p')} AS owner, kind = 'OBJECT' AS own, CASE WHEN kind = 'OBJECT' THEN {_TEMPLATE.format(p='p')} ELSE {_TEMPLATE.format(p=_PARENT)} END AS template
+      FROM tree WHERE kind = 'OBJECT' OR kind NOT IN ('OBJECT', 'ARRAY', 'NULL') AND regexp_matches(p, '\\.[^.\\[]+$')) WHERE template <> '$' OR own OR tbl = 'chain_signed' GROUP BY ALL"""
+
+
 SQL = {
+    "p1_tables": f"""{_tables('chain_signed', f'{_CHAIN}, {_CHAIN_TREE}')} UNION ALL {_tables('llm', f'{_LLM}, {_LLM_TREE}')}""",
+    "p1_functions": _child_sql(
+        "llm",
+        f"{_LLM}, {_LLM_TREE}",
+        r"regexp_full_match(p, '\$\.request\.messages\[\d+\]\.tool_calls\[\d+\]\.function')",
+        "json_extract_string(value, '$.name') AS name, json_extract_string(value, '$.arguments') AS arguments",
+    ),
     "p1_found": f"""SELECT 'chain_signed' AS tbl, record_id, {_OWNER.format(p='p')} AS parent_path, p AS child_path
     FROM (WITH {_CHAIN}, {_CHAIN_TREE} SELECT * FROM tree) WHERE kind = 'OBJECT' AND p <> '$'
     UNION ALL SELECT 'llm', record_id, {_OWNER.format(p='p')}, p
@@ -132,26 +171,26 @@ SQL = {
       FROM (WITH {_CHAIN}, {_CHAIN_TREE} SELECT * FROM tree)
       UNION ALL SELECT 'llm', regexp_replace(p, '\\[\\d+\\]', '[]', 'g'), {_KINDS}
       FROM (WITH {_LLM}, {_LLM_TREE} SELECT * FROM tree)) GROUP BY ALL""",
-    "p1_usage": _child(
+    "p1_usage": _child_sql(
         "chain_signed",
         f"{_CHAIN}, {_CHAIN_TREE}",
         "p = '$.payload.usage'",
         ", ".join(f"TRY_CAST(json_extract_string(value, '$.{c}') AS BIGINT) AS {c}" for c in ("input_tokens", "output_tokens", "cached_tokens", "reasoning_tokens", "cache_write")),
     ),
-    "p1_summary": _child(
+    "p1_summary": _child_sql(
         "chain_signed",
         f"{_CHAIN}, {_CHAIN_TREE}",
         "p = '$._meta.summary'",
         ", ".join(f"TRY_CAST(json_extract_string(value, '$.{c}') AS BIGINT) AS {c}" for c in ("decisions", "llm_calls", "tool_calls")),
     ),
-    "p1_messages": _child(
+    "p1_messages": _child_sql(
         "llm",
         f"{_LLM}, {_LLM_TREE}",
         r"regexp_full_match(p, '\$\.request\.messages\[\d+\]')",
         "json_extract_string(value, '$.role') AS role, CASE WHEN json_type(value, '$.content') = 'VARCHAR' THEN json_extract_string(value, '$.content') END AS content, json_extract_string(value, '$.tool_call_id') AS tool_call_id",
         r"CAST(regexp_extract(p, '\[(\d+)\]$', 1) AS INT)",
     ),
-    "p1_content_parts": _child(
+    "p1_content_parts": _child_sql(
         "llm",
         f"{_LLM}, {_LLM_TREE}",
         r"regexp_full_match(p, '\$\.request\.messages\[\d+\]\.content\[\d+\]')",

@@ -11,6 +11,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,12 +54,13 @@ def _delete_all() -> None:
 atexit.register(_delete_all)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and return the table's rows."""
+def written(df: DataFrame, name: str, folders: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, with a folder for each value of ``folders``, and return the table's rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
     _tables.append((spark, path))
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*folders) if folders else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
