@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.json import map_string_values, string_values
 
 REDACTED = "<redacted>"
 
@@ -239,6 +240,13 @@ def counts(text: Column, detectors: Iterable[Detector]) -> list[Column]:
     return [d.count(text).alias(d.category) for d in detectors]
 
 
+def nested_counts(document: Column, detectors: Iterable[Detector]) -> list[Column]:
+    """One count column per category over all string values of a JSON text; a match never reaches from one value into the next."""
+    values = string_values(document)
+    found = lambda d: F.aggregate(values, F.lit(0), lambda n, v: n + F.coalesce(d.count(v), F.lit(0)))
+    return [found(d).alias(d.category) for d in detectors]
+
+
 def findings(text: Column, detectors: Iterable[Detector], rules: Policy) -> Column:
     """ARRAY<STRUCT<category, grp, severity, action, cnt>> of the categories found, sorted by category."""
     rows = [
@@ -279,6 +287,11 @@ def guard(df: DataFrame, found: str) -> tuple[DataFrame, DataFrame]:
 RECORDING_PATTERNS = [d.pattern for d in _FIRST[:6]] + [r"\b[A-Za-z0-9_-]{32,}\b"]
 
 
+def scrub_document(document: Column) -> Column:
+    """The recordings' scrubber over the string values of a JSON text; names stay."""
+    return map_string_values(document, scrub_recording)
+
+
 def scrub_recording(text: Column) -> Column:
     for source in RECORDING_PATTERNS:
         text = tx.replace(text, source, REDACTED)

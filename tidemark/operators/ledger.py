@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.json import strict_json
+from tidemark.functions.json import quoted, strict_json
 from tidemark.operators import ordered
 
 GENESIS = "0" * 64
@@ -65,7 +65,7 @@ def canonical(text: Column | str) -> Column:
 def canonical_body(seq: Column, ts: Column, kind: Column, payload: Column) -> Column:
     """The canonical body of an entry given as columns, the payload as JSON text; null for an unreadable payload."""
     return F.concat(
-        F.lit('{"payload":'), canonical(payload), F.lit(',"seq":'), seq.cast("string"), F.lit(',"ts":'), _quoted(ts), F.lit(',"type":'), _quoted(kind), F.lit("}")
+        F.lit('{"payload":'), canonical(payload), F.lit(',"seq":'), seq.cast("string"), F.lit(',"ts":'), quoted(ts), F.lit(',"type":'), quoted(kind), F.lit("}")
     )
 
 
@@ -74,11 +74,6 @@ def chain_hash(prev_hash: Column, seq: Column, ts: Column, kind: Column, payload
     return F.sha2(F.concat(prev_hash, canonical_body(seq, ts, kind, payload)), 256)
 
 
-def _quoted(text: Column) -> Column:
-    """A string as JSON, characters as they are."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
-
-
 def checked(lines: DataFrame, key: str | None = None) -> DataFrame:
     """chain_id, line_no, state (entry, meta, corrupt), fault, seq, prev_hash, hash, head and entries of each line that isn't blank."""
     schema = "state string, fault string, seq string, prev_hash string, hash string, head string, entries long"

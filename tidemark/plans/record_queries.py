@@ -218,7 +218,28 @@ _VALUES = ", ".join(f"({i}, {', '.join(map(_quote, (p, *(u or (None,) * 5), t)))
 _SHAPE = f"(VALUES {_VALUES}) AS s(i, provider, input, output, cached, reasoning, cache_write, text)"
 _MESSAGE = f"""CASE json_type(m, '$.content') WHEN 'ARRAY' THEN array_to_string(list_transform(from_json(json_extract(m, '$.content'), '["JSON"]'), lambda p: coalesce({_J}(p, '$.text'), '')), '')
   ELSE coalesce({_J}(m, '$.content'), '') END"""
+def _verify_sql(lines: str) -> str:
+    """Links, completeness and heads of ledgers; that the hashes are those of their entries is the part of ``ledger_hashes``."""
+    return f"""WITH line AS (SELECT chain_id, line_no, line, json_valid(line) AS readable FROM {lines} WHERE regexp_matches(line, '\\S')),
+      entry AS (SELECT chain_id, line_no, {_J}(line, '$.hash') AS h, CASE WHEN {_J}(line, '$.prev_hash') IS DISTINCT FROM lag({_J}(line, '$.hash'), 1, repeat('0', 64)) OVER (PARTITION BY chain_id ORDER BY line_no)
+        THEN 'broken link at seq ' || coalesce({_J}(line, '$.seq'), 'null') || ': prev_hash mismatch' END AS fault FROM line WHERE readable AND NOT json_exists(line, '$._meta')),
+      every AS (SELECT chain_id, line_no, h, fault, NULL AS meta FROM entry UNION ALL SELECT chain_id, line_no, NULL, 'corrupt log: unreadable line', NULL FROM line WHERE NOT readable
+        UNION ALL SELECT chain_id, line_no, NULL, NULL, json_extract(line, '$._meta') FROM line WHERE readable AND json_exists(line, '$._meta')),
+      found AS (SELECT chain_id, arg_min(fault, line_no) FILTER (fault IS NOT NULL) AS fault, count(h) AS n, coalesce(arg_max(h, line_no) FILTER (h IS NOT NULL), repeat('0', 64)) AS head, arg_max(meta, line_no) FILTER (meta IS NOT NULL) AS meta FROM every GROUP BY chain_id),
+      told AS (SELECT *, CASE WHEN fault IS NOT NULL THEN fault WHEN {_J}(meta, '$.head_hash') <> head THEN 'incomplete log: head differs'
+        WHEN CAST({_J}(meta, '$.entries') AS BIGINT) <> n THEN 'incomplete log: found ' || n || ' entries, expected ' || {_J}(meta, '$.entries') END AS detail FROM found)
+      SELECT chain_id, detail IS NULL AS ok, coalesce(detail, 'ok') AS detail, n AS entries, head FROM told"""
+
+
+_ONCE = f"""(SELECT chain_id, min(line_no) AS line_no, arg_min(line, line_no) AS line FROM {_READ} GROUP BY chain_id, coalesce({_J}(line, '$.hash'), 'meta' || {_J}(line, '$._meta.head_hash')))"""
+_SIGN = f"""(SELECT r.request_hash, r.seen, r.odd, string_agg(t.fullkey || t.type || coalesce(CAST(t.atom AS VARCHAR), ''), '|' ORDER BY t.fullkey) AS sign FROM
+  (SELECT row_number() OVER () AS n, request_hash, recorded_at AS seen, CAST(cassette_id[-1:] AS INT) % 2 AS odd, response FROM {_E} WHERE request_hash IS NOT NULL AND json_valid(response)) r, json_tree(r.response) t GROUP BY r.n, r.request_hash, r.seen, r.odd
+  UNION ALL SELECT request_hash, recorded_at, CAST(cassette_id[-1:] AS INT) % 2, NULL FROM {_E} WHERE request_hash IS NOT NULL AND response IS NULL)"""
 SQL = {
+    "ledger_verify": _verify_sql("chain_signed"),
+    "ledger_verify_once": _verify_sql(_ONCE),
+    "replay_drift": f"""WITH s AS (SELECT * FROM {_SIGN}), was AS (SELECT request_hash, arg_min({{'v': sign}}, seen) AS w FROM s WHERE odd = 0 GROUP BY 1), now AS (SELECT request_hash, arg_max({{'v': sign}}, seen) AS w FROM s WHERE odd = 1 GROUP BY 1)
+      SELECT request_hash, was.w.v IS DISTINCT FROM now.w.v AS changed FROM was JOIN now USING (request_hash)""",
     "ingest_usage_shapes": f"SELECT case_id, arrived_at, provider, CAST(input AS BIGINT) AS input, CAST(output AS BIGINT) AS output, CAST(cached AS BIGINT) AS cached, CAST(reasoning AS BIGINT) AS reasoning, CAST(cache_write AS BIGINT) AS cache_write FROM hashes LEFT JOIN {_SHAPE} ON case_id % {len(SHAPES)} = i",
     "ingest_text_shapes": f"SELECT case_id, arrived_at, text FROM hashes LEFT JOIN {_SHAPE} ON case_id % {len(SHAPES)} = i",
     "ingest_payloads": f"""SELECT cassette_id, arrived_at, seq, CASE WHEN json_type(request, '$.messages') = 'ARRAY' THEN md5(array_to_string(list_transform(list_filter(from_json(json_extract(request, '$.messages'), '["JSON"]'), lambda m: json_type(m) <> 'NULL'), lambda m: {_MESSAGE}), chr(10))) END AS text_md5 FROM {_E}""",
