@@ -129,3 +129,29 @@ def test_roots_of_trees_cycles_and_unknown_parents(spark):
     got = {r.run: (r.root, r.depth) for r in ingest.roots(spark.createDataFrame(rows, "run string, parent string"), "run", "parent", rounds=8).collect()}
     assert {k: got[k] for k in "abcdefs"} == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "d": ("a", 3), "e": ("e", 0), "f": ("e", 1), "s": ("s", 0)}
     assert got["x"][0] == "x" and got["y"][0] == "y"
+
+
+def test_controls_of_types_categories_and_groups(spark):
+    lines = [
+        '{"type": "policy_flag", "payload": {"data": ["email", "iban", "email"]}}', '{"type": "policy_flag", "payload": {"data": "iban"}}', '{"type": "llm_call"}', '{"type": "none"}', "{", None,
+        '{"type": "policy_flag", "payload": {}}',
+    ]
+    df = spark.createDataFrame([("c", i, x) for i, x in enumerate(lines)], "chain_id string, line_no int, line string")
+    got = ledger.mapped_controls(df, {"policy_flag": ["a"], "llm_call": ["l", "m"]}, {"email": ["e", "a"], "financial": ["f"]}, groups={"iban": "financial", "email": "pii"})
+    assert [r.controls for r in got.orderBy("line_no").collect()] == [["a", "e", "f"], ["a", "f"], ["l", "m"], [], [], [], ["a"]]
+
+
+def test_evidence_packs_can_be_written_and_verified(spark, tmp_path):
+    prev, lines = ledger.GENESIS, []
+    for seq, kind in enumerate(("audit_open", "llm_call", "decision")):
+        own = ledger.entry_hash(prev, seq, "t", kind, {"é": 1.0})
+        lines.append(json.dumps({"seq": seq, "ts": "t", "type": kind, "payload": {"é": 1.0}, "prev_hash": prev, "hash": own}))
+        prev = own
+    df = spark.createDataFrame([("c", i, x) for i, x in enumerate(lines)], "chain_id string, line_no int, line string")
+    pack = ledger.evidence(df, "own", by_type={"llm_call": ["l"]})
+    header = json.loads(pack.filter("position = -1").first().line)["_meta"]
+    assert header["entries"] == 3 and header["head_hash"] == prev and header["controls_covered"] == ["l"] and header["summary"]["llm_calls"] == 1
+    ledger.export(pack, str(tmp_path / "out"))
+    text = [x for f in sorted((tmp_path / "out/chain_id=c").glob("*.txt")) for x in f.read_text().splitlines()]
+    again = spark.createDataFrame([("c", i, x) for i, x in enumerate(text)], "chain_id string, line_no int, line string")
+    assert tuple(ledger.verify(again).first())[1:4] == (True, "ok", 3)

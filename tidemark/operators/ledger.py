@@ -176,10 +176,58 @@ def controls(lines: DataFrame) -> DataFrame:
     return rows.groupBy("chain_id").agg(F.array_sort(F.collect_set("control")).alias("controls"))
 
 
+def mapped_controls(
+    lines: DataFrame, by_type: dict[str, list[str]], by_key: dict[str, list[str]] | None = None, flag_type: str = "policy_flag", keys: str = "$.payload.data", groups: dict[str, str] | None = None
+) -> DataFrame:
+    """``lines`` with ``controls``: what a framework's tables say of each entry, in their order, each control once.
+
+    ``by_type`` has the controls of an entry type. An entry of ``flag_type`` gets those of its categories (a string or a list at ``keys``) and of
+    their ``groups`` from ``by_key`` too. The tables are a framework's own and few, so they are part of the plan: no row leaves its task. An
+    unreadable line, a header or a type without controls has an empty list.
+    """
+
+    def table(rows: dict[str, list[str]]) -> Column:
+        pairs = [F.lit(x) if i == 0 else F.array(*map(F.lit, x)).cast("array<string>") for k, v in rows.items() for i, x in enumerate((k, v))]
+        return F.create_map(*pairs).cast("map<string,array<string>>") if pairs else F.create_map().cast("map<string,array<string>>")
+
+    none = F.array().cast("array<string>")
+    kind = F.get_json_object("line", "$.type")
+    found = F.coalesce(F.try_element_at(table(by_type), kind), none)
+    if by_key:
+        given = F.get_json_object("line", keys)
+        names = F.coalesce(F.from_json(given, "array<string>"), F.when(given.isNotNull(), F.array(given)), none)
+        group = F.create_map(*(F.lit(x) for pair in (groups or {"": ""}).items() for x in pair))
+        every = F.flatten(F.transform(names, lambda n: F.array(n, F.coalesce(F.try_element_at(group, n), F.lit("")))))
+        extra = F.flatten(F.transform(every, lambda n: F.coalesce(F.try_element_at(table(by_key), n), none)))
+        found = F.when(kind == flag_type, F.array_distinct(F.concat(found, extra))).otherwise(found)
+    return lines.withColumn("controls", F.coalesce(found, none))
+
+
+def evidence(lines: DataFrame, framework: str, **tables: object) -> DataFrame:
+    """(chain_id, position, line): each ledger as an evidence pack, a header with what it holds and covers and then its entries with their controls.
+
+    The header has the counts of ``summary``, the sorted controls, the number of entries and the head that a reader can check. Entries keep their order;
+    headers of an earlier export are left out.
+    """
+    rows = mapped_controls(lines, **tables).filter(strict_json("line").isNotNull() & F.get_json_object("line", "$._meta").isNull())  # type: ignore[arg-type]
+
+    @F.pandas_udf("string")
+    def with_controls(texts: pd.Series, controls: pd.Series) -> pd.Series:
+        return pd.Series([json.dumps(json.loads(t) | {"controls": list(c)}, ensure_ascii=False) for t, c in zip(texts, controls, strict=True)], dtype=object)
+
+    entries = rows.select("chain_id", F.col("line_no").cast("long").alias("position"), with_controls("line", "controls").alias("line"))
+    covered = rows.select("chain_id", F.explode_outer("controls").alias("c")).groupBy("chain_id").agg(F.array_sort(F.collect_set("c")).alias("controls_covered"))
+    heads = rows.groupBy("chain_id").agg(F.count(F.lit(1)).alias("entries"), F.max_by(F.get_json_object("line", "$.hash"), "line_no").alias("head_hash"))
+    counts = summary(rows).select(F.col("chain_id").alias("__c"), F.struct(*(c for c in summary(rows).columns if c not in ("chain_id", "entries"))).alias("summary"))
+    meta = heads.join(covered, "chain_id").join(counts, F.col("chain_id").eqNullSafe(F.col("__c")), "left")
+    body = F.struct(F.lit(framework).alias("framework"), "controls_covered", "summary", "head_hash", "entries")
+    return meta.select("chain_id", F.lit(-1).cast("long").alias("position"), F.to_json(F.struct(body.alias("_meta"))).alias("line")).unionByName(entries)
+
+
 def export(lines: DataFrame, directory: str) -> None:
-    """Write each ledger's lines in file order, one folder per ledger."""
-    ranked = lines.select("chain_id", "line_no", "line")
-    ranked.repartitionByRange("chain_id", "line_no").sortWithinPartitions("chain_id", "line_no").select("chain_id", "line").write.partitionBy("chain_id").text(directory)
+    """Write each ledger's lines (chain_id, position, line) in order, one folder per ledger."""
+    ranked = lines.select("chain_id", "position", "line")
+    ranked.repartitionByRange("chain_id", "position").sortWithinPartitions("chain_id", "position").select("chain_id", "line").write.partitionBy("chain_id").text(directory)
 
 
 def step_index(entries: DataFrame, trace: str, order: list[str]) -> DataFrame:

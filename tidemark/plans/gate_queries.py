@@ -122,6 +122,10 @@ QUERIES = {
 _DENY = "(?i)" + "|".join(DENIED)
 _PIECES = r"[A-Za-z0-9_]+|[^A-Za-z0-9_\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
+_BLANKS = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+#: Words with the character on either side, as there is no looking around here; a second pass finds words that share such a character.
+_EDGED = r"(^|[^\p{L}\p{N}_])(" + "|".join(w.replace(" ", _BLANKS) for w in WORDS) + r")($|[^\p{L}\p{N}_])"
+
 
 def tokens_sql(t: str) -> str:
     """The token estimate of a text column in SQL."""
@@ -136,6 +140,8 @@ _SCORED = f"""WITH topic AS (SELECT label, CAST(arg_min(embedding, vec_id) AS DO
 SQL = {
     "gate_keywords": f"""SELECT doc_id, 'block' AS action, 'denied keyword: "' || regexp_extract(text, '{_DENY}') || '"' AS reason
       FROM documents WHERE regexp_matches(text, '{_DENY}')""",
+    "gate_words": f"""WITH one AS (SELECT doc_id, text, regexp_replace(regexp_replace(text, '{_EDGED}', '\\1[redacted]\\3', 'gi'), '{_EDGED}', '\\1[redacted]\\3', 'gi') AS t FROM documents WHERE text IS NOT NULL)
+      SELECT doc_id, md5(t) AS text_md5 FROM one WHERE t <> text""",
     "gate_lengths": f"""SELECT doc_id, CASE WHEN len(text) > {MAX_CHARS} THEN len(text) || ' chars exceeds max {MAX_CHARS}'
         ELSE n || ' tokens exceeds max {MAX_TOKENS}' END AS reason
       FROM (SELECT doc_id, text, {tokens_sql('text')} AS n FROM documents WHERE text IS NOT NULL) WHERE len(text) > {MAX_CHARS} OR n > {MAX_TOKENS}""",

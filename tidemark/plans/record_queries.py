@@ -184,7 +184,29 @@ def ingest_roots(spark: SparkSession, directory: str) -> DataFrame:
     return ingest.roots(runs.withColumn("parent", parent), "spend_id", "parent")
 
 
+#: A framework's tables for the queries: controls of entry types, and of the tools that are called.
+BY_TYPE = {"llm_call": ["Log-1 logging", "Log-7 monitoring"], "tool_call": ["Log-1 logging"], "decision": ["Rec-3 record-keeping", "Exp-2 transparency"], "human_oversight": ["Ovr-4 oversight"]}
+BY_TOOL = {"ledger_get": ["Fin-1 finance", "Log-1 logging"], "search": ["Src-2 sources"]}
+
+
+def ledger_framework(spark: SparkSession, directory: str) -> DataFrame:
+    """What a framework says of every readable entry; tool calls get the controls of their tools too."""
+    rows = _chain(spark, directory).filter(strict_json("line").isNotNull())
+    rows = ledger.mapped_controls(rows, BY_TYPE, BY_TOOL, "tool_call", "$.payload.name")
+    return rows.select("chain_id", "line_no", F.array_join("controls", ";").alias("controls"))
+
+
+def ledger_evidence(spark: SparkSession, directory: str) -> DataFrame:
+    """The headers of the evidence packs of every ledger as first written: entries, head and covered controls."""
+    packs = ledger.evidence(ledger.once(_chain(spark, directory)), "own", by_type=BY_TYPE, by_key=BY_TOOL, flag_type="tool_call", keys="$.payload.name")
+    get = lambda p: F.get_json_object("line", f"$._meta.{p}")
+    covered = F.array_join(F.from_json(get("controls_covered"), "array<string>"), ";")
+    return packs.filter("position = -1").select("chain_id", get("entries").cast("long").alias("entries"), get("head_hash").alias("head"), covered.alias("controls"), get("summary.llm_calls").cast("long").alias("llm_calls"))
+
+
 QUERIES = {
+    "ledger_framework": ledger_framework,
+    "ledger_evidence": ledger_evidence,
     "ledger_canonical": ledger_canonical,
     "ledger_hashes": ledger_hashes,
     "ledger_links": ledger_links,
@@ -235,7 +257,14 @@ _ONCE = f"""(SELECT chain_id, min(line_no) AS line_no, arg_min(line, line_no) AS
 _SIGN = f"""(SELECT r.request_hash, r.seen, r.odd, string_agg(t.fullkey || t.type || coalesce(CAST(t.atom AS VARCHAR), ''), '|' ORDER BY t.fullkey) AS sign FROM
   (SELECT row_number() OVER () AS n, request_hash, recorded_at AS seen, CAST(cassette_id[-1:] AS INT) % 2 AS odd, response FROM {_E} WHERE request_hash IS NOT NULL AND json_valid(response)) r, json_tree(r.response) t GROUP BY r.n, r.request_hash, r.seen, r.odd
   UNION ALL SELECT request_hash, recorded_at, CAST(cassette_id[-1:] AS INT) % 2, NULL FROM {_E} WHERE request_hash IS NOT NULL AND response IS NULL)"""
+_MAPPED = ", ".join(f"('{k}', {v!r})" for k, v in BY_TYPE.items())
+_TOOLS = ", ".join(f"('{k}', {v!r})" for k, v in BY_TOOL.items())
+_CONTROLS = f"""(SELECT chain_id, line_no, line, list_concat(coalesce(m.c, []), list_filter(coalesce(t.c, []), lambda x: NOT list_contains(coalesce(m.c, []), x))) AS c FROM {{lines}} l
+  LEFT JOIN (VALUES {_MAPPED}) AS m(k, c) ON m.k = {_J}(line, '$.type') LEFT JOIN (VALUES {_TOOLS}) AS t(k, c) ON {_J}(line, '$.type') = 'tool_call' AND t.k = {_J}(line, '$.payload.name'))"""
 SQL = {
+    "ledger_framework": f"SELECT chain_id, line_no, array_to_string(c, ';') AS controls FROM {_CONTROLS.format(lines=_READ)}",
+    "ledger_evidence": f"""SELECT chain_id, count(*) AS entries, arg_max({_J}(line, '$.hash'), line_no) AS head, array_to_string(list_sort(list_distinct(flatten(list(c)))), ';') AS controls,
+      count(*) FILTER ({_J}(line, '$.type') = 'llm_call') AS llm_calls FROM {_CONTROLS.format(lines=_ONCE)} WHERE NOT json_exists(line, '$._meta') GROUP BY chain_id""",
     "ledger_verify": _verify_sql("chain_signed"),
     "ledger_verify_once": _verify_sql(_ONCE),
     "replay_drift": f"""WITH s AS (SELECT * FROM {_SIGN}), was AS (SELECT request_hash, arg_min({{'v': sign}}, seen) AS w FROM s WHERE odd = 0 GROUP BY 1), now AS (SELECT request_hash, arg_max({{'v': sign}}, seen) AS w FROM s WHERE odd = 1 GROUP BY 1)

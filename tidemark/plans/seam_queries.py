@@ -64,6 +64,7 @@ QUERIES = {
 _E = "(SELECT cassette_id, arrived_at, e.seq AS seq, e.request AS request, e.response AS response FROM (SELECT *, unnest(entries) AS e FROM llm))"
 _TEXT = """CASE WHEN json_type(response) = 'ARRAY' THEN array_to_string(list_transform(from_json(response, '["JSON"]'), lambda c: coalesce(json_extract_string(c, '$.choices[0].delta.content'), '')), '')
   ELSE json_extract_string(response, '$.choices[0].message.content') END"""
+_GOT = "CASE json_type(payload, '{p}') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END"
 SQL = {
     "ingest_agents": """WITH once AS (SELECT spend_id, tags['env'] AS env, model FROM spend WHERE spend_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY spend_id ORDER BY logged_at) = 1),
       seg AS (SELECT *, CASE WHEN spend_id % 10 IN (0, 4) THEN coalesce(model, 'none') || (spend_id % 10) END AS name, sum((spend_id % 10 IN (0, 4, 8))::INT) OVER (PARTITION BY env ORDER BY spend_id) AS n FROM once)
@@ -71,13 +72,14 @@ SQL = {
     "ingest_estimates": f"""SELECT cassette_id, arrived_at, seq, CASE WHEN json_type(request, '$.messages') = 'ARRAY' AND json_array_length(request, '$.messages') > 0 THEN
         3 + CAST(list_sum(list_transform(from_json(json_extract(request, '$.messages'), '["JSON"]'), lambda m: 4 + {tokens_sql(f"({_MESSAGE})")})) AS BIGINT) ELSE 0 END AS input,
       coalesce({tokens_sql('text')}, 0) AS output, CAST(0 AS BIGINT) AS reasoning, true AS estimated FROM (SELECT *, {_TEXT} AS text FROM {_E})""",
-    "gate_schema": """SELECT case_id, arrived_at, reason FROM (SELECT case_id, arrived_at, CASE
+    "gate_schema": f"""SELECT case_id, arrived_at, reason FROM (SELECT case_id, arrived_at, CASE
         WHEN NOT json_exists(payload, '$.provider') THEN '$: missing required key "provider"'
         WHEN NOT json_exists(payload, '$.latency_ms') THEN '$: missing required key "latency_ms"'
-        WHEN json_exists(payload, '$.model') AND json_type(payload, '$.model') <> 'VARCHAR' THEN '$.model: expected string'
-        WHEN json_exists(payload, '$.usage') AND json_type(payload, '$.usage') <> 'OBJECT' THEN '$.usage: expected object'
+        WHEN json_exists(payload, '$.model') AND json_type(payload, '$.model') <> 'VARCHAR' THEN '$.model: expected string, got ' || {_GOT.format(p='$.model')}
+        WHEN json_exists(payload, '$.usage') AND json_type(payload, '$.usage') <> 'OBJECT' THEN '$.usage: expected object, got ' || {_GOT.format(p='$.usage')}
         WHEN json_exists(payload, '$.usage') AND NOT json_exists(payload, '$.usage.input_tokens') THEN '$.usage: missing required key "input_tokens"'
-        WHEN json_type(payload, '$.latency_ms') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN '$.latency_ms: expected number' END AS reason
+        WHEN json_type(payload, '$.latency_ms') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN '$.latency_ms: expected number, got ' || {_GOT.format(p='$.latency_ms')} END AS reason
       FROM hashes WHERE entry_type = 'llm_call') WHERE reason IS NOT NULL""",
+    "sink_spend": """SELECT spend_id, ts, CAST(usd AS VARCHAR) AS usd, md5(coalesce('{' || array_to_string(list_transform(list_sort(map_entries(tags)), lambda e: to_json(e.key) || ':' || to_json(e.value)), ',') || '}', '')) AS tags_md5, calls FROM spend""",
     "store_recent": f"SELECT ref, used AS \"at\" FROM (SELECT sha256(text) AS ref, max(created_at) AS used FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL GROUP BY 1) ORDER BY used DESC, ref LIMIT {KEEP}",
 }

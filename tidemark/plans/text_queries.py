@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
 from tidemark.functions.json import strict_json
-from tidemark.operators import compress, packing
+from tidemark.operators import assembly, compress, packing
+from tidemark.operators.ingest import message_text
 from tidemark.plans.gate_queries import tokens_sql
+from tidemark.plans.record_queries import _MESSAGE
 from tidemark.sources.tables import table
 
 TARGET = 60
@@ -90,12 +92,14 @@ def _messages(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _messages(spark, directory)
-    return rows.withColumn("tokens", F.transform("messages", lambda x: F.ceil(F.length(x.role) * 7.0).cast("long")))
+    """The estimated tokens of the text of each message of the recorded requests."""
+    rows = table(spark, directory, "llm").select("cassette_id", "arrived_at", F.explode("entries").alias("e"))
+    rows = rows.withColumn("m", F.try_variant_get(strict_json("e.request"), "$.messages", "array<variant>")).filter("m IS NOT NULL")
+    return rows.select("cassette_id", "arrived_at", "e.seq", F.transform("m", lambda x: tx.token_estimate(message_text(x))).alias("tokens"))
 
 
 def pack_history(spark: SparkSession, directory: str) -> DataFrame:
-    """How many of the newest messages fit the budget, by a stand-in size per message (seven tokens a letter of the role)."""
+    """How many of the newest messages fit the budget, by the tokens of their texts."""
     rows = _tokens(spark, directory)
     return rows.select("cassette_id", "arrived_at", "seq", packing.kept_history(F.col("tokens"), BUDGET, RESERVE).alias("kept"))
 
@@ -115,7 +119,7 @@ def _content_tokens(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def pack_history_content(spark: SparkSession, directory: str) -> DataFrame:
-    """How many of the newest messages fit the budget, by the tokens of their whole contents."""
+    """How many of the newest messages fit the budget, by the tokens of their whole contents, also those that are no text."""
     rows = _content_tokens(spark, directory)
     return rows.select("cassette_id", "arrived_at", "seq", packing.kept_history(F.col("tokens"), BUDGET, RESERVE).alias("kept"))
 
@@ -126,6 +130,20 @@ def pack_first_fit_content(spark: SparkSession, directory: str) -> DataFrame:
     return rows.select("cassette_id", "arrived_at", "seq", "fit.used", F.array_join(F.col("fit.kept").cast("array<string>"), ",").alias("kept"))
 
 
+def pack_assembled(spark: SparkSession, directory: str) -> DataFrame:
+    """The recorded requests put together under a budget: system messages are pinned, tools may be compressed, others are truncated."""
+    rows = table(spark, directory, "llm").select("cassette_id", "arrived_at", F.explode("entries").alias("e"))
+    rows = rows.withColumn("m", F.try_variant_get(strict_json("e.request"), "$.messages", "array<variant>")).filter("m IS NOT NULL")
+    role = lambda x: F.try_variant_get(x, "$.role", "string")
+    one = lambda x, i: F.struct(
+        role(x).alias("role"), message_text(x).alias("content"), i.alias("priority"), (role(x) == "system").alias("pin"), F.when(role(x) == "tool", "compress").otherwise("truncate").alias("evict"), F.lit("head").alias("keep"),
+        F.lit(0).alias("images"), F.lit(None).cast("array<struct<role:string,content:string>>").alias("turns"),
+    )
+    rows = rows.select("cassette_id", "arrived_at", "e.seq", F.transform("m", one).alias("blocks")).withColumn("a", assembly.assembled("blocks", BUDGET, RESERVE))
+    receipt = F.array_join(F.transform("a.decisions", lambda d: F.concat_ws(":", d.role, d.action, d.after.cast("string"))), ",")
+    return rows.select("cassette_id", "arrived_at", "seq", "a.used", "a.overflow", receipt.alias("receipt"))
+
+
 def pack_orders(spark: SparkSession, directory: str) -> DataFrame:
     """The roles of each request in the three message orders and in packing order."""
     roles = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m.role, m.priority.cast("string"))), ",")
@@ -162,6 +180,7 @@ QUERIES = {
     "pack_first_fit": pack_first_fit,
     "pack_history_content": pack_history_content,
     "pack_first_fit_content": pack_first_fit_content,
+    "pack_assembled": pack_assembled,
     "pack_orders": pack_orders,
     "pack_providers": pack_providers,
 }
@@ -189,8 +208,9 @@ _MASKED = "line"
 for _source, _mask in compress.MASKS:
     _MASKED = f"regexp_replace({_MASKED}, '{_source}', '{_mask}', 'g')"
 _MSG = """msg AS (SELECT cassette_id, arrived_at, e.seq AS seq, list_transform(from_json(json_extract(e.request, '$.messages'), '["JSON"]'), lambda m, i:
-    {'role': json_extract_string(m, '$.role'), 'content': coalesce(json_extract_string(m, '$.content'), ''), 'priority': ((i - 1) * 7) % 5, 'pin': i = 1, 'i': i - 1}) AS m
+    {'role': json_extract_string(m, '$.role'), 'tokens': __TOKENS__, 'content': coalesce(json_extract_string(m, '$.content'), ''), 'priority': ((i - 1) * 7) % 5, 'pin': i = 1, 'i': i - 1}) AS m
   FROM (SELECT cassette_id, arrived_at, unnest(entries) AS e FROM llm) WHERE json_valid(e.request) AND json_type(e.request, '$.messages') = 'ARRAY')"""
+_MSG = _MSG.replace("__TOKENS__", tokens_sql(f"({_MESSAGE})"))
 _ROLES = "array_to_string(list_transform({x}, lambda k: k.m.role || k.m.priority), ',')"
 _ROOM = BUDGET - RESERVE
 
@@ -215,9 +235,9 @@ SQL = {
     "word_frequencies": f"""SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z'']+')) AS word FROM documents)
       WHERE word NOT IN ({", ".join(repr(w) for w in sorted(compress.STOP))}) GROUP BY word""",
     "pack_history": f"""WITH {_MSG}, turn AS (SELECT cassette_id, arrived_at, seq, unnest(m) AS x FROM msg),
-      cost AS (SELECT *, sum(len(x.role) * 7 + 4) OVER (PARTITION BY cassette_id, arrived_at, seq ORDER BY x.i DESC) + 3 AS used FROM turn)
+      cost AS (SELECT *, sum(x.tokens + 4) OVER (PARTITION BY cassette_id, arrived_at, seq ORDER BY x.i DESC) + 3 AS used FROM turn)
       SELECT m.cassette_id, m.arrived_at, m.seq, CAST(count(*) FILTER (c.used <= {_ROOM}) AS INT) AS kept FROM msg m LEFT JOIN cost c USING (cassette_id, arrived_at, seq) GROUP BY ALL""",
-    "pack_first_fit": f"""WITH {_MSG}, fit AS (SELECT cassette_id, arrived_at, seq, list_reduce(list_transform(m, lambda x: {{'used': CAST(len(x.role) * 7 AS BIGINT), 'kept': CAST([x.i] AS BIGINT[])}}),
+    "pack_first_fit": f"""WITH {_MSG}, fit AS (SELECT cassette_id, arrived_at, seq, list_reduce(list_transform(m, lambda x: {{'used': CAST(x.tokens AS BIGINT), 'kept': CAST([x.i] AS BIGINT[])}}),
         lambda a, x: CASE WHEN a.used + CASE WHEN len(a.kept) = 0 THEN 3 ELSE 0 END + 4 + x.used <= {_ROOM}
           THEN {{'used': a.used + CASE WHEN len(a.kept) = 0 THEN 3 ELSE 0 END + 4 + x.used, 'kept': list_concat(a.kept, x.kept)}} ELSE a END, {{'used': CAST(0 AS BIGINT), 'kept': CAST([] AS BIGINT[])}}) AS f FROM msg)
       SELECT cassette_id, arrived_at, seq, f.used AS used, array_to_string(f.kept, ',') AS kept FROM fit""",
