@@ -155,3 +155,50 @@ def test_evidence_packs_can_be_written_and_verified(spark, tmp_path):
     text = [x for f in sorted((tmp_path / "out/chain_id=c").glob("*.txt")) for x in f.read_text().splitlines()]
     again = spark.createDataFrame([("c", i, x) for i, x in enumerate(text)], "chain_id string, line_no int, line string")
     assert tuple(ledger.verify(again).first())[1:4] == (True, "ok", 3)
+
+
+def test_drift_in_what_answers_say(spark):
+    answer = lambda text: json.dumps({"output_text": text})
+    rows = [("same", answer("the queue is empty now"), answer("The queue is empty, now!")), ("other", answer("the queue is empty now"), answer("no idea")), ("gone", answer("words"), None)]
+    recorded = spark.createDataFrame([(h, a, 1) for h, a, _ in rows], "request_hash string, response string, at int")
+    live = spark.createDataFrame([(h, b, 2) for h, _, b in rows], "request_hash string, response string, at int")
+    got = {r.request_hash: r.score for r in replay.semantic_drift(recorded, live).collect()}
+    assert set(got) == {"other", "gone"} and got["gone"] == 0
+    df = spark.createDataFrame([("a b c", "a b c d"), ("x", "y")], "a string, e string")
+    assert [r[0] for r in df.select(replay.semantic_match(F.col("a"), F.col("e"))).collect()] == [True, False]
+
+
+@pytest.mark.parametrize(
+    ("result", "usage", "model"),
+    [
+        ('{"generations": [[{"message": {"usage_metadata": {"input_tokens": 5, "output_tokens": "3", "input_token_details": {"cache_read": 2, "cache_creation": 1}, "output_token_details": {"reasoning": 2}}, "response_metadata": {"model": "g"}}}]]}', (5, 3, 2, 2, 1), "g"),
+        ('{"generations": [[]], "llmOutput": {"tokenUsage": {"promptTokens": 4, "completionTokens": null, "promptTokensDetails": {"cachedTokens": 1}}, "modelName": "m"}}', (4, 0, 1, 0, 0), "m"),
+        ('{"llmOutput": {"token_usage": {"input_tokens": "x", "output_tokens": 2, "completion_tokens_details": {"reasoning_tokens": 1}}}}', (0, 2, 0, 1, 0), ""),
+        ('{"generations": []}', None, ""), (None, None, ""),
+    ],
+)
+def test_results_of_runs(spark, result, usage, model):
+    row = spark.createDataFrame([(result,)], "r string").select(ingest.run_usage(F.col("r")).alias("u"), ingest.run_model(F.col("r")).alias("m")).first()
+    assert (tuple(row.u) if row.u else None) == usage and row.m == model
+
+
+def test_visible_reasoning_and_time_to_first_token(spark):
+    chunks = json.dumps([{"type": "content_block_delta", "delta": {"type": "thinking_delta", "thinking": "hm "}}, {"choices": [{"delta": {"reasoning_content": "so "}}]}, {"message": {"thinking": "yes"}}, {"message": {"content": "x"}}])
+    df = spark.createDataFrame([(chunks,), ("{}",), (None,)], "r string").coalesce(1)
+    assert [r[0] for r in df.select(ingest.thinking(F.col("r"))).collect()] == ["hm so yes", "", ""]
+    times = spark.sql("SELECT array(timestamp'2026-01-01 00:00:02.5', timestamp'2026-01-01 00:00:01.25') AS c, timestamp'2026-01-01 00:00:01' AS s, CAST(array() AS array<timestamp>) AS e")
+    assert tuple(times.select(ingest.first_token_ms(F.col("c"), F.col("s")), ingest.first_token_ms(F.col("e"), F.col("s"))).first()) == (250.0, None)
+
+
+def test_payloads_are_read_as_text(spark):
+    payloads = ["plain", '[{"role": "user", "content": "a"}, null, {"content": [{"text": "b"}, {"image": 1}, {"text": "c"}]}, 7]', '{"role": "user"}', '{"x": 1}', "", None]
+    df = spark.createDataFrame([(p,) for p in payloads], "p string").coalesce(1)
+    assert [r[0] for r in df.select(ingest.payload_text(F.col("p"))).collect()] == ["plain", "a\nbc\n7", "", '{"x": 1}', "", None]
+
+
+def test_names_and_roots_of_runs(spark):
+    events = [("a", None, "start", "chain", "planner", None), ("b", "a", "start", "llm", None, "in"), ("b", "a", "end", "llm", None, "{}"), ("c", "b", "start", "tool", "find", "q"), ("c", "b", "error", "tool", None, "boom"), ("d", "a", "start", "tool", "slow", "q"), ("e", "lost", "end", "tool", None, "r")]
+    got = {r.run: r for r in ingest.run_calls(spark.createDataFrame(events, "run string, parent string, event string, kind string, name string, body string")).collect()}
+    assert set(got) == {"b", "c", "e"}
+    assert (got["b"].root, got["b"].agent, got["b"].model) == ("a", "planner", "") and (got["c"].name, got["c"].error, got["c"].input, got["c"].root) == ("find", "boom", "q", "a")
+    assert (got["e"].name, got["e"].root, got["e"].agent) == ("tool", "e", None)

@@ -311,6 +311,23 @@ def test_orders(spark):
     assert show(packing.block_order(F.col("m"))) == ["system2", "assistant5", "history4", "tool3", "user1", "user0"]
 
 
+def test_json_values_are_walked_at_any_depth(spark, registry):
+    doc = '{"a@b.co": "mail x@y.org", "n": [1, {"k": "also p@q.net \\"quoted\\" Bearer abc"}, "password"], "after": "is safe"}'
+    counts = one(spark, doc, *D.nested_counts(F.col("t"), registry))
+    assert counts.email == 2 and counts.bearer_token == 1 and counts.password == 0
+    scrubbed = one(spark, doc, D.scrub_document(F.col("t")).alias("s")).s
+    assert scrubbed == '{"a@b.co": "mail <redacted>", "n": [1, {"k": "also <redacted> \\"quoted\\" <redacted>"}, "password"], "after": "is safe"}'
+    assert one(spark, "no json a@b.co", D.scrub_document(F.col("t")).alias("s")).s == "no json <redacted>" and one(spark, None, D.scrub_document(F.col("t")).alias("s")).s is None
+
+
+def test_a_mask_that_fails_shows_nothing(spark):
+    def mask(text):
+        return text.replace("x", "*") if "bad" not in text else 1 / 0
+
+    df = spark.createDataFrame([("xyz",), ("bad x",), (None,)], "t string").coalesce(1)
+    assert [r[0] for r in df.select(sinks.masked_capture("t", mask)).collect()] == ["*yz", sinks.WITHHELD, None]
+
+
 def test_captures_and_spans_of_models(spark):
     assert one(spark, "äöü", sinks.captured(F.col("t"), 3).alias("c")).c == "ä" + sinks.MARKER
     assert one(spark, "abc", sinks.captured(F.col("t"), 3).alias("c")).c == "abc"

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.json import strict_json
-from tidemark.operators import ordered
+from tidemark.operators import ingest, ordered
 from tidemark.operators.ledger import canonical, canonical_text
+from tidemark.operators.similarity import lexical_score
 
 
 def request_hash(request: Column | str, version: Column | str) -> Column:
@@ -67,6 +68,22 @@ def drift(recorded: DataFrame, live: DataFrame) -> DataFrame:
     return both.select("request_hash", (~canonical("was").eqNullSafe(canonical("now"))).alias("changed"))
 
 
+def semantic_drift(recorded: DataFrame, live: DataFrame, least: float = 0.8) -> DataFrame:
+    """(request_hash, score): requests whose live answer says something else than the recorded one: a lexical score below ``least``.
+
+    The answers' texts are compared, not their JSON; a missing text counts as an empty one.
+    """
+    was = recorded.groupBy("request_hash").agg(F.min_by("response", "at").alias("was"))
+    now = live.groupBy("request_hash").agg(F.max_by("response", "at").alias("now"))
+    said = lambda c: F.coalesce(ingest.text(F.col(c)), F.lit(""))
+    return was.join(now, "request_hash").select("request_hash", lexical_score(said("now"), said("was")).alias("score")).filter(F.col("score") < least)
+
+
+def semantic_match(actual: Column, expected: Column, least: float = 0.6) -> Column:
+    """Do two texts say the same, by their lexical score?"""
+    return lexical_score(actual, expected) >= least
+
+
 def promote(lines: DataFrame) -> DataFrame:
     """Trace lines of kind llm or tool as (kind, request, response); blank, unreadable and header lines are skipped."""
     kind = F.get_json_object("line", "$.kind")
