@@ -6,7 +6,7 @@ document is done, divided by the source's target share. Serving all sources in t
 share at its target at every moment; a global range sort by time and a cut at the total budget make the selection.
 
 Running sums over a source and over the whole queue are distributed (``operators.ordered``): no task holds a source, and the
-driver holds no documents.
+driver holds no documents. A source's tokens are off its share of all tokens by at most its ``largest`` document and its share of the others' largest ones.
 
 Defined results: documents without text, with a source that has no target, or with a null source are no candidates;
 an empty text has no tokens and costs nothing; a share of zero or null takes nothing; repeated rows are separate records. A source without tokens (no documents, or only
@@ -155,6 +155,7 @@ def select_mix(documents: DataFrame, targets: DataFrame, budget: int | None = No
         "used_documents",
         "most_uses",
         F.col("total").alias("source_tokens"),
+        "largest",
         "tokens",
         F.try_divide(F.col("tokens").cast("double"), F.col("everything").cast("double")).alias("share"),
         F.lit(total).cast("long").alias("budget"),
