@@ -85,6 +85,13 @@ def test_alternating_tiny_and_full_calls_end_after_a_few_rounds(spark):
     assert sorted(r.spend_id for r in allowed.filter("allowed").collect()) == [0, 1]
 
 
+def test_outputs_are_clamped_to_what_is_left(spark):
+    rows = [(1, "a", T0, 10, 50), (2, "a", T0, 10, 50), (3, "a", T0, 5, 1), (4, "b", T0, 100, 1), (5, "b", T0, None, 7), (6, None, T0, 99, None)]
+    df = spark.createDataFrame(rows, "spend_id long, key string, ts timestamp_ntz, input long, output long")
+    got = {r.spend_id: (r.action, r.output) for r in op.clamped(df, 100).collect()}
+    assert got == {1: ("allowed", 50), 2: ("clamped", 30), 3: ("blocked", 0), 4: ("blocked", 0), 5: ("allowed", 7), 6: ("allowed", 0)}
+
+
 def test_newest_by_either_way(spark, facts, monkeypatch):
     rows = lambda: sorted((r.user_id or "", r.spend_id) for r in op.newest(op.once(facts.drop("key")), op.tag("user_id"), 3, "user_id").collect())
     limited = rows()

@@ -169,6 +169,24 @@ def summary(lines: DataFrame) -> DataFrame:
     )
 
 
+def event_counts(lines: DataFrame, kind: str, fields: dict[str, str]) -> DataFrame:
+    """Counts of the entries of one type by members of their payloads (column -> path), over all ledgers; an absent member is a null key."""
+    keys = [F.get_json_object("line", f"$.payload.{path}").alias(name) for name, path in fields.items()]
+    return lines.filter(F.get_json_object("line", "$.type") == kind).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_decisions(lines: DataFrame) -> DataFrame:
+    """(chain_id, line_no, type, decision_id, actor, decided): each entry that names a decision with the decision's own entry.
+
+    ``decided`` is its line; of several entries of one decision the first counts, and both are null where the ledger has none. Decisions are few against their
+    entries and are spread by (chain_id, decision_id).
+    """
+    get = lambda p: F.get_json_object("line", p)
+    rows = lines.select("chain_id", "line_no", get("$.type").alias("type"), get("$.payload.decision_id").alias("decision_id"), get("$.payload.actor").alias("actor")).filter("decision_id IS NOT NULL")
+    own = rows.filter("type = 'decision'").groupBy(F.col("chain_id").alias("c"), F.col("decision_id").alias("d")).agg(F.min_by("actor", "line_no").alias("actor"), F.min("line_no").alias("decided"))
+    return rows.drop("actor").join(own, F.col("chain_id").eqNullSafe(F.col("c")) & (F.col("decision_id") == F.col("d")), "left").drop("c", "d")
+
+
 def controls(lines: DataFrame) -> DataFrame:
     """The sorted controls that the entries of each ledger cover."""
     found = F.explode(F.from_json(F.get_json_object("line", "$.controls"), "array<string>"))

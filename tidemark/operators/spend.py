@@ -155,6 +155,34 @@ def enforced(spend: DataFrame, key: Column, cap_usd: str, name: str = "key") ->
     return out
 
 
+def clamped(calls: DataFrame, cap_tokens: int, name: str = "key") -> DataFrame:
+    """(spend_id, key, action, output) of calls (spend_id, key, ts, input, output) under a cap of tokens, in order (ts, spend_id).
+
+    A call whose output doesn't fit is ``clamped`` to what is left after its input; one whose input alone leaves nothing is ``blocked`` and costs
+    nothing; the others are ``allowed``. Null counts are 0. Each ceiling depends on all earlier ones, so a key is folded in order by one task,
+    which holds one number and no rows.
+    """
+    schema = T.StructType([*calls.select("spend_id", name).schema.fields, T.StructField("action", T.StringType()), T.StructField("output", T.LongType())])
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: object = ()
+        room = 0
+        for batch in batches:
+            keys = batch[name].astype(object).where(batch[name].notna(), None)
+            actions, outputs = [], []
+            for key, asked, wanted in zip(keys, batch["input"].fillna(0).astype("int64").tolist(), batch["output"].fillna(0).astype("int64").tolist(), strict=True):
+                if key != last:
+                    last, room = key, cap_tokens
+                ceiling = room - asked
+                given = min(wanted, ceiling)
+                actions.append("blocked" if ceiling <= 0 else "clamped" if given < wanted else "allowed")
+                outputs.append(given if ceiling > 0 else 0)
+                room -= asked + given if ceiling > 0 else 0
+            yield batch[["spend_id", name]].assign(action=actions, output=outputs)
+
+    return calls.select("spend_id", name, "ts", "input", "output").repartition(name).sortWithinPartitions(name, "ts", "spend_id").mapInPandas(fold, schema)
+
+
 def _folded(rows: DataFrame, name: str) -> DataFrame:
     """(spend_id, key, allowed) of calls whose key has ``room``, taken one after the other."""
     schema = T.StructType([*rows.select("spend_id", name).schema.fields, T.StructField("allowed", T.BooleanType())])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.json import strict_json
 from tidemark.operators import ingest, ledger, replay
+from tidemark.sources.recordings import recorded_calls
 from tidemark.sources.tables import table
 
 
@@ -204,7 +205,22 @@ def ledger_evidence(spark: SparkSession, directory: str) -> DataFrame:
     return packs.filter("position = -1").select("chain_id", get("entries").cast("long").alias("entries"), get("head_hash").alias("head"), covered.alias("controls"), get("summary.llm_calls").cast("long").alias("llm_calls"))
 
 
+def ledger_decisions(spark: SparkSession, directory: str) -> DataFrame:
+    """Every entry of the ledgers as first written with the decision that it belongs to."""
+    return ledger.with_decisions(ledger.once(_chain(spark, directory)))
+
+
+def ingest_calls(spark: SparkSession, directory: str) -> DataFrame:
+    """The recorded calls as one normalized table."""
+    rows = recorded_calls(table(spark, directory, "llm"))
+    return rows.select("cassette_id", "seq", "arrived_at", "kind", "provider", "model", "messages", F.md5("text").alias("text_md5"), F.col("usage.total").alias("total"))
+
+
 QUERIES = {
+    "ledger_decisions": ledger_decisions,
+    "ledger_budget_events": lambda s, d: ledger.event_counts(ledger.once(_chain(s, d)), "budget_event", {"action": "action", "model": "model", "to_model": "to_model"}),
+    "ledger_guard_decisions": lambda s, d: ledger.event_counts(ledger.once(_chain(s, d)), "guardrail_decision", {"guardrail": "guardrail", "stage": "stage", "action": "action"}),
+    "ingest_calls": ingest_calls,
     "ledger_framework": ledger_framework,
     "ledger_evidence": ledger_evidence,
     "ledger_canonical": ledger_canonical,
@@ -261,7 +277,16 @@ _MAPPED = ", ".join(f"('{k}', {v!r})" for k, v in BY_TYPE.items())
 _TOOLS = ", ".join(f"('{k}', {v!r})" for k, v in BY_TOOL.items())
 _CONTROLS = f"""(SELECT chain_id, line_no, line, list_concat(coalesce(m.c, []), list_filter(coalesce(t.c, []), lambda x: NOT list_contains(coalesce(m.c, []), x))) AS c FROM {{lines}} l
   LEFT JOIN (VALUES {_MAPPED}) AS m(k, c) ON m.k = {_J}(line, '$.type') LEFT JOIN (VALUES {_TOOLS}) AS t(k, c) ON {_J}(line, '$.type') = 'tool_call' AND t.k = {_J}(line, '$.payload.name'))"""
+_P = lambda name: f"{_J}(line, '$.payload.{name}')"
 SQL = {
+    "ledger_budget_events": f"SELECT {_P('action')} AS action, {_P('model')} AS model, {_P('to_model')} AS to_model, count(*) AS n FROM {_ONCE} WHERE {_J}(line, '$.type') = 'budget_event' GROUP BY ALL",
+    "ledger_guard_decisions": f"SELECT {_P('guardrail')} AS guardrail, {_P('stage')} AS stage, {_P('action')} AS action, count(*) AS n FROM {_ONCE} WHERE {_J}(line, '$.type') = 'guardrail_decision' GROUP BY ALL",
+    "ledger_decisions": f"""WITH e AS (SELECT chain_id, line_no, {_J}(line, '$.type') AS type, {_P('decision_id')} AS decision_id, {_P('actor')} AS actor FROM {_ONCE} WHERE {_P('decision_id')} IS NOT NULL),
+      d AS (SELECT chain_id, decision_id, arg_min({{'a': actor}}, line_no).a AS actor, min(line_no) AS decided FROM e WHERE type = 'decision' GROUP BY ALL)
+      SELECT e.chain_id, line_no, type, e.decision_id, d.actor, decided FROM e LEFT JOIN d USING (chain_id, decision_id)""",
+    "ingest_calls": f"""SELECT cassette_id, seq, arrived_at, kind, {_J}(request, '$.provider') AS provider, {_J}(request, '$.model') AS model, CASE WHEN json_type(request, '$.messages') = 'ARRAY' THEN CAST(json_array_length(request, '$.messages') AS INT) END AS messages,
+      md5(CASE WHEN json_type(response) = 'ARRAY' THEN nullif(array_to_string(list_transform({_STREAM}, lambda c: coalesce({_J}(c, '$.choices[0].delta.content'), '')), ''), '') ELSE {_J}(response, '$.choices[0].message.content') END) AS text_md5,
+      TRY_CAST({_J}({_SRC}, '$.usage.prompt_tokens') AS BIGINT) + coalesce(TRY_CAST({_J}({_SRC}, '$.usage.completion_tokens') AS BIGINT), 0) AS total FROM (SELECT cassette_id, arrived_at, e.seq AS seq, e.kind AS kind, e.request AS request, e.response AS response FROM (SELECT *, unnest(entries) AS e FROM llm)) WHERE json_valid(request)""",
     "ledger_framework": f"SELECT chain_id, line_no, array_to_string(c, ';') AS controls FROM {_CONTROLS.format(lines=_READ)}",
     "ledger_evidence": f"""SELECT chain_id, count(*) AS entries, arg_max({_J}(line, '$.hash'), line_no) AS head, array_to_string(list_sort(list_distinct(flatten(list(c)))), ';') AS controls,
       count(*) FILTER ({_J}(line, '$.type') = 'llm_call') AS llm_calls FROM {_CONTROLS.format(lines=_ONCE)} WHERE NOT json_exists(line, '$._meta') GROUP BY chain_id""",

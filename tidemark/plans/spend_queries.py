@@ -10,6 +10,7 @@ from tidemark.sources.tables import table
 
 CAP = "0.50"
 KEEP = 5
+TOKENS = 100_000
 
 
 def _spend(spark: SparkSession, directory: str) -> DataFrame:
@@ -31,7 +32,15 @@ def spend_models(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def spend_clamped(spark: SparkSession, directory: str) -> DataFrame:
+    """How many calls of each feature are allowed, clamped and blocked under a cap of tokens, and the output that they get."""
+    calls = _once(spark, directory).select("spend_id", op.tag("feature").alias("feature"), "ts", F.col("input_tokens").alias("input"), F.col("output_tokens").alias("output"))
+    rows = op.clamped(calls, TOKENS, "feature")
+    return rows.groupBy("feature").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("allowed", "clamped", "blocked")), F.sum("output").alias("output"))
+
+
 QUERIES = {
+    "spend_clamped": spend_clamped,
     "spend_report_feature": lambda s, d: op.report(_spend(s, d), ["feature"]),
     "spend_report_feature_env": lambda s, d: op.report(_spend(s, d), ["feature", "env"]),
     "spend_report_all": lambda s, d: op.report(_spend(s, d), []),
@@ -74,6 +83,13 @@ SQL = {
       fold AS (SELECT user_id, list_reduce(list_transform(calls, lambda c: {{'spent': c.usd, 'ids': [c.id]}}), lambda a, c: CASE WHEN a.spent + c.spent <= {CAP}
         THEN {{'spent': CAST(a.spent + c.spent AS DECIMAL(38,9)), 'ids': list_concat(a.ids, c.ids)}} ELSE a END, {{'spent': CAST(0 AS DECIMAL(38,9)), 'ids': CAST([] AS BIGINT[])}}).ids AS ids FROM per)
       SELECT o.spend_id, f.user_id, list_contains(f.ids, o.spend_id) AS allowed FROM once o JOIN fold f ON o.tags['user_id'] IS NOT DISTINCT FROM f.user_id""",
+    "spend_clamped": f"""WITH {_ONCE}, per AS (SELECT tags['feature'] AS feature, list({{'i': coalesce(input_tokens, 0), 'o': coalesce(output_tokens, 0)}} ORDER BY ts, spend_id) AS calls FROM once GROUP BY 1),
+      fold AS (SELECT feature, list_reduce(list_transform(calls, lambda c: {{'room': CAST(c.i AS BIGINT), 'a': CAST(c.o AS BIGINT), 'c': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'out': CAST(0 AS BIGINT)}}),
+        lambda s, x: CASE WHEN s.room - x.room <= 0 THEN {{'room': s.room, 'a': s.a, 'c': s.c, 'b': s.b + 1, 'out': s.out}}
+          WHEN x.a > s.room - x.room THEN {{'room': CAST(0 AS BIGINT), 'a': s.a, 'c': s.c + 1, 'b': s.b, 'out': CAST(s.out + s.room - x.room AS BIGINT)}}
+          ELSE {{'room': CAST(s.room - x.room - x.a AS BIGINT), 'a': s.a + 1, 'c': s.c, 'b': s.b, 'out': CAST(s.out + x.a AS BIGINT)}} END,
+        {{'room': CAST({TOKENS} AS BIGINT), 'a': CAST(0 AS BIGINT), 'c': CAST(0 AS BIGINT), 'b': CAST(0 AS BIGINT), 'out': CAST(0 AS BIGINT)}}) AS f FROM per)
+      SELECT feature, f.a AS allowed, f.c AS clamped, f.b AS blocked, f.out AS output FROM fold""",
     "spend_retention": f"""WITH {_ONCE} SELECT spend_id, tags['feature'] AS feature FROM once
       QUALIFY row_number() OVER (PARTITION BY tags['feature'] ORDER BY ts DESC, spend_id DESC) <= {KEEP}""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.json import strict_json
+from tidemark.operators import ingest
 
 
 def chain_records(chain: DataFrame, parsed: bool = False) -> DataFrame:
@@ -27,6 +28,32 @@ def chain_records(chain: DataFrame, parsed: bool = False) -> DataFrame:
     return first.select(F.lit("chain_signed").alias("tbl"), "record_id", "doc")
 
 
+def recorded_calls(llm: DataFrame) -> DataFrame:
+    """One row per recorded call of a model or tool: (cassette_id, seq, arrived_at, kind, provider, model, messages, name, args, kwargs, text, usage).
+
+    What a kind doesn't have is null; a tool's arguments come as {args, kwargs} in JSON. Unreadable requests are left out.
+    """
+    rows = llm.select("cassette_id", "arrived_at", F.explode("entries").alias("e"))
+    rows = rows.select("cassette_id", "arrived_at", F.col("e.seq").alias("seq"), F.col("e.kind").alias("kind"), strict_json("e.request").alias("q"), F.col("e.response").alias("response")).filter("q IS NOT NULL")
+    get = lambda p, t="string": F.try_variant_get("q", p, t)
+    shaped = get("$.arguments.args", "variant").isNotNull() | get("$.arguments.kwargs", "variant").isNotNull()
+    tool = F.col("kind") == "tool"
+    return rows.select(
+        "cassette_id",
+        "seq",
+        "arrived_at",
+        "kind",
+        get("$.provider").alias("provider"),
+        get("$.model").alias("model"),
+        F.size(get("$.messages", "array<variant>")).alias("messages"),
+        F.when(tool, get("$.name")).alias("name"),
+        F.when(tool, F.when(shaped, F.to_json(get("$.arguments.args", "variant"))).otherwise("[]")).alias("args"),
+        F.when(tool, F.when(shaped, F.to_json(get("$.arguments.kwargs", "variant"))).otherwise(F.to_json(get("$.arguments", "variant")))).alias("kwargs"),
+        ingest.text(F.col("response")).alias("text"),
+        ingest.usage(F.col("response"), get("$.provider")).alias("usage"),
+    )
+
+
 def cassette_records(llm: DataFrame) -> DataFrame:
     """(tbl, record_id, request, response): the entries of the ``llm`` cassettes.
 
