@@ -195,7 +195,8 @@ class Finder:
                 add(word, "ending")
         self.automaton = ahocorasick.Automaton()
         for word, kinds in anchors.items():
-            self.automaton.add_word(word, (word, tuple(kinds)))
+            whole = all(kind in ("given", "family", "ending") for kind, _ in kinds)
+            self.automaton.add_word(word, (word, tuple(kind for kind, _ in kinds), whole))
         self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[tuple[int, int, str]]:
@@ -203,9 +204,12 @@ class Finder:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         by_kind: dict[str, list[tuple[int, int, str]]] = {}
-        for end, (word, kinds) in self.automaton.iter(low):
-            for kind, _ in kinds:
-                by_kind.setdefault(kind, []).append((end - len(word) + 1, end + 1, word))
+        for end, (word, kinds, whole) in self.automaton.iter(low):
+            end += 1
+            if whole and end < len(low) and low[end].isalpha():
+                continue  # names end where a word ends
+            for kind in kinds:
+                by_kind.setdefault(kind, []).append((end - len(word), end, word))
         taken: list[tuple[int, int, str]] = []
         taken += self._emails(text, low, by_kind.get("email", []))
         taken = _free(taken, self._ids(text, low, by_kind.get("id", [])))
@@ -451,7 +455,7 @@ class Finder:
         out = []
         done = 0
         for m in self._NUMBER.finditer(text):
-            if m.start() < done or sum(map(str.isdigit, m.group())) < LEAST_DIGITS:
+            if m.start() < done or len(m.group()) < LEAST_DIGITS or sum(map(str.isdigit, m.group())) < LEAST_DIGITS:
                 continue
             for a, b in self._phone_parts(text, low, m.start(), m.group()):
                 span = m.start() + a, m.start() + b
@@ -588,13 +592,15 @@ class Finder:
 
     def _tokens(self, text: str, busy: list) -> list[tuple[int, int, str]]:
         """Words outside the spans that other kinds hold."""
-        out = []
-        k = 0
-        for m in _TOKEN.finditer(text):
-            while k < len(busy) and busy[k][1] <= m.start():
+        found = [(*m.span(), m.group()) for m in _TOKEN.finditer(text)]
+        if not busy:
+            return found
+        out, k = [], 0
+        for token in found:
+            while k < len(busy) and busy[k][1] <= token[0]:
                 k += 1
-            if k == len(busy) or m.end() <= busy[k][0]:
-                out.append((m.start(), m.end(), m.group()))
+            if k == len(busy) or token[1] <= busy[k][0]:
+                out.append(token)
         return out
 
     def _gap(self, text: str, tokens: list, i: int) -> str | None:
